@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column from a name, a column or a number."""
+    if isinstance(c, str):
+        return F.col(c)
+    return c if isinstance(c, Column) else F.lit(c)
 
 
 def r6(c) -> Column:

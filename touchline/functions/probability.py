@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.numeric import col
@@ -66,23 +66,21 @@ def blank_probability(nineties, goals) -> Column:
     return F.pow(F.greatest((n - 1) / n, F.lit(0.0)), col(goals))
 
 
-def mix31(x) -> Column:
-    """Non-linear 31-bit integer mix: the same value on every engine and every retry of a task."""
-    m = F.lit(2147483647)
-    x = col(x).cast("bigint") % m
-    x = (x * F.lit(1597334677)) % m
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * F.lit(747796405)) % m
-    x = x.bitwiseXOR(F.shiftright(x, 13))
-    return (x * F.lit(1274126177)) % m
+PRIME = 2147483647
 
 
-def uniform(*parts) -> Column:
-    """Seeded uniform in [0, 1) from integer parts."""
-    x = F.lit(17).cast("bigint")
-    for p in parts:
-        x = mix31(x * F.lit(31) + col(p).cast("bigint") % F.lit(2147483647))
-    return x / F.lit(2147483647.0)
+def with_uniform(df: DataFrame, out: str, seed: int, *parts: str) -> DataFrame:
+    """Add a seeded uniform in [0, 1) from integer columns: the same on every engine and every retry of a task.
+
+    A non-linear 31-bit mix per part. Each step is a column of its own because its input is used twice.
+    """
+    df = df.withColumn("_x", F.lit(seed).cast("bigint"))
+    x = F.col("_x")
+    for part in parts:
+        df = df.withColumn("_x", (x * 31 + F.col(part).cast("bigint") % PRIME) % PRIME * 1597334677 % PRIME)
+        df = df.withColumn("_x", x.bitwiseXOR(F.shiftright(x, 15)) * 747796405 % PRIME)
+        df = df.withColumn("_x", x.bitwiseXOR(F.shiftright(x, 13)) * 1274126177 % PRIME)
+    return df.withColumn(out, x / float(PRIME)).drop("_x")
 
 
 # Cumulative Poisson(1) probabilities for 0..9 copies of a resampled unit.

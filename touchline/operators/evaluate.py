@@ -18,8 +18,8 @@ def outcome(home_goals="hg", away_goals="ag") -> Column:
 
 
 def pick(prefix: str) -> Column:
-    """Most likely class; a tie goes to draw, then home, then away."""
-    d, h, a = (F.col(f"{prefix}_{k}") for k in ("draw", "home", "away"))
+    """Most likely class; a tie (to nine places) goes to draw, then home, then away."""
+    d, h, a = (F.round(f"{prefix}_{k}", 9) for k in ("draw", "home", "away"))
     return F.when((d >= h) & (d >= a), "D").when(h >= a, "H").when(a > h, "A")
 
 
@@ -48,11 +48,14 @@ def with_scores(df: DataFrame, prefix: str, actual: str = "actual", suffix: str
     })
 
 
-def on_common_support(df: DataFrame, prefixes: list[str]) -> DataFrame:
-    """Only rows for which every set of probabilities exists."""
-    for p in prefixes:
-        df = df.filter(F.col(f"{p}_draw").isNotNull() & F.col(f"{p}_home").isNotNull()
-                       & F.col(f"{p}_away").isNotNull())
+def on_common_support(df: DataFrame, needed: list[str]) -> DataFrame:
+    """Only rows on which every compared forecast exists.
+
+    `needed` names the inputs behind each set of probabilities (expected goals, prices): a filter on them reaches
+    the scan, one on the finished probabilities would be evaluated by computing them twice.
+    """
+    for c in needed:
+        df = df.filter(F.col(c).isNotNull())
     return df
 
 

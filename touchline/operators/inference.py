@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.numeric import pearson, ratio, shrink_half_length
 from touchline.functions.probability import (ln_choose, normal_cdf, normal_quantile, resample_copies,
-                                             uniform)
+                                             with_uniform)
 from touchline.operators.ordered import number_rows
 
 
@@ -23,9 +23,9 @@ def bootstrap(units: DataFrame, unit_id: str, sums: list[str], statistics: dict[
     Block resampling is the same call on rows already added up per block.
     """
     groups = groups or []
-    copies = resample_copies(uniform("replicate", unit_id, F.lit(seed)))
     drawn = units.select(*groups, unit_id, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-                         .alias("replicate")).withColumn("_k", copies).filter(F.col("_k") > 0)
+                         .alias("replicate"))
+    drawn = with_uniform(drawn, "_u", seed, unit_id, "replicate").withColumn("_k", resample_copies("_u"))
     per = drawn.groupBy(*groups, "replicate").agg(*[F.sum(F.col(s) * F.col("_k")).alias(s) for s in sums])
     per = per.select(*groups, *[e.alias(n) for n, e in statistics.items()])
     limits = per.groupBy(*groups).agg(*[
@@ -55,13 +55,14 @@ def null_spread(groups: DataFrame, group_no: str, n: str, wins: str, simulations
     worlds = groups.join(F.broadcast(rate)).select(
         group_no, n, "common_rate", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("world"))
     p, size = F.col("common_rate"), F.col(n)
-    trials = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.least(size, F.lit(exact_up_to)).cast("bigint")),
-                         F.lit(0), lambda a, t: a + F.when(uniform("world", group_no, t, F.lit(seed)) < p, 1)
-                         .otherwise(0))
-    u = F.greatest(uniform("world", group_no, F.lit(seed)), F.lit(1e-9))
-    rounded = F.round(size * p + normal_quantile(u) * F.sqrt(size * p * (1 - p)))
-    draw = F.when(size <= exact_up_to, trials).otherwise(F.greatest(F.lit(0.0), F.least(rounded, size)))
-    ranges = worlds.withColumn("_r", ratio(draw, size)).groupBy("world").agg(
+    small = worlds.filter(size <= exact_up_to).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    small = with_uniform(small, "_u", seed, group_no, "world", "_t").groupBy("world", group_no).agg(
+        ratio(F.sum((F.col("_u") < p).cast("int")), F.max(n)).alias("_r"))
+    large = with_uniform(worlds.filter(size > exact_up_to), "_u", seed, group_no, "world")
+    rounded = F.round(size * p + normal_quantile(F.greatest("_u", F.lit(1e-9))) * F.sqrt(size * p * (1 - p)))
+    large = large.select("world", group_no, ratio(F.greatest(F.lit(0.0), F.least(rounded, size)), size).alias("_r"))
+    worlds = small.unionByName(large)
+    ranges = worlds.groupBy("world").agg(
         (F.max("_r") - F.min("_r")).alias("_range"))
     seen = F.col("_hi") - F.col("_lo")
     tested = ranges.join(F.broadcast(rate))

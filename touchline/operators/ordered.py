@@ -52,9 +52,8 @@ def rolling_before(df: DataFrame, keys: list[str], seq: str, columns: list[str],
     """Mean of the `window` rows before each row, NULL below `min_count` known values."""
     spread = _with_halo(df, seq, window, max(chunk, window))
     w = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(-window, -1)
-    for c in columns:
-        spread = spread.withColumn(
-            c + suffix, F.when(F.count(c).over(w) >= min_count, F.avg(c).over(w)))
+    spread = spread.withColumns({
+        c + suffix: F.when(F.count(c).over(w) >= min_count, F.avg(c).over(w)) for c in columns})
     return spread.filter(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 
 
@@ -71,11 +70,11 @@ def expanding_before(df: DataFrame, keys: list[str], seq: str, columns: list[str
         *[F.coalesce(F.sum(f"{p}{c}").over(carried), F.lit(0)).alias(f"{p}{c}")
           for c in columns for p in ("_s_", "_c_")])
     w = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    out = chunked.join(sums, [*keys, "_chunk"])
+    means = {}
     for c in columns:
         n = F.col(f"_c_{c}") + F.count(c).over(w)
-        s = F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))
-        out = out.withColumn(c + suffix, F.when(n >= min_count, s / n))
+        means[c + suffix] = F.when(n >= min_count, (F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))) / n)
+    out = chunked.join(sums, [*keys, "_chunk"]).withColumns(means)
     return out.drop("_chunk", *[f"{p}{c}" for c in columns for p in ("_s_", "_c_")])
 
 
@@ -88,8 +87,7 @@ def lead_row(df: DataFrame, keys: list[str], seq: str, columns: list[str], suffi
         F.when(first & (F.col("_home") > 0), F.array(F.col("_home"), F.col("_home") - 1))
         .otherwise(F.array(F.col("_home")))))
     w = Window.partitionBy(*keys, "_chunk").orderBy(seq)
-    for c in columns:
-        spread = spread.withColumn(c + suffix, F.lead(c).over(w))
+    spread = spread.withColumns({c + suffix: F.lead(c).over(w) for c in columns})
     return spread.filter(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 
 

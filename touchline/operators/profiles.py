@@ -106,7 +106,7 @@ def head_to_head(matches: DataFrame, margin: float = 0.15) -> DataFrame:
     diff = F.when(F.col("home") == first, F.col("hg") - F.col("ag")).otherwise(F.col("ag") - F.col("hg"))
     pairs = matches.withColumns({"first": first, "second": second}).withColumn("_d", diff)
     before = totals_before_day(pairs, ["league", "first", "second"], "match_date", {
-        "meetings": F.count(F.lit(1)), "_sum": F.sum("_d"),
+        "meetings": F.count("_d"), "_sum": F.sum("_d"),
         "_won": F.sum((F.col("_d") > 0).cast("int")), "_lost": F.sum((F.col("_d") < 0).cast("int"))})
     out = pairs.drop("_d").join(before, ["league", "first", "second", "match_date"])
     sign = F.when(F.col("home") == F.col("first"), 1).otherwise(-1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,24 +42,45 @@ def grid_sum(grid, keep) -> Column:
     return F.coalesce(_sum(part), F.lit(0.0)) / _sum(g)
 
 
-def outcome_probabilities(df: DataFrame, lam: str, mu: str, rho, keep_grid: bool = False) -> DataFrame:
+def _terms(df: DataFrame, mean: str, name: str) -> DataFrame:
+    """Columns name0..name10 with P(X = k)."""
+    m = F.col(mean)
+    return df.withColumns({f"{name}{k}": F.exp(-m) * F.pow(m, F.lit(k)) / math.factorial(k) for k in range(SIDE)})
+
+
+def _low_scores(rho) -> dict[tuple[int, int], Column]:
+    """Corrected and floored probabilities of the four scores that the correction touches."""
+    r, lam, mu = col(rho), F.col("_lam"), F.col("_mu")
+    tau = {(0, 0): 1 - lam * mu * r, (0, 1): 1 + lam * r, (1, 0): 1 + mu * r, (1, 1): 1 - r}
+    return {(i, j): F.greatest(F.col(f"_h{i}") * F.col(f"_a{j}") * t, F.lit(FLOOR)) for (i, j), t in tau.items()}
+
+
+def _plain(i: int, j: int) -> Column:
+    return F.col(f"_h{i}") * F.col(f"_a{j}")
+
+
+def outcome_probabilities(df: DataFrame, lam: str, mu: str, rho) -> DataFrame:
     """Add p_draw, p_home, p_away (NULL where an expectation is missing).
 
-    The 121 products come from two arrays of 11 terms; sums per outcome use running totals instead of cells.
+    Sums over the grid factor into the two sides' terms, so plain arithmetic in generated code replaces 121 cells;
+    only the four corrected scores are formed. (The 1e-12 floor of the other cells is below 2e-10 in total.)
     """
-    known = F.col(lam).isNotNull() & F.col(mu).isNotNull()
-    out = df.withColumn("_grid", F.when(known, score_grid(lam, mu, rho)))
-    total = _sum(F.col("_grid"))
-    diagonal = F.aggregate(F.sequence(F.lit(1), F.lit(SIDE * SIDE), F.lit(SIDE + 1)), F.lit(0.0),
-                           lambda a, k: a + F.element_at("_grid", k))
-    above = F.aggregate(F.sequence(F.lit(1), F.lit(TOP)), F.lit(0.0),
-                        lambda a, i: a + _sum(F.slice("_grid", i * SIDE + 1, i)))
-    out = out.withColumns({"_t": total, "_d": diagonal, "_h": above})
+    out = _terms(_terms(df.withColumns({"_lam": col(lam).cast("double"), "_mu": col(mu).cast("double")}),
+                        "_lam", "_h"), "_mu", "_a")
+    low = _low_scores(rho)
+    change = {k: v - _plain(*k) for k, v in low.items()}
+    a = [F.col(f"_a{k}") for k in range(SIDE)]
+    out = out.withColumns({f"_b{i}": reduce(lambda x, y: x + y, a[:i]) for i in range(1, SIDE)})
+    home = reduce(lambda x, y: x + y, [F.col(f"_h{i}") * F.col(f"_b{i}") for i in range(1, SIDE)])
+    draw = reduce(lambda x, y: x + y, [_plain(k, k) for k in range(SIDE)])
+    total = reduce(lambda x, y: x + y, [F.col(f"_h{k}") for k in range(SIDE)]) * (
+        F.col(f"_b{TOP}") + F.col(f"_a{TOP}"))
     out = out.withColumns({
-        "p_draw": F.col("_d") / F.col("_t"), "p_home": F.col("_h") / F.col("_t"),
-        "p_away": (F.col("_t") - F.col("_d") - F.col("_h")) / F.col("_t")})
-    drop = ["_t", "_d", "_h"] + ([] if keep_grid else ["_grid"])
-    return out.drop(*drop)
+        "_d": draw + change[0, 0] + change[1, 1], "_w": home + change[1, 0],
+        "_t": total + change[0, 0] + change[0, 1] + change[1, 0] + change[1, 1]})
+    out = out.withColumns({"p_draw": F.col("_d") / F.col("_t"), "p_home": F.col("_w") / F.col("_t"),
+                           "p_away": (F.col("_t") - F.col("_d") - F.col("_w")) / F.col("_t")})
+    return out.select(*df.columns, "p_draw", "p_home", "p_away")
 
 
 def naive_expectations(profiles: DataFrame, low: float = 0.05) -> DataFrame:
@@ -119,27 +143,24 @@ def odds_ratio_probabilities(df: DataFrame, home: str, draw: str, away: str, pre
 def rho_log_likelihood(df: DataFrame, lam: str, mu: str, home_goals: str, away_goals: str,
                        grid: list[float]) -> DataFrame:
     """Log-likelihood of each candidate correction in one aggregate over all matches."""
-    gi = F.least(F.col(home_goals), F.lit(TOP)).cast("int")
-    gj = F.least(F.col(away_goals), F.lit(TOP)).cast("int")
-    # only four cells depend on rho: keep the plain grid total and adjust those cells per candidate
-    base = df.select(F.col(lam).alias("_l"), F.col(mu).alias("_m"), gi.alias("_i"), gj.alias("_j")).withColumn(
-        "_g", score_grid("_l", "_m", F.lit(0.0)))
-    base = base.select("_l", "_m", "_i", "_j", _sum(F.col("_g")).alias("_t"),
-                       *[F.element_at("_g", k + 1).alias(f"_c{k}") for k in (0, 1, 11, 12)],
-                       F.element_at("_g", F.col("_i") * SIDE + F.col("_j") + 1).alias("_own"))
-    spread = base.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in grid])))
-    r, lam_, mu_ = F.col("rho"), F.col("_l"), F.col("_m")
-    new = {0: F.col("_c0") * (1 - lam_ * mu_ * r), 1: F.col("_c1") * (1 + lam_ * r),
-           11: F.col("_c11") * (1 + mu_ * r), 12: F.col("_c12") * (1 - r)}
-    new = {k: F.greatest(v, F.lit(FLOOR)) for k, v in new.items()}
-    total = F.col("_t")
-    for k, v in new.items():
-        total = total - F.col(f"_c{k}") + v
-    own = F.col("_i") * SIDE + F.col("_j")
-    cell = F.when(own == 0, new[0]).when(own == 1, new[1]).when(own == 11, new[11]).when(
-        own == 12, new[12]).otherwise(F.col("_own"))
-    return spread.groupBy("rho").agg(F.sum(F.ln(cell / total)).alias("log_likelihood"),
-                                     F.count(F.lit(1)).alias("matches"))
+    base = df.select(F.col(lam).cast("double").alias("_lam"), F.col(mu).cast("double").alias("_mu"),
+                     F.least(F.col(home_goals), F.lit(TOP)).cast("int").alias("_i"),
+                     F.least(F.col(away_goals), F.lit(TOP)).cast("int").alias("_j"))
+    base = _terms(_terms(base, "_lam", "_h"), "_mu", "_a")
+    h, a = ([F.col(f"{s}{k}") for k in range(SIDE)] for s in ("_h", "_a"))
+    # only four cells depend on rho: the plain total and the observed cell are formed once per match
+    base = base.select("_lam", "_mu", "_i", "_j", *[f"_{s}{k}" for s in "ha" for k in (0, 1)],
+                       (reduce(lambda x, y: x + y, h) * reduce(lambda x, y: x + y, a)).alias("_t"),
+                       (F.element_at(F.array(*h), F.col("_i") + 1) * F.element_at(F.array(*a), F.col("_j") + 1))
+                       .alias("_own"))
+    rows = base.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in grid])))
+    low = _low_scores("rho")
+    total, cell = F.col("_t"), F.greatest("_own", F.lit(FLOOR))
+    for (i, j), v in low.items():
+        total = total - _plain(i, j) + v
+        cell = F.when((F.col("_i") == i) & (F.col("_j") == j), v).otherwise(cell)
+    return rows.groupBy("rho").agg(F.sum(F.ln(cell / total)).alias("log_likelihood"),
+                                   F.count(F.lit(1)).alias("matches"))
 
 
 def fit_rho(df: DataFrame, lam: str, mu: str, home_goals: str, away_goals: str, rounds: int = 3) -> float:

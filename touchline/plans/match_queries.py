@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numeric import r6, ratio
 from touchline.operators import competition, evaluate, inference, profiles, ranking, scoreline
 from touchline.plans.registry import query
-from touchline.plans.sql_text import uniform_sql
+from touchline.plans.sql_text import uniform_from
 from touchline.plans.views import ctes, table, view
 
 V = ctes("v_match")
@@ -211,9 +211,8 @@ SELECT match_id, home, away, meetings, round(mean_diff, 6) AS mean_diff,
   case when mean_diff > 0.15 then home when mean_diff < -0.15 then away when mean_diff is not null then 'even' end AS favourite,
   cast(w as bigint) AS home_wins, cast(dr as bigint) AS draws, cast(l as bigint) AS away_wins FROM s""")
 def head_to_head(spark, sf):
-    all_rows = matches(spark, sf)
     # unplayed fixtures are looked up too, but add no meeting of their own
-    out = profiles.head_to_head(all_rows)
+    out = profiles.head_to_head(matches(spark, sf))
     return out.withColumn("mean_diff", r6("mean_diff"))
 
 
@@ -263,7 +262,8 @@ def score_sql(prefix: str) -> dict[str, str]:
         "logloss": f"-ln(greatest(case actual when 'D' then {d} when 'H' then {h} else {a} end, 1e-12))",
         "brier": f"(power({d} - (actual = 'D')::int, 2) + power({h} - (actual = 'H')::int, 2) + power({a} - (actual = 'A')::int, 2))",
         "rps": f"0.5 * (power({h} - (actual = 'H')::int, 2) + power({h} + {d} - (actual <> 'A')::int, 2))",
-        "hit": f"(case when {d} >= {h} and {d} >= {a} then 'D' when {h} >= {a} then 'H' else 'A' end = actual)::int",
+        "hit": f"(case when round({d}, 9) >= round({h}, 9) and round({d}, 9) >= round({a}, 9) then 'D'"
+               f" when round({h}, 9) >= round({a}, 9) then 'H' else 'A' end = actual)::int",
     }
 
 
@@ -278,7 +278,7 @@ def forecasts(spark, sf) -> DataFrame:
 
 def evaluated(spark, sf) -> DataFrame:
     """Played matches with model and market probabilities: the common support of both."""
-    return evaluate.on_common_support(forecasts(spark, sf).filter("actual IS NOT NULL"), ["p", "m"])
+    return evaluate.on_common_support(forecasts(spark, sf), ["hg", "lam", "mu", "odds_h"])
 
 
 @query("score_matrix_1x2", f"""WITH {FORECAST} SELECT match_id, {_sql_list(['lam', 'mu', 'p_home', 'p_draw', 'p_away'])} FROM fc""")
@@ -335,13 +335,12 @@ _Q = score_sql("q")
 @query("metric_table", f"""WITH {_STACK}
 SELECT model, count(*) AS n, round(avg({_Q['hit']}), 6) AS hit_rate, round(avg({_Q['logloss']}), 6) AS logloss, round(avg({_Q['brier']}), 6) AS brier,
   round(avg({_Q['rps']}), 6) AS rps, round(avg(q_draw), 6) AS mean_p_draw, round(avg(dr), 6) AS draw_rate,
-  cast(sum((q_draw >= q_home AND q_draw >= q_away)::int) as bigint) AS draw_picks, cast(sum(ev_::int) as bigint) AS even_matches,
+  cast(sum((round(q_draw, 9) >= round(q_home, 9) AND round(q_draw, 9) >= round(q_away, 9))::int) as bigint) AS draw_picks, cast(sum(ev_::int) as bigint) AS even_matches,
   round(avg(case when ev_ then dr end), 6) AS draws_even, round(avg(case when not ev_ then dr end), 6) AS draws_rest,
   round((sum(rk * dr) - sum(dr) * (sum(dr) + 1) / 2.0) / (sum(dr) * (count(*) - sum(dr))), 6) AS auc_draw FROM sr GROUP BY model""")
 def metric_table(spark, sf):
     st = evaluate.stack_models(evaluated(spark, sf), ["match_id", "league", "season", "actual"],
                                {"model": "p", "market": "m"})
-    # average ranks compare rounded values so that both engines see the same ties
     out = evaluate.metric_table(st, ["model"])
     return _rounded(out, ["model", "n", "draw_picks", "even_matches"],
                     ["hit_rate", "logloss", "brier", "rps", "mean_p_draw", "draw_rate", "draws_even", "draws_rest",
@@ -416,7 +415,7 @@ def _copies_sql(u: str) -> str:
 bl AS (SELECT league_no * 1000000 + (season % 100) * 10000 + matchday AS block, sum(p_even::int) AS n_even, sum((p_even AND actual = 'D')::int) AS d_even,
   sum((NOT p_even)::int) AS n_rest, sum((NOT p_even AND actual = 'D')::int) AS d_rest FROM ev JOIN md USING (match_id) GROUP BY ALL),
 dr AS (SELECT replicate, n_even, d_even, n_rest, d_rest, {_copies_sql('u')} AS k FROM
-  (SELECT *, {uniform_sql('replicate', 'block', '7')} AS u FROM bl, (SELECT unnest(range({BLOCK_REPLICATES})) AS replicate))),
+  {uniform_from(f'bl, (SELECT unnest(range({BLOCK_REPLICATES})) AS replicate)', 'u', 7, 'block', 'replicate')}),
 rp AS (SELECT replicate, 100 * (sum(d_even * k) / nullif(sum(n_even * k), 0) - sum(d_rest * k) / nullif(sum(n_rest * k), 0)) AS excess FROM dr GROUP BY replicate)
 SELECT (SELECT count(*) FROM bl) AS units,
   round((SELECT 100 * (sum(d_even) / nullif(sum(n_even), 0) - sum(d_rest) / nullif(sum(n_rest), 0)) FROM bl), 6) AS excess_value,
@@ -436,8 +435,8 @@ def even_match_block_ci(spark, sf):
 
 
 @query("paired_bootstrap", f"""WITH {FORECAST}, u AS (SELECT match_id, {_S['logloss']} - {_M['logloss']} AS d FROM ev),
-dr AS (SELECT replicate, d, {_copies_sql('u')} AS k FROM (SELECT *, {uniform_sql('replicate', 'match_id', '11')} AS u FROM u,
-  (SELECT unnest(range(200)) AS replicate))),
+dr AS (SELECT replicate, d, {_copies_sql('u')} AS k FROM
+  {uniform_from('u, (SELECT unnest(range(200)) AS replicate)', 'u', 11, 'match_id', 'replicate')}),
 rp AS (SELECT replicate, sum(d * k) / sum(k) AS m FROM dr GROUP BY replicate)
 SELECT (SELECT count(*) FROM u) AS units, round((SELECT avg(d) FROM u), 6) AS mean_diff_value, round(quantile_cont(m, 0.025), 6) AS mean_diff_low,
   round(quantile_cont(m, 0.975), 6) AS mean_diff_high,

@@ -1,15 +1,13 @@
 """Text of the seeded draws for the checking SQL (same integer steps as functions.probability)."""
 
+_M = "2147483647"
 
-def _mix_sql(x: str) -> str:
-    m = "2147483647"
-    a = f"((({x}) % {m}) * 1597334677) % {m}"
-    b = f"(xor({a}, ({a}) >> 15) * 747796405) % {m}"
-    return f"(xor({b}, ({b}) >> 13) * 1274126177) % {m}"
 
-
-def uniform_sql(*parts: str) -> str:
-    x = "cast(17 as bigint)"
+def uniform_from(source: str, out: str, seed: int, *parts: str) -> str:
+    """`source` with a seeded uniform column `out`, step by step as nested selects."""
+    sql, x = f"(SELECT *, cast({seed} as bigint) AS _x FROM {source})", ""
     for p in parts:
-        x = _mix_sql(f"({x}) * 31 + cast({p} as bigint) % 2147483647")
-    return f"({x}) / 2147483647.0"
+        sql = f"(SELECT * REPLACE ((((_x * 31 + cast({p} as bigint) % {_M}) % {_M}) * 1597334677) % {_M} AS _x) FROM {sql})"
+        sql = f"(SELECT * REPLACE ((xor(_x, _x >> 15) * 747796405) % {_M} AS _x) FROM {sql})"
+        sql = f"(SELECT * REPLACE ((xor(_x, _x >> 13) * 1274126177) % {_M} AS _x) FROM {sql})"
+    return f"(SELECT * EXCLUDE (_x), _x / {_M}.0 AS {out} FROM {sql}){x}"
