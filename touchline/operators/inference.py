@@ -22,7 +22,9 @@ def bootstrap(units: DataFrame, unit_id: str, sums: list[str], statistics: dict[
     partial sums per replicate. Use statistics that are ratios of sums, which do not depend on the replicate's size.
     Block resampling is the same call on rows already added up per block.
     """
-    groups = groups or []
+    everything = not groups
+    if everything:
+        units, groups = units.withColumn("_all", F.lit(0)), ["_all"]
     drawn = units.select(*groups, unit_id, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
                          .alias("replicate"))
     drawn = with_uniform(drawn, "_u", seed, unit_id, "replicate").withColumn("_k", resample_copies("_u"))
@@ -34,7 +36,8 @@ def bootstrap(units: DataFrame, unit_id: str, sums: list[str], statistics: dict[
     whole = whole.select(*groups, "units", *[e.alias(f"{n}_value") for n, e in statistics.items()])
     out = limits.select(*groups, *[F.col(n)[i].alias(f"{n}_{end}") for n in statistics
                                    for i, end in enumerate(("low", "high"))])
-    return whole.join(out, groups) if groups else whole.join(F.broadcast(out))
+    out = whole.join(out, groups)
+    return out.drop("_all") if everything else out
 
 
 def blocks(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -49,10 +52,7 @@ def null_spread(groups: DataFrame, group_no: str, n: str, wins: str, simulations
     Each simulated world draws a binomial count per group at the common rate: by single hashed trials up to
     `exact_up_to` trials, by the rounded normal quantile beyond, where the two agree to less than one trial.
     """
-    rate = groups.agg(F.max(ratio(wins, n)).alias("_hi"), F.min(ratio(wins, n)).alias("_lo"),
-                      ratio(F.sum(wins), F.sum(n)).alias("common_rate"),
-                      F.count(F.lit(1)).alias("groups"))
-    worlds = groups.join(F.broadcast(rate)).select(
+    worlds = groups.withColumn("common_rate", groups.agg(ratio(F.sum(wins), F.sum(n))).scalar()).select(
         group_no, n, "common_rate", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("world"))
     p, size = F.col("common_rate"), F.col(n)
     small = worlds.filter(size <= exact_up_to).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
@@ -64,13 +64,13 @@ def null_spread(groups: DataFrame, group_no: str, n: str, wins: str, simulations
     worlds = small.unionByName(large)
     ranges = worlds.groupBy("world").agg(
         (F.max("_r") - F.min("_r")).alias("_range"))
-    seen = F.col("_hi") - F.col("_lo")
-    tested = ranges.join(F.broadcast(rate))
+    rate = ratio(wins, n)
+    seen = groups.agg(F.max(rate) - F.min(rate)).scalar()
+    tested = ranges.withColumn("_seen", seen)
     return tested.agg(
-        F.max("groups").alias("groups"), F.max("common_rate").alias("common_rate"),
-        F.max(seen).alias("observed_range"), F.percentile("_range", F.lit(0.5)).alias("chance_median"),
+        F.max("_seen").alias("observed_range"), F.percentile("_range", F.lit(0.5)).alias("chance_median"),
         F.percentile("_range", F.lit(0.95)).alias("chance_p95"),
-        F.avg((F.col("_range") >= seen).cast("double")).alias("p_value"))
+        F.avg((F.col("_range") >= F.col("_seen")).cast("double")).alias("p_value"))
 
 
 def fisher_exact(tables: DataFrame, keys: list[str], a: str, b: str, c: str, d: str) -> DataFrame:

@@ -41,9 +41,8 @@ def player_key(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Canonical player id: source id with aliases joined, or the name key for all rows if any id is missing."""
     by_id = text.lookup("player_id", aliases) if aliases else F.col("player_id")
     by_name = text.name_key("player", "birth_year", "nationality")
-    missing = df.agg(F.coalesce(F.max(F.col("player_id").isNull().cast("int")), F.lit(0)).alias("_missing"))
-    return df.join(F.broadcast(missing)).withColumn(
-        "player_key", F.when(F.col("_missing") == 1, by_name).otherwise(by_id)).drop("_missing")
+    missing = df.agg(F.max(F.col("player_id").isNull().cast("int"))).scalar()
+    return df.withColumn("player_key", F.when(missing == 1, by_name).otherwise(by_id))
 
 
 def league_norms(df: DataFrame) -> DataFrame:

@@ -130,11 +130,11 @@ def window_study(matches: DataFrame, windows: list[int]) -> DataFrame:
     long = team_rows(matches, ["season", "league"], {"goals": ("hg", "ag")}).drop("rival")
     totals = long.groupBy("league", "team", "side", "season").agg(
         F.count(F.lit(1)).alias("n"), F.sum("goals").alias("goals"))
-    bounds = totals.agg(F.min("season").alias("lo"), F.max("season").alias("hi"))
+    last = totals.agg(F.max("season")).scalar()
     sizes = F.array(*[F.lit(k) for k in windows])
-    spread = (totals.join(F.broadcast(bounds)).withColumn("seasons", F.explode(sizes))
-              .withColumn("_to", F.when(F.col("seasons") == 0, F.col("hi"))
-                          .otherwise(F.least(F.col("season") + F.col("seasons"), F.col("hi"))))
+    spread = (totals.withColumn("seasons", F.explode(sizes)).withColumn("_last", last)
+              .withColumn("_to", F.when(F.col("seasons") == 0, F.col("_last"))
+                          .otherwise(F.least(F.col("season") + F.col("seasons"), F.col("_last"))))
               .filter(F.col("season") < F.col("_to"))
               .withColumn("season", F.explode(F.sequence(F.col("season") + 1, F.col("_to")))))
     keys = ["league", "team", "side", "season"]

@@ -123,7 +123,7 @@ def linear_edges_tercile(df: DataFrame, value: str, tie: str, out: str,
                             .otherwise(2)).drop("_start", "_n", "_c", "_salt", "_off", "_pos")
 
 
-def concentration(df: DataFrame, keys: list[str], amount: str, ident: str, target: float = 0.8,
+def concentration(df: DataFrame, keys: list[str], amount: str, target: float = 0.8,
                   out: str = "needed") -> DataFrame:
     """Fewest members, largest first, that reach `target` of the group's amount (0 for an empty total).
 

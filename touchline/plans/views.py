@@ -90,7 +90,7 @@ _define("p2", "p1", [
 _define("p3", "p2", [
     "cast(pk * 100000 + yr * 10 + tm % 10 as bigint) AS ranker",
     "concat('Jugadór ', cast(pk - pk % 2 * (case when pk % 50 = 1 then 1 else 0 end) as string)) AS player",
-    "concat('xx N', cast(pk % 6 as string)) AS nationality",
+    "concat('xx N', cast((pk - pk % 2) % 6 as string)) AS nationality",
     "case ps when 0 then 'GK' when 1 then 'DF' when 2 then 'MF,FW' else 'FW' end AS position",
     "concat('Club ', cast(lg as string), '-', cast(tm as string)) AS team",
     "concat('LG', cast(lg as string)) AS league",
