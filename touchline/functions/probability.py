@@ -63,7 +63,7 @@ def expected_floor(lam, divisor: int, terms: int = 40) -> Column:
 def blank_probability(nineties, goals) -> Column:
     """Unbiased estimate of exp(-rate) from `goals` over `nineties` matches: ((n-1)/n)^goals."""
     n = F.when(col(nineties) > 0, col(nineties))
-    return F.pow(F.greatest((n - 1) / n, F.lit(0.0)), col(goals))
+    return F.when(n.isNotNull(), F.pow(F.greatest((n - 1) / n, F.lit(0.0)), col(goals)))
 
 
 PRIME = 2147483647

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numeric import pearson, per90, ratio, share, weighted_mean, zero_if_null
 from touchline.operators.ordered import top_rows
 from touchline.operators.ranking import concentration, rank_correlation
+from touchline.session import settle
 
 
 def team_summary(rows: DataFrame, locals_by_league: dict[str, list[str]], keep_partial: bool = False) -> DataFrame:
@@ -100,6 +101,7 @@ def best_fantasy_per_team(scored: DataFrame) -> DataFrame:
 
 def league_comparison(teams: DataFrame, seasons: DataFrame, min_minutes: float) -> DataFrame:
     """One row per league: panel size, rank correlations with points per match and stabilities."""
+    teams, seasons = settle(teams), settle(seasons)
     j = with_team_points(seasons, teams)
     size = seasons.groupBy("league").agg(F.count_distinct("season").alias("seasons"),
                                          F.count_distinct("player_key").alias("players"))
@@ -121,7 +123,7 @@ def league_comparison(teams: DataFrame, seasons: DataFrame, min_minutes: float)
 def position_comparison(scored: DataFrame, min_minutes: float = 1500) -> DataFrame:
     """League and position: mean points, defensive share and three stabilities, on complete rows."""
     keys = ["league", "main_position"]
-    d = scored.filter("complete")
+    d = settle(scored.filter("complete"))
     t = d.filter(F.col("minutes") >= min_minutes)
     out = t.groupBy(*keys).agg(
         F.count_distinct("player_key").alias("players"), F.count(F.lit(1)).alias("seasons"),
@@ -155,7 +157,7 @@ def transfer_pairs(scored: DataFrame, leagues: list[str], min_minutes: float) ->
 
 def ladder_moves(scored: DataFrame, leagues: list[str], min_minutes: float = 1500) -> DataFrame:
     """League changes with the percentile expected from players who changed club inside their league, and the residual."""
-    pairs = transfer_pairs(scored, leagues, min_minutes)
+    pairs = settle(transfer_pairs(scored, leagues, min_minutes))
     same = F.col("league") == F.col("league_next")
     control = pairs.filter(same & (F.col("main_team_id") != F.col("main_team_id_next")))
     line = control.agg(F.struct(F.regr_slope("pct_complete_next", "pct_complete").alias("slope"),
@@ -254,7 +256,7 @@ def squad_quality(teams: DataFrame, scored: DataFrame) -> DataFrame:
 
 def squad_vs_points(teams: DataFrame, scored: DataFrame) -> DataFrame:
     """Rank correlation of squad quality with points per match, per league."""
-    m = squad_quality(teams, scored)
+    m = settle(squad_quality(teams, scored).select("league", "squad_pct", "top_fifth", "ppm"))
     a = rank_correlation(m, ["league"], "squad_pct", "ppm", "rho_squad").withColumnRenamed("pairs", "team_seasons")
     b = rank_correlation(m, ["league"], "top_fifth", "ppm", "rho_top_fifth").drop("pairs")
     return a.join(b, "league")

@@ -10,6 +10,7 @@ from touchline.operators import fantasy, league, panel
 from touchline.operators.ranking import gini
 from touchline.plans.registry import query
 from touchline.plans.views import RAW_PANEL_SQL, ctes, raw_panel, view
+from touchline.session import settle
 
 ALIASES = {"00000033": "00000032"}
 NAMESAKES = ["jugador-100|1980|N4"]
@@ -36,7 +37,8 @@ def scored(spark, sf) -> DataFrame:
 
 
 def ranked(spark, sf) -> DataFrame:
-    return fantasy.complete_percentile(scored(spark, sf), min_minutes=MIN_MINUTES)
+    # points are read several times by the ranking: written once to the shared folder
+    return fantasy.complete_percentile(settle(scored(spark, sf)), min_minutes=MIN_MINUTES)
 
 
 def teams(spark, sf) -> DataFrame:
