@@ -189,9 +189,8 @@ def polychoric(tables: DataFrame, rounds: int = 3) -> DataFrame:
     def edges(axis):
         w = Window.partitionBy("pair").orderBy(axis)
         marg = tables.groupBy("pair", axis).agg(F.sum("n").alias("m"))
-        cum = marg.withColumn("_c", F.sum("m").over(w)).withColumn(
-            "_t", F.sum("m").over(Window.partitionBy("pair")))
-        up = F.when(F.col("_c") == F.col("_t"), 8.0).otherwise(normal_quantile(F.col("_c") / F.col("_t")))
+        cum = marg.withColumn("_p", F.sum("m").over(w) / F.sum("m").over(Window.partitionBy("pair")))
+        up = F.when(F.col("_p") >= 1, 8.0).otherwise(normal_quantile("_p"))
         cum = cum.withColumn(f"{axis}1", up)
         return cum.withColumn(f"{axis}0", F.coalesce(F.lag(f"{axis}1").over(w), F.lit(-8.0))).select(
             "pair", axis, f"{axis}0", f"{axis}1")

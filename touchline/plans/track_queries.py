@@ -182,9 +182,9 @@ pd AS (SELECT l.*, fc.p_home, fc.p_draw, fc.p_away, case when fc.lam is null the
 
 
 @query("bet_model_prob", f"""WITH {PRICED} SELECT bet_id, round(p_model, 6) AS p_model, round(1 / odds, 6) AS p_implied, round(p_model - 1 / odds, 6) AS edge,
-case when kind = '1x2' then selection = model_pick end AS agrees FROM pd""")
+case when kind = '1x2' then (selection = model_pick)::int end AS agrees FROM pd""")
 def bet_model_prob(spark, sf):
-    return _round(priced_legs(spark, sf), ["bet_id", "agrees"], ["p_model", "p_implied", "edge"])
+    return _round(priced_legs(spark, sf).withColumn("agrees", F.col("agrees").cast("int")), ["bet_id", "agrees"], ["p_model", "p_implied", "edge"])
 
 
 COMBO = f"""{LEGS}, un AS (SELECT coalesce(combo_id, concat('S', cast(bet_id as string))) AS unit, min(match_date) AS match_date, min(league) AS league, count(*) AS legs,
@@ -292,9 +292,9 @@ def _overlaid(spark, sf):
     return tracking.overlay(fc, reg, ["p_home", "p_draw", "p_away"])
 
 
-@query("overlay_frozen", f"WITH {OVER} SELECT match_id, round(p_home, 6) AS p_home, round(p_draw, 6) AS p_draw, round(p_away, 6) AS p_away, frozen, live, case when actual is not null then pick = actual end AS hit FROM ov")
+@query("overlay_frozen", f"WITH {OVER} SELECT match_id, round(p_home, 6) AS p_home, round(p_draw, 6) AS p_draw, round(p_away, 6) AS p_away, frozen, live, case when actual is not null then (pick = actual)::int end AS hit FROM ov")
 def overlay_frozen(spark, sf):
-    return _round(_overlaid(spark, sf), ["match_id", "frozen", "live", "hit"], ["p_home", "p_draw", "p_away"])
+    return _round(_overlaid(spark, sf).withColumn("hit", F.col("hit").cast("int")), ["match_id", "frozen", "live", "hit"], ["p_home", "p_draw", "p_away"])
 
 
 _EVEN = "round(greatest(p_home, p_draw, p_away) - least(p_home, p_draw, p_away), 9) <= 0.125"

@@ -222,7 +222,7 @@ def ctes(*names: str) -> str:
         source, exprs, where = _STEPS[n]
         text = ", ".join(exprs)
         if n == "e0":
-            text = text.replace("unix_day", "(epoch(cast(ts as timestamp)) // 86400)").replace(
+            text = text.replace("unix_day", "date_diff('day', date '1970-01-01', cast(ts as date))").replace(
                 "unix_minute", "cast(hour(ts) * 60 + minute(ts) as bigint)")
         tail = f" WHERE {where}" if where else ""
         parts.append(f"{n} AS (SELECT {text} FROM {source}{tail})")
