@@ -103,24 +103,23 @@ def correlation_pairs(df: DataFrame, columns: list[str], groups: list[str] | Non
     return wide.select(*groups, F.explode(rows).alias("p")).select(*groups, "p.*")
 
 
-def linear_edges_tercile(df: DataFrame, value: str, tie: str, out: str,
+def linear_edges_tercile(df: DataFrame, groups: list[str], value: str, tie: str, out: str,
                          tie_span: int = 100_000) -> DataFrame:
-    """Terciles of first-come ranks (numeric tie-break) with linear-quantile edges."""
-    ranked = value_counts_ranked(df, [], value).select(
-        value, (F.col("_rank") - (F.col("_c") - 1) / 2.0).alias("_start"), "_n", "_c")
-    joined = df.join(ranked, value)
-    w = Window.partitionBy(value, "_salt").orderBy(tie)
+    """Terciles of first-come ranks (numeric tie-break) with linear-quantile edges, per group."""
+    key = [*groups, value]
+    ranked = value_counts_ranked(df, groups, value).select(
+        *key, (F.col("_rank") - (F.col("_c") - 1) / 2.0).alias("_start"), "_n")
     # ties are numbered inside ranges of the tie-break, so one frequent value does not fill a task
-    joined = joined.withColumn("_salt", F.floor(F.col(tie) / tie_span))
-    sizes = joined.groupBy(value, "_salt").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(value).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_part", F.floor(F.col(tie) / tie_span))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_k"))
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
-    first = joined.join(sizes, [value, "_salt"]).withColumn(
+    w = Window.partitionBy(*key, "_part").orderBy(tie)
+    placed = rows.join(ranked, key).join(sizes, [*key, "_part"]).withColumn(
         "_pos", F.col("_start") + F.col("_off") + F.row_number().over(w) - 1)
-    n = F.col("_n")
-    low, high = 1 + (n - 1) / 3.0, 1 + 2 * (n - 1) / 3.0
-    return first.withColumn(out, F.when(F.col("_pos") <= low, 0).when(F.col("_pos") <= high, 1)
-                            .otherwise(2)).drop("_start", "_n", "_c", "_salt", "_off", "_pos")
+    low, high = 1 + (F.col("_n") - 1) / 3.0, 1 + 2 * (F.col("_n") - 1) / 3.0
+    level = F.when(F.col("_pos") <= low, 0).when(F.col("_pos") <= high, 1).otherwise(2)
+    return placed.withColumn(out, level).drop("_start", "_n", "_part", "_off", "_pos")
 
 
 def concentration(df: DataFrame, keys: list[str], amount: str, target: float = 0.8,

@@ -112,9 +112,9 @@ def ordinal_tables(spark, sf):
 
 def _terciles(spark, sf):
     b = view(spark, sf, "v_match").selectExpr("match_id", "hy + hr + ay + ar AS cards", "hf + af AS fouls", "hc + ac AS corners")
-    for c in ("cards", "fouls", "corners"):
-        b = ranking.linear_edges_tercile(b, c, "match_id", "_t").drop(c).withColumnRenamed("_t", c)
-    return b
+    long = b.unpivot(["match_id"], ["cards", "fouls", "corners"], "metric", "value")
+    levels = ranking.linear_edges_tercile(long, ["metric"], "value", "match_id", "level")
+    return levels.groupBy("match_id").pivot("metric", ["cards", "fouls", "corners"]).agg(F.max("level"))
 
 
 @query("polychoric")
