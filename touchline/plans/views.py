@@ -7,6 +7,7 @@ as common table expressions, so both engines start from identical rows and only
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # name -> (source, [expressions], filter)
 _STEPS: dict[str, tuple[str, list[str], str | None]] = {}
@@ -229,17 +230,17 @@ def ctes(*names: str) -> str:
     return ",\n".join(parts)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view `name` over the tables in `sf_dir`."""
+def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """The view `name` over the tables in `sf_dir`, as a batch or as a file stream."""
     if name == "p1":
-        from pyspark.sql import functions as F
-
-        return view(spark, sf_dir, "p0").groupBy(*_PANEL_KEYS).agg(
-            *[F.expr(e) for e in _PANEL_COUNTS])
+        return view(spark, sf_dir, "p0").groupBy(*_PANEL_KEYS).agg(*[F.expr(e) for e in _PANEL_COUNTS])
     if name not in _STEPS:
-        return table(spark, sf_dir, name)
+        if not stream:
+            return table(spark, sf_dir, name)
+        schema = table(spark, sf_dir, name).schema
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     source, exprs, where = _STEPS[name]
-    df = view(spark, sf_dir, source)
+    df = view(spark, sf_dir, source, stream)
     if name == "e0":
         exprs = [e.replace("unix_day", "unix_date(cast(ts as date))").replace(
             "unix_minute", "cast(hour(ts) * 60 + minute(ts) as bigint)") for e in exprs]
