@@ -8,18 +8,27 @@ from pyspark.sql import types as T
 
 TEXT_IDS = ("player_id", "team_id", "match_id_text")
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "date": T.DateType(), "boolean": T.BooleanType(),
+          "bigint": T.LongType(), "int": T.IntegerType()}
+
+
+def columns(text: str) -> T.StructType:
+    """'a string, b double' as a schema; needs no running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in text.split(","))])
+
+
 MATCHES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("Div", "Date", "Time", "HomeTeam", "AwayTeam", "FTR", "Referee")]
     + [T.StructField(n, T.DoubleType()) for n in (
         "FTHG", "FTAG", "HS", "AS", "HST", "AST", "HF", "AF", "HC", "AC", "HY", "AY", "HR", "AR", "B365H", "B365D",
         "B365A", "PSCH", "PSCD", "PSCA", "AvgH", "AvgD", "AvgA")])
 
-REGISTER = T.StructType.fromDDL(
+REGISTER = columns(
     "frozen_at string, model string, season string, league string, match_date date, home string, away string, "
     "p_home double, p_draw double, p_away double, pick string, even boolean, counts_live boolean, "
     "expected_cards double, lam double, mu double, note string")
 
-CALENDAR = T.StructType.fromDDL(
+CALENDAR = columns(
     "kind string, competition string, edition string, phase string, scope string, confederation string, "
     "start date, end date, what string, confirmed string, source string")
 
