@@ -209,7 +209,7 @@ def team_effects(df: DataFrame, value: str, keys: list[str], context: str, round
     total = cells.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("_t"))
     side = cells.groupBy(context).agg((F.sum("s") / F.sum("n")).alias("_c"))
     grand = cells.agg(F.sum("s") / F.sum("n")).scalar()
-    fitted = cells.join(total, keys).join(F.broadcast(side), context).withColumn("_g", grand)
+    fitted = cells.join(total, keys).join(side, context).withColumn("_g", grand)
     expected = F.col("_t") * F.col("_c") / F.col("_g")
     return fitted.select(*keys, context, (F.col("s") / F.col("n")).alias("observed"), expected.alias("expected"),
                          (F.col("s") / F.col("n") - expected).alias("residual"))

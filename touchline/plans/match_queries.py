@@ -540,7 +540,7 @@ def draw_rate_top_fifth(spark, sf):
     st = evaluate.stack_models(evaluated(spark, sf), ["actual"], {"model": "p", "market": "m"}).withColumn(
         "q_draw", r6("q_draw"))
     edges = st.groupBy("model").agg(F.percentile("q_draw", F.lit(0.8)).alias("edge"))
-    top = st.join(F.broadcast(edges), "model").filter(F.col("q_draw") >= F.col("edge"))
+    top = st.join(edges, "model").filter(F.col("q_draw") >= F.col("edge"))
     return top.groupBy("model").agg(F.count(F.lit(1)).alias("n"),
                                     r6(F.avg((F.col("actual") == "D").cast("int"))).alias("draw_rate"))
 

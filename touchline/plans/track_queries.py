@@ -48,21 +48,25 @@ def referee_series(spark, sf):
 def _pair_sql(v):
     return f"""WITH {BIAS_LONG}, p AS (SELECT league, referee, team, count({v}) AS n, sum({v}) AS s FROM lg GROUP BY ALL),
 q AS (SELECT *, sum(n) OVER (PARTITION BY league, team) - n AS rn, sum(s) OVER (PARTITION BY league, team) - s AS rs FROM p)
-SELECT league, referee, team, n, round(s / n, 6) AS with_referee, round(rs / rn, 6) AS with_others, round(s / n - rs / rn, 6) AS difference FROM q WHERE n >= 4 AND rn >= 4"""
+SELECT league, referee, team, n, round(s / n + 1e-9, 6) AS with_referee, round(rs / rn + 1e-9, 6) AS with_others, round(s / n - rs / rn + 1e-9, 6) AS difference FROM q WHERE n >= 4 AND rn >= 4"""
+
+
+def _off_ties(df):
+    """Rounded a hair above, so that a sum's last bit does not decide an exact half."""
+    return df.select("league", "referee", "team", "n", *[r6(F.col(c) + 1e-9).alias(c) for c in (
+        "with_referee", "with_others", "difference")])
 
 
 @query("referee_pair_vs_rest", _pair_sql("v"))
 def referee_pair_vs_rest(spark, sf):
-    return _round(referees.pair_vs_rest(_m(spark, sf), ("h_cards", "a_cards")), ["league", "referee", "team", "n"],
-                  ["with_referee", "with_others", "difference"])
+    return _off_ties(referees.pair_vs_rest(_m(spark, sf), ("h_cards", "a_cards")))
 
 
 @query("referee_pair_shot_efficiency", _pair_sql("e"))
 def referee_pair_shot_efficiency(spark, sf):
     m = _m(spark, sf).withColumns({"h_eff": F.expr("try_divide(cast(hg as double), hst)"),
                                    "a_eff": F.expr("try_divide(cast(ag as double), ast)")})
-    return _round(referees.pair_vs_rest(m, ("h_eff", "a_eff")), ["league", "referee", "team", "n"],
-                  ["with_referee", "with_others", "difference"])
+    return _off_ties(referees.pair_vs_rest(m, ("h_eff", "a_eff")))
 
 
 @query("referee_extremes", f"""WITH {BIAS}, r AS (SELECT referee, match_id, home, away, bias, row_number() OVER (PARTITION BY referee ORDER BY bias, match_id) AS lo,
@@ -194,11 +198,11 @@ COMBO = f"""{LEGS}, un AS (SELECT coalesce(combo_id, concat('S', cast(bet_id as
   case when max(combo_id) is null then max(odds) else coalesce(exp(sum(case when state <> 'push' then ln(odds) end)), 1.0) end AS odds, max(stake) AS stake FROM legs GROUP BY 1)"""
 
 
-@query("bet_combos", f"WITH {COMBO} SELECT unit, cast(match_date as string) AS match_date, legs, kind, state, round(odds, 4) AS odds, stake FROM un")
+@query("bet_combos", f"WITH {COMBO} SELECT unit, cast(match_date as string) AS match_date, legs, kind, state, round(odds + 1e-9, 4) AS odds, stake FROM un")
 def bet_combos(spark, sf):
     out = bets.combine(legs(spark, sf).withColumn("edge", F.lit(None).cast("double")))
     return out.select("unit", F.col("match_date").cast("string").alias("match_date"), "legs", "kind", "state",
-                      F.round("odds", 4).alias("odds"), "stake")
+                      F.round(F.col("odds") + 1e-9, 4).alias("odds"), "stake")
 
 
 _BAND = "case when odds <= 1.5 then '<1.5' when odds <= 2 then '1.5-2' when odds <= 3 then '2-3' else '>=3' end"
@@ -209,7 +213,7 @@ _SLICES = {"kind": "kind", "odds_band": _BAND, "structure": "case when legs = 1
 def _slice_sql(name, expr):
     expr = expr.replace("datediff_mon", "(cast(match_date as date) - date '1990-01-01')")
     return f"""SELECT '{name}' AS slice, {expr} AS value, count(*) AS n, round(avg((state = 'gano')::int), 6) AS hit_rate, round(avg(1 / odds), 6) AS mean_implied,
-round(sum(case when state = 'gano' then stake * (odds - 1) else -stake end), 4) AS profit, round(sum(stake), 4) AS staked,
+round(sum(case when state = 'gano' then stake * (odds - 1) else -stake end) + 1e-6, 3) AS profit, round(sum(stake), 4) AS staked,
 round(sum(case when state = 'gano' then stake * (odds - 1) else -stake end) / sum(stake), 6) AS roi, count(*) < 30 AS noise FROM un WHERE state IN ('gano', 'perdio') GROUP BY ALL"""
 
 
@@ -219,7 +223,7 @@ def bet_roi(spark, sf):
     slices = {k: F.expr(v.replace("datediff_mon", "datediff(match_date, date '1990-01-01')")) for k, v in _SLICES.items()}
     out = bets.returns_by_slice(units, slices)
     return out.select("slice", "value", "n", "noise", r6("hit_rate").alias("hit_rate"), r6("mean_implied").alias("mean_implied"),
-                      F.round("profit", 4).alias("profit"), F.round("staked", 4).alias("staked"), r6("roi").alias("roi"))
+                      F.round(F.col("profit") + 1e-6, 3).alias("profit"), F.round("staked", 4).alias("staked"), r6("roi").alias("roi"))
 
 
 @query("expected_value_kelly", f"""WITH {FORECAST} SELECT match_id, round(p_home * odds_h - 1, 6) AS ev, round(greatest(0, (p_home * odds_h - 1) / (odds_h - 1)), 6) AS fraction FROM ev""")
