@@ -150,7 +150,7 @@ _define("e0", "events", [
     "unix_minute AS minute_of_day",
 ])
 
-# On-ball events (places in 64ths of a yard, so that sums are exact): a match is a six-day block of one team pair, a team is fifteen users.
+# On-ball events (places in half yards, so that sums are exact): a match is a six-day block of one team pair, a team is fifteen users.
 _define("v_events", "e0", [
     "event_id", "ts",
     "cast(floor(user_id / 30) as bigint) * 10 + block AS match_id",
@@ -166,8 +166,8 @@ _define("v_events", "e0", [
     "case when event_type = 'error' then case k % 3 when 0 then 'Won' when 1 then 'Success In Play' else 'Lost' end"
     " else null end AS duel_outcome",
     "case when k % 2 = 0 then 'Complete' else 'Incomplete' end AS dribble_outcome",
-    "cast(cast(floor(value * 700) as bigint) % 7680 as double) / 64.0E0 AS x",
-    "cast((k * 80 + cast(floor(value * 100) as bigint)) % 5120 as double) / 64.0E0 AS y",
+    "cast(cast(floor(value * 700) as bigint) % 240 as double) / 2.0E0 AS x",
+    "cast((k * 80 + cast(floor(value * 100) as bigint)) % 160 as double) / 2.0E0 AS y",
     "minute_of_day % 95 AS minute",
     "case user_id % 15 when 0 then 'Goalkeeper' when 1 then 'Right Back' when 2 then 'Left Back'"
     " when 3 then 'Center Back' when 4 then case when block % 2 = 0 then 'Center Back' else 'Center Midfield' end"
