@@ -11,21 +11,25 @@ from touchline.functions.numeric import pearson, ratio, shrink_half_length
 from touchline.functions.probability import (ln_choose, normal_cdf, normal_quantile, resample_copies,
                                              with_uniform)
 from touchline.operators.ordered import number_rows
+from touchline.session import spread
 
 
 def bootstrap(units: DataFrame, unit_id: str, sums: list[str], statistics: dict[str, Column],
-              replicates: int = 2000, seed: int = 7, groups: list[str] | None = None) -> DataFrame:
+              replicates: int = 2000, seed: int = 7, groups: list[str] | None = None,
+              few_units: bool = False) -> DataFrame:
     """95 % intervals of statistics that are functions of sums, resampling whole units.
 
     A unit enters a replicate with Poisson(1) copies, the distributed form of drawing as many units as there are:
     every unit decides alone from a seeded hash, so there is no draw table, no join and only one small shuffle of
     partial sums per replicate. Use statistics that are ratios of sums, which do not depend on the replicate's size.
-    Block resampling is the same call on rows already added up per block.
+    Block resampling is the same call on rows already added up per block; `few_units` spreads such a short table
+    over the cores first.
     """
     everything = not groups
     if everything:
         units, groups = units.withColumn("_all", F.lit(0)), ["_all"]
-    drawn = units.select(*groups, unit_id, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    rows = spread(units, unit_id) if few_units else units
+    drawn = rows.select(*groups, unit_id, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
                          .alias("replicate"))
     drawn = with_uniform(drawn, "_u", seed, unit_id, "replicate").withColumn("_k", resample_copies("_u"))
     per = drawn.groupBy(*groups, "replicate").agg(*[F.sum(F.col(s) * F.col("_k")).alias(s) for s in sums])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from touchline.functions.numeric import pearson, ratio
 from touchline.functions.text import clock_minutes, lookup
 from touchline.operators.ordered import lead_row, number_rows
 from touchline.operators.ranking import gini
+from touchline.session import spread
 
 LENGTH, WIDTH = 120.0, 80.0
 # Event types that are an action on the ball.
@@ -26,6 +29,7 @@ LINES = {
                "Secondary Striker"),
 }
 MODES = ("multiplicative", "additive", "plain")
+SITES = Decimal(2**62)  # site ids are whole numbers from 0 up to here
 
 
 def line_of(position: str = "position") -> Column:
@@ -96,16 +100,20 @@ def owners(sites: DataFrame, group: list[str], site: str, weight: str | None, mo
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     (x0, x1), (y0, y1) = bounds
-    raster = sites.select(*group, site, "x", "y", *([weight] if weight else []),
+    # few sites become many cells: spread them first, a large group included
+    raster = spread(sites, *group, site).select(*group, site, "x", "y", *([weight] if weight else []),
                           F.explode(F.sequence(F.lit(0), F.lit(cells * cells - 1))).alias("cell"))
     cx = x0 + (F.col("cell") % cells + 0.5) * (x1 - x0) / cells
     cy = y0 + (F.floor(F.col("cell") / cells) + 0.5) * (y1 - y0) / cells
     d = F.sqrt((cx - F.col("x")) ** 2 + (cy - F.col("y")) ** 2)
     value = {"multiplicative": lambda: d / F.col(weight), "additive": lambda: d - F.col(weight), "plain": lambda: d}[mode]()
-    # distances are compared to nine places, so that ties do not hang on the last bit
-    raster = raster.withColumn("_v", F.round(value, 9))
-    best = raster.groupBy(*group, "cell").agg(F.min(F.struct("_v", site)).alias("_b"))
-    return best.select(*group, "cell", F.col(f"_b.{site}").alias(site))
+    # Distances are compared to nine places, so that ties do not hang on the last bit. Distance and site go into one
+    # fixed-width number, whose minimum a hash aggregate can keep in place (a struct would force a sort).
+    steps = F.floor(value * 1e9 + 0.5).cast("decimal(19,0)")
+    packed = (steps * F.lit(SITES)).cast("decimal(38,0)") + F.col(site).cast("decimal(19,0)")
+    best = raster.withColumn("_v", packed.cast("decimal(38,0)")).groupBy(*group, "cell").agg(F.min("_v").alias("_b"))
+    kind = sites.schema[site].dataType
+    return best.select(*group, "cell", F.pmod("_b", F.lit(SITES)).cast(kind).alias(site))
 
 
 def areas(sites: DataFrame, owned: DataFrame, group: list[str], site: str, cells: int = 40) -> DataFrame:

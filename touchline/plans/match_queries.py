@@ -430,7 +430,7 @@ def even_match_block_ci(spark, sf):
         "n_rest": F.sum((~even).cast("int")), "d_rest": F.sum((~even & draw).cast("int"))})
     excess = 100 * (ratio("d_even", "n_even") - ratio("d_rest", "n_rest"))
     out = inference.bootstrap(bl, "block", ["n_even", "d_even", "n_rest", "d_rest"], {"excess": excess},
-                              BLOCK_REPLICATES)
+                              BLOCK_REPLICATES, few_units=True)
     return _rounded(out, ["units"], ["excess_value", "excess_low", "excess_high"])
 
 
