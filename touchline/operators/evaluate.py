@@ -78,7 +78,7 @@ def metric_table(stacked: DataFrame, groups: list[str]) -> DataFrame:
         F.sum(F.col("_even").cast("int")).alias("even_matches"),
         F.avg(F.when(F.col("_even"), F.col("_draw"))).alias("draws_even"),
         F.avg(F.when(~F.col("_even"), F.col("_draw"))).alias("draws_rest"))
-    curve = auc(s, groups, "q_draw", "_draw").select(*groups, F.col("auc").alias("auc_draw"))
+    curve = auc(s.withColumn("_q", F.round("q_draw", 9)), groups, "_q", "_draw").select(*groups, F.col("auc").alias("auc_draw"))
     return means.join(curve, groups)
 
 

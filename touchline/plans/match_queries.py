@@ -328,7 +328,7 @@ def forecast_rps_by_season(spark, sf):
 _STACK = f"""{FORECAST}, st AS (SELECT match_id, league, season, actual, 'market' AS model, m_draw AS q_draw, m_home AS q_home, m_away AS q_away FROM ev
 UNION ALL SELECT match_id, league, season, actual, 'model', p_draw, p_home, p_away FROM ev),
 sr AS (SELECT *, greatest(q_draw, q_home, q_away) - least(q_draw, q_home, q_away) <= 0.125 AS ev_, (actual = 'D')::int AS dr,
-  rank() OVER (PARTITION BY model ORDER BY q_draw) + (count(*) OVER (PARTITION BY model, q_draw) - 1) / 2.0 AS rk FROM st)"""
+  rank() OVER (PARTITION BY model ORDER BY round(q_draw, 9)) + (count(*) OVER (PARTITION BY model, round(q_draw, 9)) - 1) / 2.0 AS rk FROM st)"""
 _Q = score_sql("q")
 
 
