@@ -76,15 +76,10 @@ def walk_forward(features: DataFrame, columns: list[str], period: str = "season"
             continue
         test = known.filter(F.col(period) == row[period])
         parts.append(GoalModel(columns).fit(train).predict(test))
-    return union_all(parts) if parts else GoalModel.predict_nothing(known)
-
-
-def _predict_nothing(known: DataFrame) -> DataFrame:
-    empty = known.limit(0)
-    return empty.withColumns({c: F.lit(None).cast("double") for c in ("lam", "mu", "p_draw", "p_home", "p_away")})
-
-
-GoalModel.predict_nothing = staticmethod(_predict_nothing)
+    if parts:
+        return union_all(parts)
+    none = F.lit(None).cast("double")
+    return known.limit(0).withColumns({c: none for c in ("lam", "mu", "p_draw", "p_home", "p_away")})
 
 
 def _normal_equations(df: DataFrame, columns: list[str], weight, response):

@@ -5,9 +5,9 @@ _M = "2147483647"
 
 def uniform_from(source: str, out: str, seed: int, *parts: str) -> str:
     """`source` with a seeded uniform column `out`, step by step as nested selects."""
-    sql, x = f"(SELECT *, cast({seed} as bigint) AS _x FROM {source})", ""
+    sql = f"(SELECT *, cast({seed} as bigint) AS _x FROM {source})"
     for p in parts:
         sql = f"(SELECT * REPLACE ((((_x * 31 + cast({p} as bigint) % {_M}) % {_M}) * 1597334677) % {_M} AS _x) FROM {sql})"
         sql = f"(SELECT * REPLACE ((xor(_x, _x >> 15) * 747796405) % {_M} AS _x) FROM {sql})"
         sql = f"(SELECT * REPLACE ((xor(_x, _x >> 13) * 1274126177) % {_M} AS _x) FROM {sql})"
-    return f"(SELECT * EXCLUDE (_x), _x / {_M}.0 AS {out} FROM {sql}){x}"
+    return f"(SELECT * EXCLUDE (_x), _x / {_M}.0 AS {out} FROM {sql})"
