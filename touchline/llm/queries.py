@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import table, text_of
 
+TOXIC_FROM = 0.3  # score from which a document is predicted to be toxic
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -49,3 +51,15 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.winnowing import compared_with_next
 
     return compared_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by class models of the labelled documents that are not held out."""
+    from touchline.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = documents.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                              toxicity.score(spark, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
