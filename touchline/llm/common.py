@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.session import settle
+from touchline.session import shared_folder
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -14,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as a table to the folder that the cluster shares, and read from there.
+
+    It survives lost executors, and is dealt out anew by the joins that follow, so that Spark can split their large keys.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -43,10 +55,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     set never grows, every round is written to the shared folder, and a node with very many links is only aggregated by
     (partial minima) or joined with the one row of its minimum, which Spark can split.
     """
-    current = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         large = _star(current, both=True)
-        small = settle(_star(large, both=False))
+        small = stored(_star(large, both=False))
         if not _changed(current, small):
             return small.select(F.col("a").alias("node"), F.col("b").alias("component"))
         current = small

@@ -63,3 +63,35 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = documents.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
                               toxicity.score(spark, model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+#: Relative target weights of sources; one that isn't named has weight 1.
+TARGET_WEIGHTS = {"src0": 6.0}
+
+
+@query
+def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, repeated by Poisson numbers so that the sources have their target weights, in a hashed order."""
+    from touchline.llm.poisson_mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), TARGET_WEIGHTS, copy="copy")
+
+
+@query
+def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of three-line windows that occurred before."""
+    from touchline.llm.line_windows import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), removed="lines_removed")
+
+
+@query
+def op8_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: spans of the patterns and those that the character model adds."""
+    from touchline.llm.secret_markov import as_text, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
+                        as_text(F.col("spans")).alias("spans"))

@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from touchline.llm.common import components, own_name
-from touchline.session import settle
+from touchline.llm.common import components, own_name, stored
 
 SEED = 42
 BLOCK = 65_536  # shingle hashes expanded to bits at a time
@@ -86,26 +85,26 @@ def _near(a: str, b: str, bits: int) -> Column:
 
 def linked_prints(prints: DataFrame, bits: int) -> DataFrame:
     """(node, component): the smallest linked fingerprint of every fingerprint that has a link, from a frame of distinct `f`."""
-    prints = settle(prints.select("f"))
+    prints = stored(prints.select("f"))
     keyed = variants(prints, bits)
     stars = keyed.groupBy("b", "m").agg(
         F.min("f").alias("low"), F.max("f").alias("high"), F.min_by("f", F.xxhash64("f")).alias("any")).where("low <> high")
     near = F.array_distinct(F.filter(F.array("low", "high", "any"), lambda c: (
         F.bit_count(c.bitwiseXOR(F.col("f"))) <= bits) & (c != F.col("f"))))
     met = keyed.join(stars, ["b", "m"]).select("f", near.alias("near")).where(F.size("near") > 0)
-    edges = settle(met.select(F.col("f").alias("a"), F.explode("near").alias("b")).distinct())
+    edges = stored(met.select(F.col("f").alias("a"), F.explode("near").alias("b")).distinct())
     first = components(edges)
 
     grouped = prints.join(first, F.col("f") == F.col("node"), "left").select("f", F.coalesce("component", "f").alias("c"))
-    grouped = settle(grouped)
+    grouped = stored(grouped)
     members = variants(grouped, bits)
     mixed = (members.groupBy("b", "m", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "m")
              .agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("groups"))
              .where("groups > 1").drop("groups"))
-    inside = settle(members.join(mixed, ["b", "m"]))
+    inside = stored(members.join(mixed, ["b", "m"]))
     outside = inside.where("c <> main").select("b", "m", F.col("f").alias("g"), F.col("c").alias("d"))
     more = inside.join(outside, ["b", "m"]).where((F.col("c") != F.col("d")) & _near("f", "g", bits))
-    more = settle(more.select(F.col("f").alias("a"), F.col("g").alias("b")).distinct())
+    more = stored(more.select(F.col("f").alias("a"), F.col("g").alias("b")).distinct())
     return components(edges.union(more))
 
 
@@ -116,12 +115,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     too. Null texts count as empty. Null keys are never a component's name unless all of its keys are null. Repeated rows
     come out as often as they went in. An empty frame gives an empty frame.
     """
-    rows = settle(df.select(F.col(key).alias("k"), fingerprint(F.col(text), words).alias("f")))
-    firsts = settle(rows.groupBy("f").agg(F.min("k").alias("least")))
+    rows = stored(df.select(F.col(key).alias("k"), fingerprint(F.col(text), words).alias("f")))
+    firsts = stored(rows.groupBy("f").agg(F.min("k").alias("least")))
     links = linked_prints(firsts, bits)
     named = firsts.join(links, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("c"))
     names = named.groupBy("c").agg(F.min("least").alias("component"))
-    named = settle(named.join(names, "c").select("f", "component"))
+    named = stored(named.join(names, "c").select("f", "component"))
     return rows.join(named, "f").select(F.col("k").alias(key), F.col("f").alias("fingerprint"), "component")
 
 
@@ -134,8 +133,8 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: i
     """
     k, f, h, n = (own_name(df, s) for s in ("key", "print", "hash", "order"))
     rows = df.select("*", fingerprint(F.col(text), words).alias(f), F.xxhash64(text).alias(h))
-    slim = settle(rows.select(F.col(key).alias(k), F.col(f), F.col(h)))
-    firsts = settle(slim.groupBy(F.col(f).alias("f")).agg(F.min(F.struct(F.col(k).isNull().alias("z"), F.col(k).alias("k"),
+    slim = stored(rows.select(F.col(key).alias(k), F.col(f), F.col(h)))
+    firsts = stored(slim.groupBy(F.col(f).alias("f")).agg(F.min(F.struct(F.col(k).isNull().alias("z"), F.col(k).alias("k"),
                                                                        F.col(h).alias("h"))).alias("least")))
     links = linked_prints(firsts, bits)
     named = firsts.join(links, F.col("f") == F.col("node"), "left")
