@@ -95,3 +95,23 @@ def op8_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
               for k, name in enumerate(("assign", "access", "hex"))]
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
                         as_text(F.col("spans")).alias("spans"))
+
+
+#: The rules of the URL query.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+@query
+def op1_url_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, or by models of the characters of the urls that rules accept and reject."""
+    from touchline.llm.url_language import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op5_quantised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors of a label with a cosine of 0.98 or more."""
+    from touchline.llm.quantised_links import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.98).withColumnRenamed("component", "component_id")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from touchline.llm.common import own_name, text_of
+from touchline.llm.fitting import logistic, sigmoid
 
 WORD_BITS, PAIR_BITS = 18, 20
 DISCOUNT = 2.0  # expressions seen at most so often are left to the backoff
@@ -94,11 +95,7 @@ class Model:
         if not len(self.weights):
             return np.full(len(texts), self.base)
         x = (inputs(self.differences(texts)) - self.centre) / self.scale
-        return _sigmoid(np.column_stack([np.ones(len(x)), x]) @ self.weights)
-
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid(np.column_stack([np.ones(len(x)), x]) @ self.weights)
 
 
 def inputs(d: np.ndarray) -> np.ndarray:
@@ -106,19 +103,6 @@ def inputs(d: np.ndarray) -> np.ndarray:
     return np.stack([d[:, 0], d[:, 1], d[:, 2] / np.maximum(d[:, 3], 1), np.log1p(d[:, 2]), np.log1p(d[:, 3])], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1.0) -> np.ndarray:
-    """Weights (the constant first) by damped Newton steps with a ridge."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step / max(1.0, np.abs(step).max())
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
-
-
 def lower_orders(continuations: np.ndarray) -> np.ndarray:
     """Lower-order probabilities from continuation counts [2, words] over those both classes share, per backoff mass.
 
