@@ -115,3 +115,13 @@ def op5_quantised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.quantised_links import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.98).withColumnRenamed("component", "component_id")
+
+
+@query
+def op4_dom_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the model of its DOM."""
+    from touchline.llm.dom_field import fitted, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", main_text(F.col("html"), fitted(pages)).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
