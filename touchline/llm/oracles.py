@@ -1,5 +1,106 @@
-"""SQL (DuckDB) giving the rows of this package's queries, where SQL can express them."""
+"""SQL (DuckDB) giving the rows of this package's queries, where SQL can express them.
+
+Fitted models (URL, DOM, toxicity), XXH64 fingerprints, winnowed hashes and BPE ids are beyond it; tests hold those queries
+against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from touchline.llm import secret_markov as s
+from touchline.llm.poisson_mixing import SEED
+from touchline.llm.queries import TARGET_WEIGHTS
+
+_WEIGHTS = " ".join(f"WHEN source = '{name}' THEN {weight}" for name, weight in TARGET_WEIGHTS.items())
+
+POISSON_MIXING = f"""
+WITH sizes AS (
+  SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size, CASE {_WEIGHTS} ELSE 1.0 END::DOUBLE AS weight
+  FROM documents GROUP BY source),
+rates AS (
+  SELECT source, CASE WHEN size > 0 THEN weight / sum(weight) OVER () * sum(size) OVER () / size ELSE 1.0 END AS rate FROM sizes),
+terms AS (
+  SELECT source, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p FROM rates, range(0, 400) AS t(j) WHERE rate > 0),
+upto AS (SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM terms),
+draws AS (
+  SELECT *, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '~') || '|1'), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents),
+counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(u2.j) AS n
+  FROM draws d LEFT JOIN upto u2 ON d.source IS NOT DISTINCT FROM u2.source AND u2.c <= d.u
+  GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS "copy" FROM counted WHERE n > 0
+"""
+
+LINE_WINDOWS = """
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM cut),
+full_lines AS (SELECT doc_id, i, rtrim(line, ' ') AS line FROM each WHERE trim(line, ' ') <> ''),
+windows AS (
+  SELECT doc_id, i AS a, lead(i, 2) OVER w AS b, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS held
+  FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+whole AS (SELECT * FROM windows WHERE b IS NOT NULL),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER o AS d0, first_value(a) OVER o AS a0, first_value(b) OVER o AS b0
+  FROM whole WINDOW o AS (PARTITION BY held ORDER BY doc_id, a)),
+later AS (
+  SELECT doc_id, CASE WHEN doc_id = d0 THEN greatest(a, b0 + 1) ELSE a END AS a, b FROM ranked WHERE doc_id <> d0 OR a <> a0),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM later WHERE a <= b),
+kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i
+  GROUP BY e.doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, d.lang, d.source, d.n_chars,
+       coalesce(l.n, 0)::INT AS lines_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id
+"""
+
+
+def _found(kind: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: pieces between matches and matches in turn, their lengths added up."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {kind} AS k, start AS s, start + length(m) AS e, m AS v FROM (
+    SELECT doc_id, m, g, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (
+             PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT doc_id, unnest(range(0, len(ms))) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[:len(ms)]) AS gap
+          FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}', 0) AS ms, regexp_extract_all(text, '{quoted}', {group}) AS gs,
+                       string_split_regex(text, '{quoted}') AS gaps FROM texts)) p
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i)) q
+  WHERE length(g) >= {least}"""
+
+
+_KIND = "[" + ", ".join(f"'{k}'" for k in s.KINDS) + "][k + 1]"
+
+SECRETS = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(_found(k, p, g, n) for k, (p, g, n, _) in enumerate(s.PATTERNS))}),
+candidates AS (
+  SELECT *, EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e) AS random
+  FROM ({_found(3, s.CANDIDATE, 0, 1)}) c),
+pairs AS (
+  SELECT doc_id, s, random, substr(v, i::INT, 1) AS x, substr(v, i::INT + 1, 1) AS y
+  FROM (SELECT *, unnest(range(1, length(v))) AS i FROM candidates)),
+counts AS (SELECT x, y, count(*) FILTER (random) AS r, count(*) FILTER (NOT random) AS o FROM pairs GROUP BY x, y),
+ratios AS (
+  SELECT x, y, ln(((r + {s.PSEUDO}) / (sum(r) OVER (PARTITION BY x) + {s.PSEUDO * s.ALPHABET}))
+                  / ((o + {s.PSEUDO}) / (sum(o) OVER (PARTITION BY x) + {s.PSEUDO * s.ALPHABET}))) AS ratio FROM counts),
+prior AS (SELECT ln((count(*) FILTER (random) + 1) / (count(*) FILTER (NOT random) + 1)) AS p FROM candidates),
+scored AS (SELECT doc_id, s, sum(ratio) AS t FROM pairs JOIN ratios USING (x, y) WHERE NOT random GROUP BY doc_id, s),
+spans AS (
+  SELECT doc_id, k, s, e FROM base
+  UNION ALL SELECT c.doc_id, c.k, c.s, c.e FROM candidates c JOIN scored USING (doc_id, s) WHERE t + (SELECT p FROM prior) > 0),
+listed AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg({_KIND} || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+         string_agg({_KIND} || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_poisson_mixing": POISSON_MIXING,
+    "op3_line_windows": LINE_WINDOWS,
+    "op8_secret_markov": SECRETS,
+}

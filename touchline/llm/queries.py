@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.common import table, text_of
@@ -91,8 +91,11 @@ def op8_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.secret_markov import as_text, find_secrets
 
     found = find_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(("assign", "access", "hex"))]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
                         as_text(F.col("spans")).alias("spans"))
 

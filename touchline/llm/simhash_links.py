@@ -131,7 +131,7 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: i
     (the smallest hash) stay once; rows with a null key stay only if their group has no other. Columns and their order are
     those of `df`.
     """
-    k, f, h, n = (own_name(df, s) for s in ("key", "print", "hash", "order"))
+    k, f, h = (own_name(df, s) for s in ("key", "print", "hash"))
     rows = df.select("*", fingerprint(F.col(text), words).alias(f), F.xxhash64(text).alias(h))
     slim = stored(rows.select(F.col(key).alias(k), F.col(f), F.col(h)))
     firsts = stored(slim.groupBy(F.col(f).alias("f")).agg(F.min(F.struct(F.col(k).isNull().alias("z"), F.col(k).alias("k"),
@@ -139,6 +139,8 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: i
     links = linked_prints(firsts, bits)
     named = firsts.join(links, F.col("f") == F.col("node"), "left")
     keep = named.groupBy(F.coalesce("component", "f").alias("c")).agg(F.min(F.struct("least", "f")).alias("best"))
-    keep = keep.select(F.col("best.least.k").alias(k), F.col("best.least.h").alias(h)).withColumn(n, F.lit(1))
+    keep = stored(keep.select(F.col("best.least.k").alias(k), F.col("best.least.h").alias(h)))
     kept = df.join(keep, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)))
-    return kept.dropDuplicates([k, h]).select(*[df[c] for c in df.columns])
+    if not slim.groupBy(k, h).count().where("count > 1").isEmpty():  # only rows that are there twice need a second shuffle
+        kept = kept.dropDuplicates([k, h])
+    return kept.select(*[df[c] for c in df.columns])
