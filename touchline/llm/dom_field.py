@@ -21,7 +21,7 @@ from touchline.llm.dom import Tree, parse
 from touchline.llm.labelled_pages import MARK, labelled_pages
 
 SAMPLE_PAGES = 200  # given pages used for training, at most
-FEATURES = 4096  # features are numbered by a hash below this
+FEATURES = 1 << 16  # features are numbered by a hash below this
 ROUNDS, RATE, RIDGE = 300, 0.1, 0.02
 BATCH_NODES = 200_000  # pages are put through the model together up to so many nodes
 
@@ -56,7 +56,8 @@ def _bucket(n: int, edges: tuple[int, ...]) -> int:
 def _features(tree: Tree, i: int, inside: str) -> list[str]:
     tag = tree.tag[i]
     if tag:
-        hints = [f"name:{w}" for w in tree.names[i]] + ["boilerplate"] * bool(BOILERPLATE_NAMES & {*tree.names[i]})
+        names = {*tree.names[i]}
+        hints = [f"name:{w}" for w in tree.names[i]] + ["boilerplate"] * bool(BOILERPLATE_NAMES & names) + ["content"] * bool(CONTENT_NAMES & names)
         return ["block", f"tag:{tag}", *hints, *(["hidden"] if tree.hidden[i] else [])]
     text, links = tree.text[i], tree.linked[i]
     words = text.count(" ") + 1

@@ -38,6 +38,13 @@ AFTER = (
     "<div role='contentinfo'>{s}</div>", "<div role='complementary'><p>{p}</p></div>", "<div class='subscribe'><p>{s}</p></div>",
     "<div class='popup modal'><p>{p}</p></div>", "<div class='promo-box'><a href='/x'>{p}</a></div>", "<div class='legal disclaimer'><p>{p}</p></div>",
     "<div class='author-bio'><p>{p}</p></div>", "<div class='tags'>{l}</div>")
+# Words in names of blocks with the main text, and of others.
+CONTENT_WORDS = "article body content entry main page post story text".split()
+OTHER_WORDS = (
+    "ad ads advert advertisement alert banner bio breadcrumb captcha comment comments consent cookie copyright disclaimer discussion "
+    "disqus feedback foot footer form gdpr header legal links login masthead menu modal nav navbar navigation newsletter notice "
+    "notification pager pagination popup privacy promo promotion recommended related replies reply search share sharing side sidebar "
+    "signup skip social sponsor sponsored subscribe tags toolbar top warning widget").split()
 SYLLABLES = "ka to mi ren sol ba du fer lin gor sa pel ne vi tor".split()
 MARK = "⁣"  # stands at the start of a run that is content
 
@@ -56,22 +63,41 @@ def _filled(r: random.Random, part: str, content: bool) -> str:
     return out
 
 
-def labelled_pages(count: int = 300) -> list[str]:
+def _named(r: random.Random, words: list[str], inner: str) -> str:
+    """A block whose name, of one word or two, holds one of the words."""
+    tag, attribute = r.choice(("div", "div", "section")), r.choice(("class", "class", "id"))
+    name = r.choice(words)
+    if r.random() < 0.4:
+        other = r.choice(("wrapper", "box", "inner", "area", "list", "item", "left", "block"))
+        name = f"{name}-{other}" if r.random() < 0.5 else f"{other} {name}"
+    return f"<{tag} {attribute}='{name}'>{inner}</{tag}>"
+
+
+def _other(r: random.Random, parts: tuple[str, ...]) -> str:
+    """A part that isn't main text: one of the given, or one that only its name tells."""
+    if r.random() < 0.5:
+        return _filled(r, r.choice(parts), False)
+    inner = r.choice(("{s}", "<p>{p}</p>", "<p>{p}</p><p>{p}</p>", "<h3>{s}</h3><p>{p}</p>", "<ul>{l}</ul>", "{p}", "<div><p>{p}</p></div>"))
+    return _named(r, OTHER_WORDS, _filled(r, inner, False))
+
+
+def labelled_pages(count: int = 500) -> list[str]:
     """Pages whose content runs start with MARK; the same for every call."""
     pages = []
     for n in range(count):
         r = random.Random(n)
         blocks = ["<h1>{s}</h1>"] * (r.random() < 0.85) + [r.choice(BLOCKS) for _ in range(r.randint(1, 12))]
         inner = [_filled(r, b, True) for b in blocks]
-        if r.random() < 0.35:
-            inner.insert(r.randint(0, len(inner)), _filled(r, r.choice(INSIDE), False))
+        if r.random() < 0.4:
+            inner.insert(r.randint(0, len(inner)), _other(r, INSIDE))
         if r.random() < 0.2:
             inner[0] = f"<header>{inner[0]}</header>"
-        if r.random() < 0.2:
-            inner.append(_filled(r, r.choice(AFTER), False))
-        body = r.choice(CONTAINERS).replace("{x}", "".join(inner))
-        before = [_filled(r, p, False) for p in r.sample(BEFORE, r.randint(0, 5))]
-        after = [_filled(r, p, False) for p in r.sample(AFTER, r.randint(0, 5))]
+        if r.random() < 0.25:
+            inner.append(_other(r, AFTER))
+        held = "".join(inner)
+        body = _named(r, CONTENT_WORDS, held) if r.random() < 0.5 else r.choice(CONTAINERS).replace("{x}", held)
+        before = [_other(r, BEFORE) for _ in range(r.randint(0, 5))]
+        after = [_other(r, AFTER) for _ in range(r.randint(0, 5))]
         whole = "".join([*before, body, *after])
         if r.random() < 0.3:
             whole = f"<div class='{r.choice(('wrapper', 'page', 'container', 'site'))}'>{whole}</div>"
