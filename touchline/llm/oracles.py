@@ -81,9 +81,13 @@ pairs AS (
   SELECT doc_id, s, random, substr(v, i::INT, 1) AS x, substr(v, i::INT + 1, 1) AS y
   FROM (SELECT *, unnest(range(1, length(v))) AS i FROM candidates)),
 counts AS (SELECT x, y, count(*) FILTER (random) AS r, count(*) FILTER (NOT random) AS o FROM pairs GROUP BY x, y),
+seen AS (
+  SELECT *, sum(r) OVER a AS rn, sum(o) OVER a AS o_n, greatest(count(*) FILTER (r > 0) OVER a, 1) AS rk,
+         greatest(count(*) FILTER (o > 0) OVER a, 1) AS ok, sum(r) OVER b AS ry, sum(o) OVER b AS oy, sum(r) OVER () AS rt, sum(o) OVER () AS ot
+  FROM counts WINDOW a AS (PARTITION BY x), b AS (PARTITION BY y)),
 ratios AS (
-  SELECT x, y, ln(((r + {s.PSEUDO}) / (sum(r) OVER (PARTITION BY x) + {s.PSEUDO * s.ALPHABET}))
-                  / ((o + {s.PSEUDO}) / (sum(o) OVER (PARTITION BY x) + {s.PSEUDO * s.ALPHABET}))) AS ratio FROM counts),
+  SELECT x, y, ln(((r + rk * (ry + {s.PSEUDO}) / (rt + {s.PSEUDO * s.ALPHABET})) / (rn + rk))
+                  / ((greatest(o - 1, 0) + ok * (oy + {s.PSEUDO}) / (ot + {s.PSEUDO * s.ALPHABET})) / (greatest(o_n - 1, 0) + ok))) AS ratio FROM seen),
 prior AS (SELECT ln((count(*) FILTER (random) + 1) / (count(*) FILTER (NOT random) + 1)) AS p FROM candidates),
 scored AS (SELECT doc_id, s, sum(ratio) AS t FROM pairs JOIN ratios USING (x, y) WHERE NOT random GROUP BY doc_id, s),
 spans AS (

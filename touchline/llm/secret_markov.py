@@ -1,8 +1,9 @@
 """Secrets in texts: patterns, and a character Markov model that adds what patterns miss.
 
 Candidates are long runs of characters that keys are written in. Those that touch a pattern's span are labelled random
-strings, the others ordinary identifiers; both give counts of neighbouring characters over all texts. A candidate outside
-the patterns' spans is added if its log-likelihood ratio and the prior odds of the labels favour the random strings.
+strings, the others ordinary identifiers; both give counts of neighbouring characters over all texts, which back off to those
+of single characters by the number of different followers (Witten and Bell). A candidate outside
+the patterns' spans is added if its log-likelihood ratio (without one count of each of its own pairs) and the prior odds of the labels favour the random strings.
 
 Everything is DataFrame expressions. The model is one array of 128 x 128 ratios of ASCII characters, whatever the input.
 """
@@ -31,7 +32,7 @@ PATTERNS = ((ASSIGN, 2, 6, f"({'|'.join(either_case(w) for w in WORDS)})[\"']?\\
 CANDIDATE_LENGTH = 16
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{CANDIDATE_LENGTH},}}={{0,2}}"
 ALPHABET = 65  # characters a candidate can hold
-PSEUDO = 1.0  # count given to every pair beforehand, so that a model without samples is uniform
+PSEUDO = 1.0  # count given to every character beforehand, so that a model without samples is uniform
 
 _SPANS = "array<struct<s:int,k:int,e:int,v:string>>"
 
@@ -89,11 +90,23 @@ def trained(found: DataFrame) -> DataFrame:
         F.count_if("random").alias("random"), F.count_if(~F.col("random")).alias("ordinary"),
         F.count_if(F.col("random") & first).alias("randoms"), F.count_if(~F.col("random") & first).alias("ordinaries"))
     grid = found.sparkSession.range(128 * 128).select(F.col("id").cast("int").alias("code")).join(stored(counts), "code", "left")
-    grid = grid.fillna(0).withColumn("before", F.floor(F.col("code") / 128))
-    totals = grid.groupBy("before").agg(F.sum("random").alias("r"), F.sum("ordinary").alias("o"))
-    shares = [(F.col(c) + PSEUDO) / (F.col(t) + PSEUDO * ALPHABET) for c, t in (("random", "r"), ("ordinary", "o"))]
-    return grid.join(totals, "before").agg(
-        F.array_sort(F.collect_list(F.struct("code", F.log(shares[0] / shares[1]).alias("x")))).getField("x").alias("ratio"),
+    grid = stored(grid.fillna(0).select("*", F.floor(F.col("code") / 128).alias("before"), (F.col("code") % 128).alias("after")))
+    classes = ("random", "ordinary")
+    firsts = grid.groupBy("before").agg(*[F.sum(c).alias(f"{c}_n") for c in classes],
+                                        *[F.greatest(F.count_if(F.col(c) > 0), F.lit(1)).alias(f"{c}_kinds") for c in classes])
+    seconds = grid.groupBy("after").agg(*[F.sum(c).alias(f"{c}_after") for c in classes])
+    total = grid.agg(*[F.sum(c).alias(c) for c in classes])
+
+    def share(c: str) -> Column:
+        alone = (F.col(f"{c}_after") + PSEUDO) / (total.select(c).scalar() + PSEUDO * ALPHABET)
+        own = F.lit(1 if c == "ordinary" else 0)  # what is scored was counted as ordinary, and is left out again
+        count, before = F.greatest(F.col(c) - own, F.lit(0)), F.greatest(F.col(f"{c}_n") - own, F.lit(0))
+        return (count + F.col(f"{c}_kinds") * alone) / (before + F.col(f"{c}_kinds"))
+
+    ratio = F.log(share("random") / share("ordinary"))
+    table = stored(grid.join(firsts, "before").join(seconds, "after").select("code", ratio.alias("x"), "randoms", "ordinaries"))
+    return table.agg(
+        F.array_sort(F.collect_list(F.struct("code", "x"))).getField("x").alias("ratio"),
         F.log((F.sum("randoms") + 1) / (F.sum("ordinaries") + 1)).alias("prior"))
 
 
