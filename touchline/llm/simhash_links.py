@@ -4,9 +4,9 @@ To find all fingerprints at `bits` or fewer differing bits, 64 bits are cut into
 then differs by at most one bit. Every segment is indexed once per bit with that bit blanked, so two fingerprints whose
 segment differs in at most one place share a key. Candidates meet by equality of keys and are verified over all 64 bits.
 
-Only distinct fingerprints are indexed. Members of a key are first compared with a few of its members (a star, so a dense
-group makes no pairs); after the stars are joined into components, only members outside a key's main component are compared
-with the rest of the key. Every linked pair is thus either inside one component already or compared itself.
+Only distinct fingerprints are indexed, and only they move: once, to the tasks of their keys, where buckets are read as a
+sorted stream and candidates verified over all 64 bits. What leaves a bucket is not its pairs but links enough to join what
+they join, at most one per member of a large bucket.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from touchline.llm.common import components, own_name, stored
 
 SEED = 42
 BLOCK = 65_536  # shingle hashes expanded to bits at a time
+NEIGHBOURS = 8  # buckets larger than this and one are searched instead of compared pair by pair
 
 
 def fingerprint_of(text: str | None, words: int) -> int:
@@ -71,41 +72,72 @@ def _bounds(bits: int) -> list[tuple[int, int]]:
 
 
 def variants(prints: DataFrame, bits: int) -> DataFrame:
-    """Frame of distinct fingerprints `f` with all their keys: the blanked bit and the rest of its segment."""
-    masks = [(((1 << end) - (1 << first)) & ~(1 << b), b) for first, end in _bounds(bits) for b in range(first, end)]
-    signed = [m - (1 << 64) if m >> 63 else m for m, _ in masks]
-    keys = F.array(*[F.struct(F.lit(b).cast("byte").alias("b"), F.col("f").bitwiseAND(F.lit(m).cast("long")).alias("m"))
-                     for m, (_, b) in zip(signed, masks)])
-    return prints.select("*", F.inline(keys))
+    """(key, f): a frame of distinct fingerprints `f` with the hashes of all their segment variants, one per blanked bit."""
+    masks = [((1 << end) - (1 << first)) & ~(1 << b) for first, end in _bounds(bits) for b in range(first, end)]
+    signed = F.array(*[F.lit(m - (m >> 63 << 64)).cast("long") for m in masks])
+    each = prints.select("f", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b"))
+    return each.select(F.xxhash64("b", F.col("f").bitwiseAND(signed[F.col("b")])).alias("key"), "f")
 
 
-def _near(a: str, b: str, bits: int) -> Column:
-    return (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits) & (F.col(a) != F.col(b))
+def bucket_links(keys: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what a bucket's fingerprints join, from arrays ordered by key; every bucket must be whole.
+
+    Buckets of at most NEIGHBOURS + 1 are compared at every distance in the order, all at once. A larger one is searched:
+    each member reached is compared with those not reached yet, so one dense group costs little more than its size.
+    """
+    starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
+    sizes = np.diff(starts)
+    left, right = [], []
+    small = np.repeat(sizes <= NEIGHBOURS + 1, sizes)
+    for shift in range(1, NEIGHBOURS + 1):
+        same = np.nonzero((keys[shift:] == keys[:-shift]) & small[shift:])[0]
+        same = same[np.bitwise_count(prints[same] ^ prints[same + shift]) <= bits]
+        left.append(prints[same])
+        right.append(prints[same + shift])
+    for i in np.nonzero(sizes > NEIGHBOURS + 1)[0]:
+        waiting = prints[starts[i]:starts[i + 1]]
+        todo: list[np.ndarray] = []
+        while len(waiting):
+            if todo:
+                block = todo.pop()
+            else:
+                block, waiting = waiting[:1], waiting[1:]
+            for x in block:
+                near = np.bitwise_count(waiting ^ x) <= bits
+                if near.any():
+                    found, waiting = waiting[near], waiting[~near]
+                    left.append(found)
+                    right.append(np.full(len(found), x))
+                    todo.append(found)
+                if not len(waiting):
+                    break
+    return np.concatenate(left), np.concatenate(right)
 
 
 def linked_prints(prints: DataFrame, bits: int) -> DataFrame:
     """(node, component): the smallest linked fingerprint of every fingerprint that has a link, from a frame of distinct `f`."""
-    prints = stored(prints.select("f"))
-    keyed = variants(prints, bits)
-    stars = keyed.groupBy("b", "m").agg(
-        F.min("f").alias("low"), F.max("f").alias("high"), F.min_by("f", F.xxhash64("f")).alias("any")).where("low <> high")
-    near = F.array_distinct(F.filter(F.array("low", "high", "any"), lambda c: (
-        F.bit_count(c.bitwiseXOR(F.col("f"))) <= bits) & (c != F.col("f"))))
-    met = keyed.join(stars, ["b", "m"]).select("f", near.alias("near")).where(F.size("near") > 0)
-    edges = stored(met.select(F.col("f").alias("a"), F.explode("near").alias("b")).distinct())
-    first = components(edges)
-
-    grouped = prints.join(first, F.col("f") == F.col("node"), "left").select("f", F.coalesce("component", "f").alias("c"))
-    grouped = stored(grouped)
-    members = variants(grouped, bits)
-    mixed = (members.groupBy("b", "m", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "m")
-             .agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("groups"))
-             .where("groups > 1").drop("groups"))
-    inside = stored(members.join(mixed, ["b", "m"]))
-    outside = inside.where("c <> main").select("b", "m", F.col("f").alias("g"), F.col("c").alias("d"))
-    more = inside.join(outside, ["b", "m"]).where((F.col("c") != F.col("d")) & _near("f", "g", bits))
-    more = stored(more.select(F.col("f").alias("a"), F.col("g").alias("b")).distinct())
-    return components(edges.union(more))
+    spark = prints.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keyed = variants(prints.select("f").repartition(width, "f"), bits).repartition(width, "key").sortWithinPartitions("key")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column("key").to_numpy()])
+            values = np.concatenate([values, batch.column("f").to_numpy().view(np.uint64)])
+            whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last bucket may go on in the next batch
+            if whole:
+                yield _edges(*bucket_links(keys[:whole], values[:whole], bits))
+                keys, values = keys[whole:], values[whole:]
+        if len(keys):
+            yield _edges(*bucket_links(keys, values, bits))
+
+    return components(stored(keyed.mapInArrow(link, "a long, b long").distinct()))
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([a, b], axis=1).view(np.int64), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, bits: int = 4) -> DataFrame:
