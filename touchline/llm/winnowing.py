@@ -18,6 +18,7 @@ from pyspark.sql.functions import arrow_udf
 from touchline.llm.common import text_of
 
 K, WINDOW = 20, 30
+ROWS_GIVEN = 256  # rows that a task gathers before it gives them on
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse among 64-bit numbers
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -152,9 +153,18 @@ def compared_with_next(df: DataFrame, text: str = "text", key: str = "doc_id", k
         "at", "guest", F.col("k").asc_nulls_first(), F.xxhash64("t"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, out = None, []
+
+        def given() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], key_type), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.string()) for c in columns[2:5]],
+                 *[pa.array(c, pa.float64()) for c in columns[5:7]], pa.array(columns[7], pa.list_(pa.int32()))],
+                ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"])
+
         for batch in batches:
-            out = []
+            key_type = batch.schema.field("k").type
             for key_, text_, at, guest in zip(*[batch.column(c) for c in ("k", "t", "at", "guest")]):
                 now = text_.as_py()
                 if last and last[2] == at.as_py() or not guest.as_py():
@@ -165,12 +175,9 @@ def compared_with_next(df: DataFrame, text: str = "text", key: str = "doc_id", k
                     out.append((last[0], len(last[1]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(),
                                 as_text(last[3]), as_text(e), likeness(last[3], e), likeness(last[3], h), last[4]))
                 last = None if guest.as_py() else (key_.as_py(), now, at.as_py(), h, p)
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], batch.schema.field("k").type), pa.array(columns[1], pa.int64()),
-                     *[pa.array(c, pa.string()) for c in columns[2:5]], *[pa.array(c, pa.float64()) for c in columns[5:7]],
-                     pa.array(columns[7], pa.list_(pa.int32()))],
-                    ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"])
+                if len(out) == ROWS_GIVEN:
+                    yield given()
+        if out:
+            yield given()
 
     return rows.mapInArrow(follow, schema).withColumnRenamed("k", key)
