@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions.probability import (expected_floor, ln_gamma, normal_cdf, normal_quantile, poisson_cdf, poisson_pmf,
-                                             resample_copies, with_uniform)
+                                             resample_copies, uniforms, with_uniform)
 from touchline.operators import evaluate, inference, models, profiles, scoreline
 from touchline.plans.match_queries import matches
 
@@ -99,9 +99,36 @@ def test_bootstrap_interval_has_the_right_width(spark):
 
 
 def test_copies_average_to_one(spark):
-    df = with_uniform(spark.range(20000).withColumn("r", F.col("id") % 7), "u", 3, "id", "r")
-    r = df.select(F.avg("u").alias("u"), F.var_samp(resample_copies("u")).alias("v"), F.avg(resample_copies("u")).alias("k")).first()
-    assert r.u == pytest.approx(0.5, abs=0.01) and r.k == pytest.approx(1, abs=0.03) and r.v == pytest.approx(1, abs=0.06)
+    df = with_uniform(spark.range(20000).withColumn("r", F.col("id") % 7), "u", 3, "id", "r").orderBy("id").toPandas()
+    assert np.array_equal(df["u"], uniforms(3, df["id"].to_numpy(), df["r"].to_numpy()))
+    copies = resample_copies(df["u"].to_numpy())
+    assert df["u"].mean() == pytest.approx(0.5, abs=0.01)
+    assert copies.mean() == pytest.approx(1, abs=0.03) and copies.var() == pytest.approx(1, abs=0.06)
+
+
+def test_chi_square_tails(spark):
+    known = [(3.841458820694124, 1, 0.05), (10.827566170662733, 1, 0.001), (0.0, 1, 1.0), (5.991464547107979, 2, 0.05),
+             (7.814727903251179, 3, 0.05), (18.307038053275146, 10, 0.05), (24.995790139728616, 15, 0.05), (0.0, 4, 1.0)]
+    df = spark.createDataFrame(known, "x double, k int, p double").withColumn("q", inference.chi_square_tail("x", "k"))
+    assert all(r.q == pytest.approx(r.p, abs=1e-9) for r in df.collect())
+
+
+def test_poisson_beyond_sixty(spark):
+    r = spark.range(1).select(poisson_cdf(F.lit(99.5), F.lit(100.0)).alias("p"), poisson_cdf(F.lit(-1), F.lit(2.0)).alias("q")).first()
+    assert r.p == pytest.approx(0.486701, abs=1e-6) and r.q == 0
+
+
+def test_team_effects_satisfy_their_margins(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"T{t}", s, int(rng.poisson((2 + t) * (1.5 if s == "H" else 0.8)))) for t in range(12) for s in "HA"
+            for _ in range(int(rng.integers(3, 60) if s == "H" else rng.integers(40, 90)))]
+    df = spark.createDataFrame(rows, "team string, side string, v int")
+    fit = models.team_effects(df, "v", ["team"], "side", rounds=40).toPandas()
+    n = pd.DataFrame(rows, columns=["team", "side", "v"]).groupby(["team", "side"]).size().rename("n").reset_index()
+    m = fit.merge(n, on=["team", "side"])
+    gap = (m["residual"] * m["n"])
+    assert gap.groupby(m["team"]).sum().abs().max() < 1e-6
+    assert gap.groupby(m["side"]).sum().abs().max() < 1e-6
 
 
 def test_fisher_and_discovery_rate(spark):
@@ -119,6 +146,13 @@ def test_null_spread_sees_chance_and_signal(spark):
     assert inference.null_spread(wide, "g", "n", "w", 100).first().p_value == 0
     large = spark.createDataFrame([(i, 50000, 25000 + 10 * i) for i in range(5)], "g bigint, n bigint, w bigint")
     assert 0 <= inference.null_spread(large, "g", "n", "w", 100).first().p_value <= 1
+    # two equal groups: the range is the difference of two binomial rates, whatever the groups' size
+    for size in (100, 4000, 1_000_000):
+        two = spark.createDataFrame([(1, size, size // 4), (2, size, size // 4), (3, 5, 5)], "g bigint, n bigint, w bigint")
+        got = inference.null_spread(two, "g", "n", "w", 4000).first()
+        assert got.observed_range == 0 and got.p_value == 1
+        rate = (size // 4 * 2 + 5) / (2 * size + 5)
+        assert got.chance_median == pytest.approx(0.6745 * np.sqrt(2 * rate * (1 - rate) / size), rel=0.12)
 
 
 def test_polychoric_recovers_the_correlation(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +43,12 @@ def poisson_terms(lam, top: int) -> Column:
     )
 
 
-def poisson_cdf(k, lam, top: int = 60) -> Column:
-    """P(X <= floor(k)) for small counts."""
-    terms = poisson_terms(lam, top)
-    upto = F.least(F.floor(col(k)), F.lit(top)).cast("int")
-    return F.when(
-        upto >= 0, F.aggregate(F.slice(terms, 1, upto + 1), F.lit(0.0), lambda a, x: a + x)
-    ).otherwise(0.0)
+def poisson_cdf(k, lam) -> Column:
+    """P(X <= floor(k)): the terms from 0 to k, however many."""
+    k, lam = F.floor(col(k)).cast("bigint"), col(lam)
+    terms = F.sequence(F.lit(0).cast("bigint"), F.greatest(k, F.lit(0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, j: a + poisson_pmf(j, lam))
+    return F.when(k >= 0, total).when(k < 0, 0.0)
 
 
 def expected_floor(lam, divisor: int, terms: int = 40) -> Column:
@@ -83,17 +83,23 @@ def with_uniform(df: DataFrame, out: str, seed: int, *parts: str) -> DataFrame:
     return df.withColumn(out, x / float(PRIME)).drop("_x")
 
 
-# Cumulative Poisson(1) probabilities for 0..9 copies of a resampled unit.
-COPIES_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+# Cumulative Poisson(1) probabilities for 0..12 copies of a resampled unit; more have less than the draws' 31 bits.
+COPIES_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
-def resample_copies(u) -> Column:
+def uniforms(seed: int, *parts: np.ndarray) -> np.ndarray:
+    """The draws of `with_uniform` for arrays of integers, which broadcast against each other."""
+    x = np.int64(seed)
+    for part in parts:
+        x = (x * 31 + np.fmod(part, PRIME)) % PRIME * 1597334677 % PRIME
+        x = (x ^ (x >> 15)) * 747796405 % PRIME
+        x = (x ^ (x >> 13)) * 1274126177 % PRIME
+    return x / float(PRIME)
+
+
+def resample_copies(u: np.ndarray) -> np.ndarray:
     """How often a unit enters a bootstrap replicate, from one uniform."""
-    u = col(u)
-    out = F.when(u < COPIES_CDF[0], 0)
-    for k in range(1, 10):
-        out = out.when(u < COPIES_CDF[k], k)
-    return out.otherwise(10)
+    return np.searchsorted(COPIES_CDF, u, "right")
 
 
 def normal_cdf(z) -> Column:

@@ -95,8 +95,10 @@ def baseline_frequencies(df: DataFrame, group: list[str], season: str, actual: s
 
 def calibration_bins(df: DataFrame, groups: list[str], probability: str, happened: str, low: float,
                      width: float, bins: int, min_count: int = 50) -> DataFrame:
-    """Mean forecast against observed rate per probability bin, sparse bins left out."""
+    """Mean forecast against observed rate per probability bin, sparse bins left out; a forecast of 1 is in the top bin."""
     b = F.floor((F.col(probability) - low) / width)
+    if abs(low + width * bins - 1) < 1e-9:
+        b = F.when(F.col(probability) >= 1, bins - 1).otherwise(b)
     inside = df.withColumn("bin", b).filter((F.col("bin") >= 0) & (F.col("bin") < bins))
     return inside.groupBy(*groups, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(probability).alias("mean_forecast"),
@@ -141,3 +143,8 @@ def temperature_grid(df: DataFrame, prefix: str, actual: str, grid: list[float])
         raised["away"]) / total
     return rows.groupBy("temperature").agg(F.avg(-F.ln(F.greatest(p, F.lit(FLOOR)))).alias("logloss"),
                                            F.count(F.lit(1)).alias("n"))
+
+
+def skill(score, reference) -> Column:
+    """1 - score / reference: above 0 where a forecast with lower-is-better scores improves on the reference."""
+    return 1 - ratio(score, reference)

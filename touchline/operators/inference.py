@@ -3,36 +3,39 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numeric import pearson, ratio, shrink_half_length
-from touchline.functions.probability import (ln_choose, normal_cdf, normal_quantile, resample_copies,
+from touchline.functions.probability import (ln_choose, ln_gamma, normal_cdf, normal_quantile, resample_copies, uniforms,
                                              with_uniform)
 from touchline.operators.ordered import number_rows
 from touchline.session import spread
 
 
+UNITS_DRAWN = 512  # units whose draws for all replicates a task holds at a time
+
+
 def bootstrap(units: DataFrame, unit_id: str, sums: list[str], statistics: dict[str, Column],
               replicates: int = 2000, seed: int = 7, groups: list[str] | None = None,
               few_units: bool = False) -> DataFrame:
     """95 % intervals of statistics that are functions of sums, resampling whole units.
 
     A unit enters a replicate with Poisson(1) copies, the distributed form of drawing as many units as there are:
-    every unit decides alone from a seeded hash, so there is no draw table, no join and only one small shuffle of
-    partial sums per replicate. Use statistics that are ratios of sums, which do not depend on the replicate's size.
-    Block resampling is the same call on rows already added up per block; `few_units` spreads such a short table
-    over the cores first.
+    every unit decides alone from a seeded hash. A task draws for a batch of units and all replicates at once and gives
+    on one row of partial sums per replicate and group, so units are never multiplied by replicates. Use statistics that
+    are ratios of sums, which do not depend on the replicate's size. Block resampling is the same call on rows already
+    added up per block; `few_units` spreads such a short table over the cores first. Null sums count as 0.
     """
     everything = not groups
     if everything:
         units, groups = units.withColumn("_all", F.lit(0)), ["_all"]
     rows = spread(units, unit_id) if few_units else units
-    drawn = rows.select(*groups, unit_id, *sums, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-                         .alias("replicate"))
-    drawn = with_uniform(drawn, "_u", seed, unit_id, "replicate").withColumn("_k", resample_copies("_u"))
-    per = drawn.groupBy(*groups, "replicate").agg(*[F.sum(F.col(s) * F.col("_k")).alias(s) for s in sums])
+    per = replicate_sums(rows, unit_id, sums, replicates, seed, groups)
     per = per.select(*groups, *[e.alias(n) for n, e in statistics.items()])
     limits = per.groupBy(*groups).agg(*[
         F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in statistics])
@@ -44,37 +47,70 @@ def bootstrap(units: DataFrame, unit_id: str, sums: list[str], statistics: dict[
     return out.drop("_all") if everything else out
 
 
+def replicate_sums(rows: DataFrame, unit_id: str, sums: list[str], replicates: int, seed: int, groups: list[str]) -> DataFrame:
+    """Sums per group and replicate over units that enter each replicate with Poisson(1) copies."""
+    rows = rows.select(*groups, F.col(unit_id).cast("bigint").alias("_unit"), *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s)
+                                                                                 for s in sums])
+    kinds = dict(rows.dtypes)
+    numbers = np.arange(replicates, dtype=np.int64)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(groups, dropna=False, sort=False):
+                total = np.zeros((replicates, len(sums)))
+                for at in range(0, len(part), UNITS_DRAWN):
+                    some = part.iloc[at:at + UNITS_DRAWN]
+                    u = uniforms(seed, some["_unit"].to_numpy(np.int64)[:, None], numbers[None, :])
+                    total += resample_copies(u).T @ some[sums].to_numpy(float)
+                out = pd.DataFrame(total, columns=sums)
+                for name, value in zip(groups, key):
+                    out[name] = value
+                yield out.assign(replicate=numbers)[[*groups, "replicate", *sums]]
+
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in groups], "replicate bigint", *[f"`{s}` double" for s in sums]])
+    return rows.mapInPandas(draw, schema).groupBy(*groups, "replicate").agg(*[F.sum(s).alias(s) for s in sums])
+
+
 def blocks(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Add rows up to the blocks that are resampled together."""
     return df.groupBy(*keys).agg(*[e.alias(n) for n, e in sums.items()])
 
 
-def null_spread(groups: DataFrame, group_no: str, n: str, wins: str, simulations: int, seed: int = 7,
-                exact_up_to: int = 2000) -> DataFrame:
+def null_spread(groups: DataFrame, group_no: str, n: str, wins: str, simulations: int, least: int = 10,
+                seed: int = 7) -> DataFrame:
     """Is the range of rates across groups wider than chance? One row with observed range and simulated p.
 
-    Each simulated world draws a binomial count per group at the common rate: by single hashed trials up to
-    `exact_up_to` trials, by the rounded normal quantile beyond, where the two agree to less than one trial.
+    The common rate is that of all groups; groups of at least `least` trials are compared. Each simulated world draws a
+    binomial count per group by inversion: a group's cumulative probabilities and its draws are put in one order, and a
+    draw's count is the number of probabilities up to it. The work is trials plus worlds, never their product. Draws have
+    31 bits, so terms that add up to less than 1e-14 at either end are not listed.
     """
-    worlds = groups.withColumn("common_rate", groups.agg(ratio(F.sum(wins), F.sum(n))).scalar()).select(
-        group_no, n, "common_rate", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("world"))
-    p, size = F.col("common_rate"), F.col(n)
-    small = worlds.filter(size <= exact_up_to).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
-    small = with_uniform(small, "_u", seed, group_no, "world", "_t").groupBy("world", group_no).agg(
-        ratio(F.sum((F.col("_u") < p).cast("int")), F.max(n)).alias("_r"))
-    large = with_uniform(worlds.filter(size > exact_up_to), "_u", seed, group_no, "world")
-    rounded = F.round(size * p + normal_quantile(F.greatest("_u", F.lit(1e-9))) * F.sqrt(size * p * (1 - p)))
-    large = large.select("world", group_no, ratio(F.greatest(F.lit(0.0), F.least(rounded, size)), size).alias("_r"))
-    worlds = small.unionByName(large)
-    ranges = worlds.groupBy("world").agg(
-        (F.max("_r") - F.min("_r")).alias("_range"))
+    kept = groups.withColumn("_p", groups.agg(ratio(F.sum(wins), F.sum(n))).scalar()).filter(F.col(n) >= least)
+    p, size = F.col("_p"), F.col(n).cast("bigint")
+    sd = F.sqrt(size * p * (1 - p))
+    low = F.greatest(F.lit(0), F.floor(size * p - 9 * sd - 60)).cast("bigint")
+    high = F.least(size, F.ceil(size * p + 9 * sd + 60).cast("bigint"))
+    k = F.col("_k")
+    terms = kept.select(group_no, size.alias("_size"), "_p", low.alias("_low"), F.explode(F.sequence(low, high)).alias("_k"))
+    floor = F.lit(1e-300)
+    terms = terms.withColumn("_v", F.exp(ln_choose("_size", k) + k * F.ln(F.greatest(p, floor))
+                                         + (F.col("_size") - k) * F.ln(F.greatest(1 - p, floor))))
+    terms = terms.withColumn("_v", F.sum("_v").over(Window.partitionBy(group_no).orderBy("_k")))
+    draws = kept.select(group_no, size.alias("_size"), low.alias("_low"), F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("world"))
+    draws = with_uniform(draws, "_v", seed, group_no, "world")
+    both = terms.select(group_no, "_size", "_low", "_v", F.lit(None).cast("int").alias("world")).unionByName(
+        draws.select(group_no, "_size", "_low", "_v", "world"))
+    order = Window.partitionBy(group_no).orderBy("_v", F.col("world").isNotNull())
+    upto = F.count_if(F.col("world").isNull()).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    drawn = both.withColumn("_c", upto).filter("world IS NOT NULL")
+    rates = drawn.select("world", (F.least("_size", F.col("_low") + F.col("_c")) / F.col("_size")).alias("_r"))
+    ranges = rates.groupBy("world").agg((F.max("_r") - F.min("_r")).alias("_range"))
     rate = ratio(wins, n)
-    seen = groups.agg(F.max(rate) - F.min(rate)).scalar()
-    tested = ranges.withColumn("_seen", seen)
+    tested = ranges.withColumn("_seen", kept.agg(F.max(rate) - F.min(rate)).scalar())
     return tested.agg(
         F.max("_seen").alias("observed_range"), F.percentile("_range", F.lit(0.5)).alias("chance_median"),
         F.percentile("_range", F.lit(0.95)).alias("chance_p95"),
-        F.avg((F.col("_range") >= F.col("_seen")).cast("double")).alias("p_value"))
+        F.avg((F.col("_range") >= F.col("_seen") - 1e-12).cast("double")).alias("p_value"))
 
 
 def fisher_exact(tables: DataFrame, keys: list[str], a: str, b: str, c: str, d: str) -> DataFrame:
@@ -105,10 +141,19 @@ def two_sided_p(z) -> Column:
 
 
 def chi_square_tail(x, dof) -> Column:
-    """P(X > x) by the cube-root normal form (Wilson-Hilferty); used for likelihood-ratio tests."""
+    """P(X > x) for whole degrees of freedom, in closed form; used for likelihood-ratio tests."""
     x, k = (F.col(v) if isinstance(v, str) else v for v in (x, dof))
-    z = (F.pow(x / k, F.lit(1.0 / 3)) - (1 - 2 / (9.0 * k))) / F.sqrt(2 / (9.0 * k))
-    return 1 - normal_cdf(z)
+    half = F.greatest(x, F.lit(0.0)) / 2
+    odd = k % 2 == 1
+    first = F.when(odd, two_sided_p(F.sqrt(2 * half))).otherwise(F.lit(0.0))
+    steps = F.floor(k / 2).cast("int")  # terms half^a e^-half / gamma(a + 1), a = 0, 1, ... or 1/2, 3/2, ...
+
+    def term(i: Column) -> Column:
+        a = i - F.when(odd, 0.5).otherwise(1.0)
+        return F.when(half > 0, F.exp(a * F.ln(half) - half - ln_gamma(a + 1))).otherwise(F.when(a == 0, 1.0).otherwise(0.0))
+
+    more = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), F.lit(0.0), lambda s, i: s + term(i)))
+    return F.least(F.lit(1.0), first + F.coalesce(more, F.lit(0.0)))
 
 
 def split_half(df: DataFrame, ident: str, keys: list[str], day: str, tie: str, columns: list[str],

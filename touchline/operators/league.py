@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +84,25 @@ def stability(df: DataFrame, groups: list[str], value: str, min_minutes: float =
     return pairs.groupBy(*groups).agg(pearson(value, f"{value}_next", 3).alias("r"), F.count(F.lit(1)).alias("pairs"))
 
 
+def mean_stability(df: DataFrame, over: str, groups: list[str], first: str, second: str, min_minutes: float = 1500) -> DataFrame:
+    """Stability of two metrics per group as the mean over leagues, and in how many of them the second is the more stable.
+
+    Leagues are never pooled: their levels differ, and a player who changes league would pair with himself.
+    """
+    by = [over, *groups]
+    both = stability(df, by, first, min_minutes).select(*by, F.col("r").alias("_a")).join(
+        stability(df, by, second, min_minutes).select(*by, F.col("r").alias("_b")), by, "full")
+    return both.groupBy(*groups).agg(F.avg("_a").alias(f"stability_{first}"), F.avg("_b").alias(f"stability_{second}"),
+                                     F.count_if(F.col("_b") > F.col("_a")).alias("rises_in"))
+
+
+def minutes_coverage(teams: DataFrame) -> DataFrame:
+    """Control per season: teams, median of their matches and the least share of a full team's minutes (990 a match)."""
+    share_ = ratio("minutes", F.col("games") * 990)
+    return teams.groupBy("season").agg(F.count(F.lit(1)).alias("teams"), F.percentile("games", F.lit(0.5)).alias("median_games"),
+                                       F.min(share_).alias("least_coverage"))
+
+
 def with_team_points(seasons: DataFrame, teams: DataFrame) -> DataFrame:
     """Points per match with the player minus the team's, for players with one team only."""
     t = teams.select("league", "season", F.col("team_id").alias("main_team_id"), F.col("ppm").alias("_ppm"))
@@ -209,30 +229,38 @@ def ladder(moves: DataFrame, leagues: list[str]) -> DataFrame:
         rows, "league string, difficulty double, se double, arrivals bigint, departures bigint")
 
 
-def ladder_bootstrap(moves: DataFrame, leagues: list[str], replicates: int = 200, seed: int = 11) -> DataFrame:
-    """95 % interval of every league's difficulty, resampling transfers.
+def ladder_replicates(moves: DataFrame, leagues: list[str], replicates: int = 2000, seed: int = 11) -> DataFrame:
+    """(replicate, league, difficulty) from resampled transfers.
 
     Per replicate and league pair only sums remain; each replicate's small system is solved in its own task.
     """
-    from touchline.functions.probability import resample_copies, with_uniform
+    from touchline.operators.inference import replicate_sums
 
-    ids = moves.withColumn("_id", F.pmod(F.xxhash64("player_key", "season_start", "league", "league_next"), F.lit(2147483647)))
-    drawn = ids.select("_id", "league", "league_next", "residual",
-                       F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = with_uniform(drawn, "_u", seed, "_id", "replicate").withColumn("_k", resample_copies("_u"))
-    sums = drawn.groupBy("replicate", "league", "league_next").agg(
-        F.sum("_k").cast("double").alias("n"), F.sum(F.col("residual") * F.col("_k")).alias("total"))
+    units = moves.select(F.xxhash64("player_key", "season_start", "league", "league_next").alias("_id"), "league", "league_next",
+                         F.lit(1.0).alias("n"), F.col("residual").alias("total"))
+    sums = replicate_sums(units, "_id", ["n", "total"], replicates, seed, ["league", "league_next"])
 
     def solve(pdf):
-        import pandas as pd
-
         cells = [(r.league, r.league_next, r.n, r.total, 0.0) for r in pdf.itertuples()]
         level, _ = _solve(cells, leagues)
-        return pd.DataFrame({"league": leagues, "difficulty": level})
+        return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "league": leagues, "difficulty": level})
+
+    return sums.groupBy("replicate").applyInPandas(solve, "replicate bigint, league string, difficulty double")
+
 
-    levels = sums.groupBy("replicate").applyInPandas(solve, "league string, difficulty double")
+def ladder_bootstrap(moves: DataFrame, leagues: list[str], replicates: int = 2000, seed: int = 11) -> DataFrame:
+    """95 % interval of every league's difficulty."""
     ends = F.percentile("difficulty", F.array(F.lit(0.025), F.lit(0.975)))
-    return levels.groupBy("league").agg(ends[0].alias("low"), ends[1].alias("high"))
+    return ladder_replicates(moves, leagues, replicates, seed).groupBy("league").agg(ends[0].alias("low"), ends[1].alias("high"))
+
+
+def ladder_differences(moves: DataFrame, leagues: list[str], replicates: int = 2000, seed: int = 11) -> DataFrame:
+    """95 % interval of the difference of every two leagues' difficulties, from the same replicates."""
+    levels = settle(ladder_replicates(moves, leagues, replicates, seed))
+    other = levels.select("replicate", F.col("league").alias("other"), F.col("difficulty").alias("_d"))
+    both = levels.join(other, "replicate").filter("league < other").withColumn("difference", F.col("difficulty") - F.col("_d"))
+    ends = F.percentile("difference", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return both.groupBy("league", "other").agg(ends[0].alias("low"), ends[1].alias("middle"), ends[2].alias("high"))
 
 
 def regression_curve(pairs: DataFrame, bands: list[float]) -> DataFrame:

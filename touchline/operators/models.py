@@ -195,16 +195,29 @@ def nested_models(df: DataFrame, label: str, blocks: dict[str, list[str]]) -> Da
     return table.withColumn("p_value", p)
 
 
-def team_effects(df: DataFrame, value: str, keys: list[str], context: str, rounds: int = 20) -> DataFrame:
+def team_effects(df: DataFrame, value: str, keys: list[str], context: str, rounds: int = 8) -> DataFrame:
     """Multiplicative team and context effects of a Poisson mean by iterative proportional fitting.
 
-    The fit uses only totals per (team, context); returns the mean residual per context and team.
+    In turn, a team's effect is its total over the sum of its counts times the contexts' effects, and a context's likewise.
+    Each round is one aggregate of the counts per team, and only one number per context, a handful, comes to the driver.
+    Returns the observed and expected mean and their difference per team and context.
     """
-    cells = settle(df.groupBy(*keys, context).agg(F.sum(value).cast("double").alias("s"), F.count(value).cast("double").alias("n")))
-    total = cells.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("_t"))
-    side = cells.groupBy(context).agg((F.sum("s") / F.sum("n")).alias("_c"))
-    grand = cells.agg(F.sum("s") / F.sum("n")).scalar()
-    fitted = cells.join(total, keys).join(side, context).withColumn("_g", grand)
-    expected = F.col("_t") * F.col("_c") / F.col("_g")
-    return fitted.select(*keys, context, (F.col("s") / F.col("n")).alias("observed"), expected.alias("expected"),
-                         (F.col("s") / F.col("n") - expected).alias("residual"))
+    cells = df.groupBy(*keys, context).agg(F.sum(value).cast("double").alias("s"), F.count(value).cast("double").alias("n"))
+    teams = settle(cells.groupBy(*keys).agg(
+        F.sum("s").alias("_total"), F.collect_list(F.struct(F.col(context).alias("c"), "s", "n")).alias("_cells")))
+    known = [row.c for row in teams.select(F.explode("_cells").alias("x")).select("x.c").distinct().collect()]
+    effect = dict.fromkeys(known, 1.0)
+
+    def with_team_effect() -> DataFrame:
+        by = F.create_map(*[F.lit(v) for pair in effect.items() for v in pair])
+        exposure = F.aggregate("_cells", F.lit(0.0), lambda a, x: a + x["n"] * by[x["c"]])
+        return teams.select(*keys, (F.col("_total") / exposure).alias("_a"), F.explode("_cells").alias("_x"), by.alias("_by"))
+
+    for _ in range(rounds if known else 0):
+        new = with_team_effect().groupBy("_x.c").agg((F.sum("_x.s") / F.sum(F.col("_x.n") * F.col("_a"))).alias("b")).collect()
+        effect = {row.c: row.b for row in new}
+    if not known:
+        return cells.select(*keys, context, *[F.lit(0.0).alias(c) for c in ("observed", "expected", "residual")])
+    out = with_team_effect().select(*keys, F.col("_x.c").alias(context), (F.col("_x.s") / F.col("_x.n")).alias("observed"),
+                                    (F.col("_a") * F.col("_by")[F.col("_x.c")]).alias("expected"))
+    return out.withColumn("residual", F.col("observed") - F.col("expected"))

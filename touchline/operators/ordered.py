@@ -101,14 +101,26 @@ def totals_before_day(df: DataFrame, keys: list[str], day: str, sums: dict, ) ->
     return daily.select(*keys, day, *[F.sum(n).over(w).alias(n) for n in sums])
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list, k: int, salt: int = 16) -> DataFrame:
-    """Best k rows per key in two steps, so that a hot key is cut down before its rows meet in one task.
+def top_rows(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """Best k rows per key; adds `rank`. `order` needs a unique last column.
 
-    `order` needs a unique last column. Adds `rank`.
+    Spark cuts every key down to k rows before the shuffle (its group limit below a ranking filter), so a hot key is small
+    where its rows meet.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    cut = salted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    return (cut.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
-            .drop("_salt", "_r"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def largest_magnitudes(df: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
+    """The k rows per key whose value is furthest from zero, either way."""
+    return top_rows(df, keys, [F.abs(value).desc(), F.asc(tie)], k)
+
+
+def next_rows(df: DataFrame, keys: list[str], day: str, tie: str, after, k: int) -> DataFrame:
+    """The first k rows per key after a day."""
+    return top_rows(df.filter(F.col(day) > after), keys, [F.asc(day), F.asc(tie)], k)
+
+
+def latest_rows(df: DataFrame, keys: list[str], day: str, tie: str, upto, k: int) -> DataFrame:
+    """The last k rows per key up to a day, most recent first."""
+    return top_rows(df.filter(F.col(day) <= upto), keys, [F.desc(day), F.desc(tie)], k)

@@ -79,7 +79,9 @@ def auc(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFram
 
 
 def rank_sum_test(df: DataFrame, groups: list[str], value: str, in_first: str) -> DataFrame:
-    """Mann-Whitney U with tie correction and continuity: U of the first sample and z of the normal form."""
+    """Mann-Whitney U with tie correction and continuity: U of the first sample, z of the normal form and two-sided p."""
+    from touchline.operators.inference import two_sided_p
+
     table = value_counts_ranked(df, groups, value, {"_f": F.sum(F.col(in_first).cast("int"))})
     c = F.col("_c").cast("double")
     sums = table.groupBy(*groups).agg(
@@ -90,7 +92,8 @@ def rank_sum_test(df: DataFrame, groups: list[str], value: str, in_first: str) -
     u = F.col("_r") - n1 * (n1 + 1) / 2
     var = n1 * n2 / 12 * ((n + 1) - ratio(F.col("_ties"), n * (n - 1)))
     gap = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0))
-    return sums.withColumn("u", u).withColumn("z", ratio(gap, F.sqrt(var))).drop("_r", "_ties")
+    out = sums.withColumn("u", u).withColumn("z", ratio(gap, F.sqrt(var))).drop("_r", "_ties")
+    return out.withColumn("p_value", two_sided_p("z"))
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], groups: list[str] | None = None) -> DataFrame:

@@ -369,7 +369,7 @@ def calibration_curve(spark, sf):
     return _rounded(out, ["model", "bin", "n"], ["mean_forecast", "observed"])
 
 
-_BINS = f"""{_STACK}, b AS (SELECT model, floor(q_draw / 0.1) AS bin, count(*) AS n, avg(q_draw) AS f, avg(dr) AS o FROM sr GROUP BY ALL)"""
+_BINS = f"""{_STACK}, b AS (SELECT model, least(floor(q_draw / 0.1), 9) AS bin, count(*) AS n, avg(q_draw) AS f, avg(dr) AS o FROM sr GROUP BY ALL)"""
 
 
 @query("ece", f"WITH {_BINS} SELECT model, round(sum(n * abs(f - o)) / sum(n), 6) AS ece, cast(sum(n) as bigint) AS n FROM b GROUP BY model")
@@ -402,13 +402,13 @@ def temperature_scaling(spark, sf):
 
 _BLOCKS = f"""{FORECAST}, md AS (SELECT match_id, max(nth) AS matchday FROM (SELECT match_id, row_number() OVER (PARTITION BY league, season, team
   ORDER BY match_date, match_id) AS nth FROM lng) GROUP BY match_id)"""
-BLOCK_REPLICATES = 1000
+BLOCK_REPLICATES = 2000
 
 
 def _copies_sql(u: str) -> str:
     from touchline.functions.probability import COPIES_CDF
 
-    return "case " + " ".join(f"when {u} < {c!r} then {k}" for k, c in enumerate(COPIES_CDF)) + " else 10 end"
+    return "case " + " ".join(f"when {u} < {c!r} then {k}" for k, c in enumerate(COPIES_CDF)) + f" else {len(COPIES_CDF)} end"
 
 
 @query("even_match_block_ci", f"""WITH {_BLOCKS},
@@ -434,22 +434,74 @@ def even_match_block_ci(spark, sf):
     return _rounded(out, ["units"], ["excess_value", "excess_low", "excess_high"])
 
 
-@query("paired_bootstrap", f"""WITH {FORECAST}, u AS (SELECT match_id, {_S['logloss']} - {_M['logloss']} AS d FROM ev),
-dr AS (SELECT replicate, d, {_copies_sql('u')} AS k FROM
-  {uniform_from('u, (SELECT unnest(range(200)) AS replicate)', 'u', 11, 'match_id', 'replicate')}),
-rp AS (SELECT replicate, sum(d * k) / sum(k) AS m FROM dr GROUP BY replicate)
-SELECT (SELECT count(*) FROM u) AS units, round((SELECT avg(d) FROM u), 6) AS mean_diff_value, round(quantile_cont(m, 0.025), 6) AS mean_diff_low,
+@query("paired_bootstrap", f"""WITH {_BLOCKS}, u AS (SELECT league_no * 1000000 + (season % 100) * 10000 + matchday AS block, sum({_S['logloss']} - {_M['logloss']}) AS d, count(*) AS n
+  FROM ev JOIN md USING (match_id) GROUP BY ALL),
+dr AS (SELECT replicate, d, n, {_copies_sql('u')} AS k FROM
+  {uniform_from(f'u, (SELECT unnest(range({BLOCK_REPLICATES})) AS replicate)', 'u', 11, 'block', 'replicate')}),
+rp AS (SELECT replicate, sum(d * k) / sum(n * k) AS m FROM dr GROUP BY replicate)
+SELECT (SELECT count(*) FROM u) AS units, round((SELECT sum(d) / sum(n) FROM u), 6) AS mean_diff_value, round(quantile_cont(m, 0.025), 6) AS mean_diff_low,
   round(quantile_cont(m, 0.975), 6) AS mean_diff_high,
   case when quantile_cont(m, 0.975) < 0 then 'model better' when quantile_cont(m, 0.025) > 0 then 'market better' else 'no difference' end AS decision
 FROM rp""")
 def paired_bootstrap(spark, sf):
     s = evaluate.with_scores(evaluate.with_scores(evaluated(spark, sf), "p", suffix="_p"), "m", suffix="_m")
-    units = s.select("match_id", (F.col("logloss_p") - F.col("logloss_m")).alias("d"), F.lit(1).alias("n"))
-    out = inference.bootstrap(units, "match_id", ["d", "n"], {"mean_diff": ratio("d", "n")}, 200, seed=11)
+    md = profiles.matchday_numbers(view(spark, sf, "v_match")).select("match_id", "matchday")
+    block = F.col("league_no") * 1000000 + (F.col("season") % 100) * 10000 + F.col("matchday")
+    units = inference.blocks(s.join(md, "match_id").withColumn("block", block), ["block"], {
+        "d": F.sum(F.col("logloss_p") - F.col("logloss_m")), "n": F.count(F.lit(1))})
+    out = inference.bootstrap(units, "block", ["d", "n"], {"mean_diff": ratio("d", "n")}, BLOCK_REPLICATES, seed=11, few_units=True)
     out = out.withColumn("decision", evaluate.decision("mean_diff_low", "mean_diff_high"))
     return _rounded(out, ["units", "decision"], ["mean_diff_value", "mean_diff_low", "mean_diff_high"])
 
 
+@query("league_block_ci", f"""WITH {_BLOCKS}, u AS (SELECT league_no, (season % 100) * 10000 + matchday AS block, sum({_S['logloss']} - {_M['logloss']}) AS d,
+  sum({_S['rps']}) AS sp, sum({_M['rps']}) AS sm, count(*) AS n FROM ev JOIN md USING (match_id) GROUP BY ALL),
+dr AS (SELECT league_no, replicate, d, sp, sm, n, {_copies_sql('u')} AS k FROM
+  {uniform_from(f'u, (SELECT unnest(range({BLOCK_REPLICATES})) AS replicate)', 'u', 13, 'block', 'replicate')}),
+rp AS (SELECT league_no, replicate, sum(d * k) / nullif(sum(n * k), 0) AS m, 1 - sum(sp * k) / nullif(sum(sm * k), 0) AS s FROM dr GROUP BY ALL),
+w AS (SELECT league_no, count(*) AS units, sum(d) / sum(n) AS m, 1 - sum(sp) / sum(sm) AS s FROM u GROUP BY league_no)
+SELECT league_no, units, round(w.m, 6) AS mean_diff_value, round(quantile_cont(rp.m, 0.025), 6) AS mean_diff_low, round(quantile_cont(rp.m, 0.975), 6) AS mean_diff_high,
+  round(w.s, 6) AS skill_value, round(quantile_cont(rp.s, 0.025), 6) AS skill_low, round(quantile_cont(rp.s, 0.975), 6) AS skill_high
+FROM rp JOIN w USING (league_no) GROUP BY ALL""")
+def league_block_ci(spark, sf):
+    """Per league: model minus market in log-loss and the model's skill score against the market, with block intervals."""
+    s = evaluate.with_scores(evaluate.with_scores(evaluated(spark, sf), "p", suffix="_p"), "m", suffix="_m")
+    md = profiles.matchday_numbers(view(spark, sf, "v_match")).select("match_id", "matchday")
+    units = inference.blocks(s.join(md, "match_id").withColumn("block", (F.col("season") % 100) * 10000 + F.col("matchday")),
+                             ["league_no", "block"], {"d": F.sum(F.col("logloss_p") - F.col("logloss_m")), "sp": F.sum("rps_p"),
+                                                      "sm": F.sum("rps_m"), "n": F.count(F.lit(1))})
+    out = inference.bootstrap(units, "block", ["d", "sp", "sm", "n"], {"mean_diff": ratio("d", "n"), "skill": evaluate.skill("sp", "sm")},
+                              BLOCK_REPLICATES, seed=13, groups=["league_no"], few_units=True)
+    return _rounded(out, ["league_no", "units"], [f"{x}_{end}" for x in ("mean_diff", "skill") for end in ("value", "low", "high")])
+
+
+@query("next_fixtures", f"""WITH {V} SELECT league, match_id, cast(match_date as string) AS match_date, rank FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY match_date, match_id) AS rank
+  FROM v_match WHERE match_date > date '1998-06-30') WHERE rank <= 6""")
+def next_fixtures(spark, sf):
+    from touchline.operators.ordered import next_rows
+
+    out = next_rows(view(spark, sf, "v_match"), ["league"], "match_date", "match_id", F.lit("1998-06-30").cast("date"), 6)
+    return out.select("league", "match_id", F.col("match_date").cast("string").alias("match_date"), "rank")
+
+
+@query("latest_results", f"""WITH {V} SELECT league, match_id, cast(match_date as string) AS match_date, rank FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY match_date DESC, match_id DESC) AS rank
+  FROM v_match WHERE match_date <= date '1998-06-30' AND played) WHERE rank <= 6""")
+def latest_results(spark, sf):
+    from touchline.operators.ordered import latest_rows
+
+    out = latest_rows(view(spark, sf, "v_match").filter("played"), ["league"], "match_date", "match_id", F.lit("1998-06-30").cast("date"), 6)
+    return out.select("league", "match_id", F.col("match_date").cast("string").alias("match_date"), "rank")
+
+
+@query("widest_goal_differences", f"""WITH {V} SELECT league, match_id, hg - ag AS difference, rank FROM (SELECT *, row_number() OVER (PARTITION BY league ORDER BY abs(hg - ag) DESC, match_id) AS rank
+  FROM v_match WHERE played) WHERE rank <= 5""")
+def widest_goal_differences(spark, sf):
+    from touchline.operators.ordered import largest_magnitudes
+
+    rows = view(spark, sf, "v_match").filter("played").withColumn("difference", F.col("hg") - F.col("ag"))
+    return largest_magnitudes(rows, ["league"], "difference", "match_id", 5).select("league", "match_id", "difference", "rank")
+
+
 @query("model_minus_market_by_league", f"""WITH {FORECAST}, d AS (SELECT league, p_even, {_S['rps']} - {_M['rps']} AS d FROM ev)
 SELECT league, count(*) AS n, round(avg(d), 6) AS mean_diff, round(stddev_samp(d) / sqrt(count(*)), 6) AS se,
   round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 6) AS z, round(avg(case when p_even then d end), 6) AS mean_even,
@@ -521,17 +573,23 @@ def fisher_even(spark, sf):
     return out.withColumn("signal", signal).withColumn("p_value", r6("p_value"))
 
 
+# two-sided normal p by Simpson's rule, written out for the checking SQL
+_P_OF = ("1 - 2 * list_sum(list_transform(range(0, 401), lambda i: (case when i % 400 = 0 then 1 when i % 2 = 1 then 4 else 2 end) * "
+         "exp(-power(i * ({z}) / 400.0, 2) / 2))) * ({z}) / 1200.0 / sqrt(2 * pi())")
+
+
 @query("mann_whitney_phase", f"""WITH {V}, x AS (SELECT league, hy + hr + ay + ar AS v, (phase = 'playoff')::int AS f FROM v_match),
 r AS (SELECT league, f, v, rank() OVER (PARTITION BY league ORDER BY v) + (count(*) OVER (PARTITION BY league, v) - 1) / 2.0 AS rk FROM x),
 t AS (SELECT league, sum(c * c * c - c) AS ties FROM (SELECT league, v, cast(count(*) as double) AS c FROM x GROUP BY ALL) GROUP BY league),
 s AS (SELECT league, sum(f) AS n1, count(*) - sum(f) AS n2, sum(rk * f) - sum(f) * (sum(f) + 1) / 2.0 AS u, any_value(ties) AS ties FROM r JOIN t USING (league) GROUP BY league)
 SELECT league, cast(n1 as bigint) AS n1, cast(n2 as bigint) AS n2, round(u, 6) AS u,
-  round(greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 0), 6) AS z FROM s""")
+  round(greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 0), 6) AS z,
+  round({_P_OF.format(z='greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 0)')}, 6) AS p_value FROM s""")
 def mann_whitney_phase(spark, sf):
     df = view(spark, sf, "v_match").withColumn("cards", F.expr("hy + hr + ay + ar")).withColumn(
         "first", F.col("phase") == "playoff")
     out = ranking.rank_sum_test(df, ["league"], "cards", "first")
-    return _rounded(out, ["league", "n1", "n2"], ["u", "z"])
+    return _rounded(out, ["league", "n1", "n2"], ["u", "z", "p_value"])
 
 
 @query("draw_rate_top_fifth", f"""WITH {_STACK}, c AS (SELECT model, quantile_cont(round(q_draw, 6), 0.8) AS edge FROM sr GROUP BY model)

@@ -90,10 +90,18 @@ def nested_card_models(spark, sf):
     return out.select("model", "n", "parameters", *[r6(c).alias(c) for c in ("log_likelihood", "pseudo_r2", "aic", "p_value")])
 
 
+def _effects_sql(rounds: int = 8) -> str:
+    """The fitting rounds written out: team effects a, then side effects b."""
+    steps = ["b0 AS (SELECT DISTINCT side, 1.0::double AS b FROM c)"]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT league, team, sum(s) / sum(n * b) AS a FROM c JOIN b{k} USING (side) GROUP BY ALL)")
+        steps.append(f"b{k + 1} AS (SELECT side, sum(s) / sum(n * a) AS b FROM c JOIN a{k} USING (league, team) GROUP BY side)")
+    return ", ".join(steps)
+
+
 @query("team_effects", f"""WITH {ctes('v_match')}, l AS (SELECT league, home AS team, 'H' AS side, hc AS v FROM v_match UNION ALL SELECT league, away, 'A', ac FROM v_match),
-c AS (SELECT league, team, side, sum(v) AS s, count(*) AS n FROM l GROUP BY ALL), t AS (SELECT league, team, sum(s) / sum(n) AS t FROM c GROUP BY ALL),
-d AS (SELECT side, sum(s) / sum(n) AS c FROM c GROUP BY side), g AS (SELECT sum(s) / sum(n) AS g FROM c)
-SELECT league, team, side, round(s / n, 6) AS observed, round(t * d.c / g, 6) AS expected, round(s / n - t * d.c / g, 6) AS residual FROM c JOIN t USING (league, team) JOIN d USING (side), g""")
+c AS (SELECT league, team, side, sum(v) AS s, count(*) AS n FROM l GROUP BY ALL), {_effects_sql()}
+SELECT league, team, side, round(s / n, 6) AS observed, round(a * b, 6) AS expected, round(s / n - a * b, 6) AS residual FROM c JOIN a8 USING (league, team) JOIN b8 USING (side)""")
 def team_effects(spark, sf):
     from touchline.operators.reshape import team_rows
 

@@ -376,6 +376,23 @@ def stability(spark, sf):
     return league.stability(seasons(spark, sf), ["league"], "goals_pens_per90", MIN_MINUTES).withColumn("r", r6("r"))
 
 
+@query("mean_stability", f"""WITH {SEASON}, pa AS ({_pairs_sql('jt', 'league, main_position, player_key', ['goals_pens_per90'], 'minutes', 'goals_pens_per90 is not null')}),
+pb AS ({_pairs_sql('jt', 'league, main_position, player_key', ['points_per_game'], 'minutes', 'points_per_game is not null')}),
+a AS (SELECT league, main_position, {_corr_sql('goals_pens_per90', 'goals_pens_per90_next')} AS a FROM pa GROUP BY ALL),
+b AS (SELECT league, main_position, {_corr_sql('points_per_game', 'points_per_game_next')} AS b FROM pb GROUP BY ALL)
+SELECT main_position, round(avg(a), 4) AS stability_goals_pens_per90, round(avg(b), 4) AS stability_points_per_game, count_if(b > a) AS rises_in
+FROM a FULL JOIN b USING (league, main_position) GROUP BY main_position""")
+def mean_stability(spark, sf):
+    out = league.mean_stability(seasons(spark, sf), "league", ["main_position"], "goals_pens_per90", "points_per_game", MIN_MINUTES)
+    return out.select("main_position", *[F.round(c, 4).alias(c) for c in ("stability_goals_pens_per90", "stability_points_per_game")], "rises_in")
+
+
+@query("minutes_coverage", f"""WITH {TEAMS} SELECT season, count(*) AS teams, quantile_cont(games, 0.5) AS median_games, round(min(minutes / nullif(games * 990, 0)), 6) AS least_coverage
+FROM ts GROUP BY season""")
+def minutes_coverage(spark, sf):
+    return league.minutes_coverage(teams(spark, sf)).withColumn("least_coverage", r6("least_coverage"))
+
+
 @query("clean_sheet_origin", f"""WITH {SCORED}, d AS (SELECT *, clean_sheets / nullif(games, 0) AS rate FROM sc WHERE complete),
 pr AS ({_pairs_sql('d', 'player_key, main_position', ['rate', 'main_team_id'], 'minutes', 'rate is not null')})
 SELECT main_position, {_corr_sql('rate', 'rate_next', 'main_team_id = main_team_id_next')} AS r_stayed, count_if(main_team_id = main_team_id_next) AS n_stayed,
@@ -450,7 +467,12 @@ def league_ladder_fit(spark, sf):
 
 @query("league_ladder_bootstrap")
 def league_ladder_bootstrap(spark, sf):
-    return league.ladder_bootstrap(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES), LEAGUES, 200)
+    return league.ladder_bootstrap(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES), LEAGUES)
+
+
+@query("league_ladder_differences")
+def league_ladder_differences(spark, sf):
+    return league.ladder_differences(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES), LEAGUES)
 
 
 @query("regression_curve", f"""WITH {_MOVES} SELECT cast(ceil(pct_complete / 20) - 1 as bigint) AS band, round(avg(pct_complete), 6) AS "before", round(avg(pct_complete_next), 6) AS "after", count(*) AS n FROM mv GROUP BY band""")

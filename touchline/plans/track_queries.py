@@ -103,24 +103,26 @@ def referee_confounding(spark, sf):
     return _round(referees.largest_team_share(_m(spark, sf)), ["referee", "appearances", "team"], ["max_share"])
 
 
-@query("referee_new_names", f"WITH {V} SELECT DISTINCT referee FROM v_match WHERE referee NOT IN (SELECT referee FROM v_match WHERE season <= 1996)")
+@query("referee_new_names", f"WITH {V} SELECT DISTINCT referee FROM v_match WHERE referee NOT IN (SELECT referee FROM v_match WHERE match_date < date '1995-02-01')")
 def referee_new_names(spark, sf):
-    return referees.new_names(_m(spark, sf), _m(spark, sf).filter("season <= 1996").select("referee").distinct())
+    return referees.new_names(_m(spark, sf), _m(spark, sf).filter("match_date < date '1995-02-01'").select("referee").distinct())
 
 
-_SIMS = 200
+_SIMS = 10_000
 
 
-@query("referee_null_spread", f"""WITH {V}, g AS (SELECT cast(substr(referee, 2) as bigint) AS no, count(*) AS n, sum((hg > ag)::int) AS w FROM v_match WHERE played GROUP BY ALL HAVING count(*) >= 10),
-p AS (SELECT sum(w) / sum(n) AS rate, max(w / n) - min(w / n) AS seen FROM g),
-t AS (SELECT no, n, w_.world, unnest(range(1, n + 1)) AS t FROM g, (SELECT unnest(range({_SIMS})) AS world) w_),
-d AS (SELECT world, no, sum((u < (SELECT rate FROM p))::int) / max(n) AS r FROM {uniform_from('t', 'u', 7, 'no', 'world', 't')} GROUP BY ALL),
-s AS (SELECT world, max(r) - min(r) AS rg FROM d GROUP BY world)
-SELECT round((SELECT seen FROM p), 6) AS observed_range, round(quantile_cont(rg, 0.5), 6) AS chance_median, round(quantile_cont(rg, 0.95), 6) AS chance_p95,
-round(avg((rg >= (SELECT seen FROM p))::int), 6) AS p_value FROM s""")
+@query("referee_null_spread", f"""WITH {V}, al AS (SELECT cast(substr(referee, 2) as bigint) AS no, count(*) AS n, sum((hg > ag)::int) AS w FROM v_match WHERE played GROUP BY ALL),
+g AS (SELECT * FROM al WHERE n >= 10), p AS (SELECT sum(w) / sum(n) AS rate FROM al), o AS (SELECT max(w / n) - min(w / n) AS seen FROM g),
+tm AS (SELECT no, n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(rate) + (n - k) * ln(1 - rate)) AS q FROM (SELECT no, n, unnest(range(0, n + 1)) AS k FROM g), p),
+cd AS (SELECT no, n, k, sum(q) OVER (PARTITION BY no ORDER BY k) AS c FROM tm),
+u AS (SELECT no, n, world, u FROM {uniform_from(f'g, (SELECT unnest(range({_SIMS})) AS world)', 'u', 7, 'no', 'world')}),
+d AS (SELECT u.no, u.n, world, coalesce(k + 1, 0) AS k FROM u ASOF LEFT JOIN cd ON u.no = cd.no AND u.u >= cd.c),
+s AS (SELECT world, max(least(k, n) / n) - min(least(k, n) / n) AS rg FROM d GROUP BY world)
+SELECT round((SELECT seen FROM o), 6) AS observed_range, round(quantile_cont(rg, 0.5), 6) AS chance_median, round(quantile_cont(rg, 0.95), 6) AS chance_p95,
+round(avg((rg >= (SELECT seen FROM o) - 1e-12)::int), 6) AS p_value FROM s""")
 def referee_null_spread(spark, sf):
     g = _m(spark, sf).filter("played").groupBy("referee").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("hg") > F.col("ag")).cast("int")).alias("w")).filter("n >= 10")
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("hg") > F.col("ag")).cast("int")).alias("w"))
     g = g.withColumn("no", F.substring("referee", 2, 20).cast("bigint"))
     return _round(inference.null_spread(g, "no", "n", "w", _SIMS), [],
                   ["observed_range", "chance_median", "chance_p95", "p_value"])
@@ -366,16 +368,16 @@ def window_contents(spark, sf):
                       F.col("end").cast("string").alias("end"), "days", "occupied_by")
 
 
-@query("countdown", f"""WITH {CAL} SELECT competition, edition, scope, greatest("start" - date '1999-05-01', 0) AS days_to_start, "start" <= date '1999-05-01' AS under_way, provisional FROM cal
-WHERE kind = 'torneo' AND "end" >= date '1999-05-01' AND "start" < date '2001-01-01' AND scope = 'seleccion'""")
+@query("countdown", f"""WITH {CAL} SELECT competition, edition, scope, greatest("start" - date '1996-10-10', 0) AS days_to_start, "start" <= date '1996-10-10' AS under_way, provisional FROM cal
+WHERE kind = 'torneo' AND "end" >= date '1996-10-10' AND "start" < date '2001-01-01' AND scope = 'seleccion'""")
 def countdown(spark, sf):
-    out = competition.countdown(calendar(spark, sf), F.lit("1999-05-01").cast("date"), F.lit("2001-01-01").cast("date"), "seleccion")
+    out = competition.countdown(calendar(spark, sf), F.lit("1996-10-10").cast("date"), F.lit("2001-01-01").cast("date"), "seleccion")
     return out.select("competition", "edition", "scope", "days_to_start", "under_way", "provisional")
 
 
-@query("active_window", f"""WITH {CAL} SELECT competition, edition FROM cal WHERE kind = 'ventana' AND "start" - 1 <= date '1999-05-01' AND date '1999-05-01' <= "end" + 3""")
+@query("active_window", f"""WITH {CAL} SELECT competition, edition FROM cal WHERE kind = 'ventana' AND "start" - 1 <= date '1996-10-10' AND date '1996-10-10' <= "end" + 3""")
 def active_window(spark, sf):
-    return competition.active_windows(calendar(spark, sf), F.lit("1999-05-01").cast("date")).select("competition", "edition")
+    return competition.active_windows(calendar(spark, sf), F.lit("1996-10-10").cast("date")).select("competition", "edition")
 
 
 _NAMES = """nl AS (SELECT DISTINCT p_brand AS brand, p_name AS name FROM part), nr AS (SELECT DISTINCT p_brand AS brand, concat(split_part(p_name, ' ', 2), ' ', substr(p_name, 1, 3), ' fc') AS name FROM part),

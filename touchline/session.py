@@ -27,10 +27,12 @@ def local_session(cores: str = "8", app: str = "touchline", memory: str = "8g")
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, one machine) a new temporary folder is made and set.
+    Only a local session (tests, one machine) that names none gets a new temporary folder; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
