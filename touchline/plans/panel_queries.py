@@ -20,12 +20,18 @@ SUMMER = ["LG0"]
 MIN_MINUTES = 600.0
 
 
-def cleaned(spark, sf) -> DataFrame:
-    return panel.clean(raw_panel(spark, sf), ALIASES)
+def counted(spark, sf) -> dict[str, DataFrame]:
+    """Player-team-season counts, far fewer rows than the lines they come from: scanned and written once for all panel views."""
+    return {"p1": settle(view(spark, sf, "p1"))}
+
+
+def cleaned(spark, sf, known=None) -> DataFrame:
+    return panel.clean(raw_panel(spark, sf, known or counted(spark, sf)), ALIASES)
 
 
 def full_rows(spark, sf) -> DataFrame:
-    return panel.with_extras(cleaned(spark, sf), view(spark, sf, "v_playingtime"), view(spark, sf, "v_keepers"))
+    known = counted(spark, sf)
+    return panel.with_extras(cleaned(spark, sf, known), *[view(spark, sf, v, known=known) for v in ("v_playingtime", "v_keepers")])
 
 
 def seasons(spark, sf) -> DataFrame:

@@ -230,8 +230,10 @@ def ctes(*names: str) -> str:
     return ",\n".join(parts)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """The view `name` over the tables in `sf_dir`, as a batch or as a file stream."""
+def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The view `name` over the tables in `sf_dir`, as a batch or as a file stream; `known` has views built already."""
+    if known and name in known:
+        return known[name]
     if name == "p1":
         return view(spark, sf_dir, "p0").groupBy(*_PANEL_KEYS).agg(*[F.expr(e) for e in _PANEL_COUNTS])
     if name not in _STEPS:
@@ -240,7 +242,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> D
         schema = table(spark, sf_dir, name).schema
         return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     source, exprs, where = _STEPS[name]
-    df = view(spark, sf_dir, source, stream)
+    df = view(spark, sf_dir, source, stream, known)
     if name == "e0":
         exprs = [e.replace("unix_day", "unix_date(cast(ts as date))").replace(
             "unix_minute", "cast(hour(ts) * 60 + minute(ts) as bigint)") for e in exprs]
@@ -261,9 +263,9 @@ RAW_PANEL_SQL = """v_panel AS (
   FROM (SELECT *, unnest(range(1, copies + 1)) AS c FROM p3))"""
 
 
-def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_panel(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
     """The raw player panel, defects included (see RAW_PANEL_SQL for the same rows in SQL)."""
-    return (view(spark, sf_dir, "p3")
+    return (view(spark, sf_dir, "p3", known=known)
             .selectExpr("*", "explode(sequence(1, copies)) AS c")
             .selectExpr("ranker * 10 + c AS ranker", "player", "nationality", "position", "team", "league",
                         "season", "age", "birth_year", "games", "games_starts", "minutes", "minutes_90s",
