@@ -294,7 +294,23 @@ def market_probs(spark, sf):
     return _rounded(out, ["match_id"], ["m_home", "m_draw", "m_away"])
 
 
-@query("market_margin_methods")
+def _halving(name: str, low: float, high: float, p: str) -> str:
+    """Fifty halvings for the value at which the three probabilities add up to 1; `p` is the probability of {i} at m."""
+    total = " + ".join(p.format(i=i, m="m") for i in "hda")
+    return (f"{name} AS (SELECT *, 0 AS k, {low}::double AS lo, {high}::double AS hi FROM x UNION ALL SELECT match_id, league, h, d, a, b, k + 1, "
+            f"case when s < 1 then lo else m end, case when s < 1 then m else hi end FROM (SELECT *, {total} AS s FROM "
+            f"(SELECT *, (lo + hi) / 2 AS m FROM {name} WHERE k < 50)))")
+
+
+_SHIN = "(sqrt({m} * {m} + 4 * (1 - {m}) * {i} * {i} / b) - {m}) / (2 * (1 - {m}))"
+_ODDS_RATIO = "{i} / ({m} + {i} - {m} * {i})"
+_SHIFTS = ", ".join(f"round(avg(abs({p.format(i=f'z.{i}', m=f'(({t}.lo + {t}.hi) / 2)').replace(' b)', ' z.b)')} - z.{i} / z.b)), 6) AS {n}_{k}_shift"
+                    for n, t, p in (("shin", "z", _SHIN), ("oratio", "c", _ODDS_RATIO)) for i, k in (("h", "home"), ("d", "draw"), ("a", "away")))
+
+
+@query("market_margin_methods", f"""WITH RECURSIVE {V}, x AS (SELECT match_id, league, 1 / odds_h AS h, 1 / odds_d AS d, 1 / odds_a AS a, 1 / odds_h + 1 / odds_d + 1 / odds_a AS b
+  FROM v_match WHERE odds_h IS NOT NULL), {_halving('zs', 0.0, 0.4, _SHIN)}, {_halving('cs', 0.2, 5.0, _ODDS_RATIO)}
+SELECT z.league, count(*) AS n, {_SHIFTS} FROM zs z JOIN cs c USING (match_id) WHERE z.k = 50 AND c.k = 50 GROUP BY z.league""")
 def market_margin_methods(spark, sf):
     """Proportional, Shin and odds-ratio margins side by side, as mean absolute shifts by league."""
     df = view(spark, sf, "v_match").filter("odds_h IS NOT NULL")

@@ -10,7 +10,7 @@ from touchline.operators import reshape
 from touchline.plans.match_queries import FORECAST, evaluated
 from touchline.plans.panel_queries import TYPED
 from touchline.plans.registry import query
-from touchline.plans.views import ctes, raw_panel, view
+from touchline.plans.views import RAW_PANEL_SQL, ctes, raw_panel, view
 from touchline.sources import articles, feeds, files, pages, sinks
 from touchline.streaming.run import new_place
 
@@ -37,7 +37,11 @@ def html_table_rows(spark, sf):
                       F.col("cells")["player"].alias("player"), F.col("cells")["goals"].alias("goals"))
 
 
-@query("page_fingerprints")
+_LINE = " || '|' || ".join(f"coalesce(cast({c} as string), '~')" for c in ("player", "team", "games", "minutes", "ranker"))
+
+
+@query("page_fingerprints", f"""WITH {ctes('p3')}, {RAW_PANEL_SQL}
+SELECT league, count(*) AS rows, cast(sum(cast(cast('0x' || substr(md5({_LINE}), 1, 15) as bigint) as hugeint)) as string) AS fingerprint FROM v_panel GROUP BY league""")
 def page_fingerprints(spark, sf):
     return pages.page_fingerprint(raw_panel(spark, sf), "league", "ranker", ["player", "team", "games", "minutes"])
 
