@@ -21,7 +21,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-CACHED_PRETOKENS = 200_000  # a worker's cache of encoded pre-tokens is emptied beyond this many; results don't depend on it
+from touchline.llm.common import slices
+
+CACHED_PRETOKENS = 100_000  # a worker's cache of encoded pre-tokens is emptied beyond this many; results don't depend on it
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -118,7 +120,7 @@ class BytePieces:
         @arrow_udf("array<int>")
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder, cut = _Encoder(pieces, model), regex.compile(pattern).findall
-            for texts in batches:
+            for texts in slices(batches):
                 packed, offsets = [], np.zeros(len(texts) + 1, np.int32)
                 for k, text in enumerate(texts):
                     if len(encoder) > CACHED_PRETOKENS:
@@ -138,7 +140,7 @@ class BytePieces:
         @arrow_udf("binary")
         def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vocabulary = pa.array(pieces, pa.binary())
-            for rows in batches:
+            for rows in slices(batches):
                 rows = pc.fill_null(rows, pa.scalar([], rows.type)) if rows.null_count else rows
                 taken = vocabulary.take(rows.flatten())  # its data are the documents' bytes one after another
                 ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)

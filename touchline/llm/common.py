@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in slices of at most so many rows, so that a worker holds the results of few rows at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch[at:at + rows]
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -56,12 +67,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     (partial minima) or joined with the one row of its minimum, which Spark can split.
     """
     current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seal = _seal(current)
     for _ in range(rounds):
-        large = _star(current, both=True)
-        small = stored(_star(large, both=False))
-        if not _changed(current, small):
-            return small.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        current = small
+        current = stored(_star(_star(current, both=True), both=False))
+        before, seal = seal, _seal(current)
+        if seal == before:
+            return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -81,7 +92,6 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def _changed(before: DataFrame, after: DataFrame) -> bool:
-    """Whether two edge sets differ, by their sizes and sums of row hashes."""
-    seal = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")]
-    return before.agg(*seal).first() != after.agg(*seal).first()
+def _seal(edges: DataFrame):
+    """Size and sum of row hashes of an edge set: equal sets have equal ones."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()

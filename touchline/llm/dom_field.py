@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import slices
 from touchline.llm.dom import Tree, parse
 from touchline.llm.labelled_pages import MARK, labelled_pages
 
@@ -212,7 +213,7 @@ def main_text(html: Column, model: Field) -> Column:
 
     @F.arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for pages in batches:
+        for pages in slices(batches):
             yield pa.array(content_of([p or "" for p in pages.to_pylist()], model), pa.string())
 
     return extract(html)

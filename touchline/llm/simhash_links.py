@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from touchline.llm.common import components, own_name, stored
+from touchline.llm.common import components, own_name, slices, stored
 
 SEED = 42
 BLOCK = 65_536  # shingle hashes expanded to bits at a time
@@ -54,7 +54,7 @@ def fingerprint(text: Column, words: int = 4) -> Column:
 
     @arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pa.array([fingerprint_of(t.as_py(), words) for t in texts], pa.int64())
 
     return prints(text)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from touchline.llm.common import own_name, text_of
+from touchline.llm.common import own_name, slices, text_of
 from touchline.llm.fitting import logistic, sigmoid
 
 WORD_BITS, PAIR_BITS = 18, 20
@@ -31,6 +31,7 @@ EXCESS = 1.0  # a word whose log-likelihood difference is above this also counts
 CALIBRATION_SHARE = 8  # one in so many labelled texts calibrates and is not counted
 CALIBRATION_ROWS = 20_000  # at most so many of them are collected for the fit
 BROADCAST_LABELS = 2_000_000  # labels of at most so many rows go to every executor; more are joined by a shuffle
+TEXTS_COUNTED = 2048  # texts whose pairs a task sums up before it gives them on
 PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +119,7 @@ def _counts(labelled: DataFrame, text: str, toxic: str) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TEXTS_COUNTED):
             numbers, offsets = word_numbers(batch.column("t"))
             keys = pairs(numbers, offsets)
             is_toxic = np.repeat(batch.column("y").to_numpy() == 1, np.diff(offsets))
@@ -181,7 +182,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     inner = documents.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             d = inner.value.differences(batch.column("t"))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in d.T] + [batch.column("y")], ["a", "b", "c", "d", "y"])
 
@@ -202,7 +203,7 @@ def score(spark, model: Model, text: Column) -> Column:
 
     @arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pa.array(sent.value.scores(texts))
 
     return scored(text)

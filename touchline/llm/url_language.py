@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import stored
+from touchline.llm.common import slices, stored
 from touchline.llm.fitting import logistic
 
 ORDER = 4
@@ -125,7 +125,7 @@ def fit(ruled: DataFrame) -> Model | None:
     ruled = ruled.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(CALIBRATION_SHARE)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 16_384):
             keys, offsets = grams(batch.column("t"))
             bad = np.repeat(batch.column("rejected").to_numpy(zero_copy_only=False), np.diff(offsets))
             found, place = np.unique(keys.ravel(), return_inverse=True)
@@ -152,7 +152,7 @@ def differences(df: DataFrame, model: Model, text: str = "t") -> DataFrame:
 
     @F.arrow_udf("double")
     def difference(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches, 4096):
             yield pa.array(sent.value.differences(texts))
 
     return df.withColumn("difference", difference(F.col(text)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from touchline.llm.common import text_of
+from touchline.llm.common import slices, text_of
 
 K, WINDOW = 20, 30
 ROWS_GIVEN = 256  # rows that a task gathers before it gives them on
@@ -86,7 +86,7 @@ def fingerprints(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
     @arrow_udf("struct<hashes: array<long>, positions: array<int>>")
     def selected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in slices(batches):
             rows = [winnow(t.as_py() or "", k, window) for t in texts]
             cuts = pa.array(np.concatenate([[0], np.cumsum([len(h) for h, _ in rows])]).astype(np.int32))
             none = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
