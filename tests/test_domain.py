@@ -190,4 +190,4 @@ def test_gates(spark):
 
 def test_documents_turn_nan_into_null(spark):
     df = spark.createDataFrame([("k", 1, float("nan"))], "k string, i int, v double")
-    assert sinks.document_per_key(sinks.documents(df, "k", ["i"], ["i", "v"]), "k", ["i"]).first().document == '[{"i":1,"v":null}]'
+    assert sinks.documents(df, "k", ["i"], ["i", "v"]).first().document == '{"i":1,"v":null}'

@@ -232,13 +232,18 @@ def publish_gate(spark, sf):
 
 @query("document_round_trip", f"WITH {V} SELECT league, match_id, home, hg, round(odds_h, 6) AS odds_h FROM v_match")
 def document_round_trip(spark, sf):
-    """One document per league and season written as JSON, read back to one row per match."""
+    """One folder of row documents per league and season written as JSON lines, read back to one row per match."""
     place = new_place(spark, "documents")
     m = _m(spark, sf).withColumn("key", F.concat_ws("|", "league", "season"))
-    docs = sinks.document_per_key(sinks.documents(m, "key", ["match_id"], ["match_id", "home", "hg", "odds_h"]), "key", ["match_id"])
-    docs.select(F.concat(F.lit('{"league":"'), F.split_part("key", F.lit("|"), F.lit(1)), F.lit('","historico":'), "document", F.lit("}")).alias("value")).write.text(place)
-    back = spark.read.schema("league string, historico array<struct<match_id:bigint,home:string,hg:bigint,odds_h:double>>").json(place)
-    return back.select("league", F.explode("historico").alias("_m")).select("league", "_m.*").withColumn("odds_h", r6("odds_h"))
+    sinks.write_documents(sinks.documents(m, "key", ["match_id"], ["match_id", "home", "hg", "odds_h"]), "key", place)
+    back = spark.read.schema("match_id bigint, home string, hg bigint, odds_h double, key string").json(place)
+    return back.select(F.split_part("key", F.lit("|"), F.lit(1)).alias("league"), "match_id", "home", "hg", r6("odds_h").alias("odds_h"))
+
+
+@query("columnar_rows", f"WITH {V} SELECT league, match_id, to_json([cast(match_id as string), home, away, cast(hg as string)]) AS document FROM v_match")
+def columnar_rows(spark, sf):
+    out = sinks.columnar_rows(_m(spark, sf), "league", ["match_id", "home", "away", "hg"], ["match_id"])
+    return out.select("league", "match_id", "document")
 
 
 _IDS = f"""{TYPED}, rw AS (SELECT ranker, player, team, games, minutes FROM ty)"""
