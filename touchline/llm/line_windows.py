@@ -70,7 +70,8 @@ def without_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     """
     k, h, ranges = (own_name(df, s) for s in ("key", "hash", "ranges"))
     covered = stored(covered_lines(df, text, key, width)).select(F.col("k").alias(k), F.col("h").alias(h), F.col("ranges").alias(ranges))
-    joined = df.join(covered, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left")
+    # one plan at every size: ranges grow with the texts, so they are never sent to all executors
+    joined = df.join(covered.hint("merge"), F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.exists(
         F.col(ranges), lambda r: i.between(r["a"], r["b"]))), "\n")
     new = F.when(F.col(ranges).isNull(), F.col(text)).otherwise(kept)
