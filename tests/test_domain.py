@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import text
-from touchline.operators import bets, competition, fantasy, league, panel, reshape, spatial, tracking
+from touchline.operators import bets, competition, fantasy, league, panel, reshape, scouting, spatial, tracking
 from touchline.sources import articles, sinks
 from touchline.schemas import documented
 
@@ -191,3 +191,14 @@ def test_gates(spark):
 def test_documents_turn_nan_into_null(spark):
     df = spark.createDataFrame([("k", 1, float("nan"))], "k string, i int, v double")
     assert sinks.documents(df, "k", ["i"], ["i", "v"]).first().document == '{"i":1,"v":null}'
+
+
+def test_levels_and_silhouettes_per_position(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, lv, float(10 * lv + rng.normal(0, 0.2)), float((5 if p == "DF" else -5) * lv + rng.normal(0, 0.2)))
+            for p in ("DF", "FW", "GK") for lv in range(3) for _ in range(40)]
+    df = spark.createDataFrame(rows, "pos string, truth int, x double, y double")
+    got = scouting.level_groups_by(df, "pos", ["DF", "FW"], ["x", "y"], "x", 3)
+    assert got.count() == 240 and got.filter("level <> truth").count() == 0
+    best = scouting.silhouette_by_k(df, "pos", ["DF", "FW"], ["x", "y"], [2, 3, 4]).toPandas()
+    assert (best.loc[best.groupby("pos")["silhouette"].idxmax(), "k"] == 3).all()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.numeric import ratio
 from touchline.operators.ordered import top_rows
+from touchline.operators.ranking import union_all
 from touchline.session import settle
 
 
@@ -49,10 +50,14 @@ def _features(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def level_groups(df: DataFrame, columns: list[str], output: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """K-means on standardised columns, groups renamed 0..k-1 by their mean of `output`."""
+def level_groups(df: DataFrame, columns: list[str], output: str, k: int = 3, seed: int = 42, starts: int = 2) -> DataFrame:
+    """K-means on standardised columns, groups renamed 0..k-1 by their mean of `output`.
+
+    The best of `starts` fits; Spark's parallel seeding spreads the centres already, so few are needed.
+    """
     data = settle(_features(df, columns))
-    fitted = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=30).fit(data).transform(data)
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=30).fit(data) for i in range(starts)]
+    fitted = min(models, key=lambda m: m.summary.trainingCost).transform(data)
     means = fitted.groupBy("cluster").agg(F.avg(output).alias("_m"))
     order = sorted(means.collect(), key=lambda r: r["_m"])  # k rows
     level = F.lit(None).cast("int")
@@ -61,12 +66,21 @@ def level_groups(df: DataFrame, columns: list[str], output: str, k: int = 3, see
     return fitted.withColumn("level", level).drop("features", "cluster")
 
 
-def silhouette_by_k(df: DataFrame, columns: list[str], ks: list[int], seed: int = 42) -> DataFrame:
-    data = settle(_features(df, columns))
+def level_groups_by(df: DataFrame, group: str, values: list[str], columns: list[str], output: str, k: int = 3, seed: int = 42,
+                    starts: int = 2) -> DataFrame:
+    """Levels fitted apart in each of the listed groups; rows of other groups are left out."""
+    return union_all([level_groups(df.filter(F.col(group) == v), columns, output, k, seed, starts) for v in values])
+
+
+def silhouette_by_k(df: DataFrame, group: str, values: list[str], columns: list[str], ks: list[int], seed: int = 42) -> DataFrame:
+    """Mean silhouette per group and number of clusters."""
     score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    rows = [(k, float(score.evaluate(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=20)
-                                     .fit(data).transform(data)))) for k in ks]
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
+    rows = []
+    for value in values:
+        data = settle(_features(df.filter(F.col(group) == value), columns))
+        rows += [(value, k, float(score.evaluate(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=20)
+                                                 .fit(data).transform(data)))) for k in ks]
+    return df.sparkSession.createDataFrame(rows, f"{group} string, k int, silhouette double")
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int) -> DataFrame:

@@ -151,6 +151,7 @@ def similar_vectors_topk(spark, sf):
     return scouting.most_similar(e, targets, ["label"], "vec_id", "embedding", 5).withColumn("similarity", r6("similarity"))
 
 
+OUTFIELD = ["DF", "MF", "FW"]
 _SIM = ["goals_pens_per90", "assists_per90", "minutes_share"]
 
 
@@ -169,9 +170,10 @@ def similar_players(spark, sf):
 
 
 def _levels(spark, sf, seed=42):
-    d = scored(spark, sf).filter("minutes >= 600 AND goals_pens_per90 IS NOT NULL")
+    d = scored(spark, sf).filter("minutes >= 600 AND goals_pens_per90 IS NOT NULL").withColumn(
+        "goals_assists_per90", 90 * (F.col("goals") + F.col("assists")) / F.col("minutes"))
     z = scouting.standardised(d, ["main_position"], _SIM)
-    return scouting.level_groups(z, [f"z_{c}" for c in _SIM], "pts_total", 3, seed)
+    return scouting.level_groups_by(z, "main_position", OUTFIELD, [f"z_{c}" for c in _SIM], "goals_assists_per90", 3, seed)
 
 
 @query("level_clusters")
@@ -188,7 +190,7 @@ def level_drift(spark, sf):
 @query("silhouette")
 def silhouette(spark, sf):
     d = scouting.standardised(scored(spark, sf).filter("minutes >= 600 AND goals_pens_per90 IS NOT NULL"), ["main_position"], _SIM)
-    return scouting.silhouette_by_k(d, [f"z_{c}" for c in _SIM], [2, 3, 4])
+    return scouting.silhouette_by_k(d, "main_position", OUTFIELD, [f"z_{c}" for c in _SIM], [2, 3, 4, 5, 6])
 
 
 @query("pca_loadings")
