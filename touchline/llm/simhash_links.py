@@ -11,7 +11,7 @@ they join, at most one per member of a large bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,16 +163,23 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", words: i
     (the smallest hash) stay once; rows with a null key stay only if their group has no other. Columns and their order are
     those of `df`.
     """
-    k, f, h = (own_name(df, s) for s in ("key", "print", "hash"))
-    rows = df.select("*", fingerprint(F.col(text), words).alias(f), F.xxhash64(text).alias(h))
-    slim = stored(rows.select(F.col(key).alias(k), F.col(f), F.col(h)))
-    firsts = stored(slim.groupBy(F.col(f).alias("f")).agg(F.min(F.struct(F.col(k).isNull().alias("z"), F.col(k).alias("k"),
-                                                                       F.col(h).alias("h"))).alias("least")))
-    links = linked_prints(firsts, bits)
-    named = firsts.join(links, F.col("f") == F.col("node"), "left")
+    return kept_rows(df, text, key, [fingerprint(F.col(text), words).alias("f")],
+                     lambda firsts, slim: linked_prints(firsts, bits))
+
+
+def kept_rows(df: DataFrame, text: str, key: str, prints: list[Column], links: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `one_of_each` keeps, for any fingerprint `f`, the first of `prints`.
+
+    `links` gives (node, component) of fingerprints from the frame of distinct `f` and that of all rows (k, h, f and the
+    other `prints`), h being the text's hash.
+    """
+    k, h = (own_name(df, s) for s in ("key", "hash"))
+    slim = stored(df.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), *prints))
+    firsts = stored(slim.groupBy("f").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "h")).alias("least")))
+    named = firsts.join(links(firsts, slim), F.col("f") == F.col("node"), "left")
     keep = named.groupBy(F.coalesce("component", "f").alias("c")).agg(F.min(F.struct("least", "f")).alias("best"))
     keep = stored(keep.select(F.col("best.least.k").alias(k), F.col("best.least.h").alias(h)))
     kept = df.join(keep, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)))
-    if not slim.groupBy(k, h).count().where("count > 1").isEmpty():  # only rows that are there twice need a second shuffle
+    if not slim.groupBy("k", "h").count().where("count > 1").isEmpty():  # only rows that are there twice need a second shuffle
         kept = kept.dropDuplicates([k, h])
     return kept.select(*[df[c] for c in df.columns])
