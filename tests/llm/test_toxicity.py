@@ -76,3 +76,25 @@ def test_missing_classes_null_empty_and_long_texts(spark):
                           spark.createDataFrame([(i, y) for i, _, y in corpus(400, 2)], "doc_id long, toxic int"))
     assert np.isfinite(fitted.scores(pa.array([None, "", "w " * 60_000, "??"]))).all()
     assert not spark.createDataFrame([], "text string").select(toxicity.score(spark, fitted, F.col("text"))).collect()
+
+
+def test_no_two_words_or_pairs_share_a_key():
+    """More words than 2^18, and more pairs than 2^20."""
+    numbers, offsets = toxicity.word_numbers(pa.array([" ".join(chr(97 + i // 26**4 % 26) + chr(97 + i // 26**3 % 26) + chr(97 + i // 676 % 26)
+                                                                + chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(1_200_000))]))
+    assert len(np.unique(numbers)) == 1_200_000
+    assert len(np.unique(np.concatenate([toxicity.pairs(numbers, offsets), ~numbers]))) == 2_400_000
+
+
+def test_joined_model_scores_as_the_sent_one(spark, monkeypatch):
+    rows = corpus(600, 3) + [(9000, None, 0), (9001, "", 0), (9002, "?!", 0), (9003, "w " * 5000, 0)]
+    rows += [(9100 + i, rows[i][1], rows[i][2]) for i in range(20)]
+    documents = spark.createDataFrame([(i, t, "clash") for i, t, _ in rows], "doc_id long, text string, h1 string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sent = toxicity.fit(documents, labels)
+    want = {i: s for (i, _, _), s in zip(rows, sent.scores(pa.array([t for _, t, _ in rows])))}
+    monkeypatch.setattr(toxicity, "SENT_KEYS", 0)
+    joined = toxicity.fit(documents, labels)
+    assert sent.sent is not None and joined.sent is None
+    got = {x.doc_id: x.s for x in toxicity.with_score(documents, joined, "s").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)

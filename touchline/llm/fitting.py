@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -20,3 +22,26 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1.0
         if np.abs(step).max() < 1e-9:
             break
     return w
+
+
+class Lookup:
+    """Exact table from 64-bit keys to columns of values; absent keys give zeros. `place` deals keys to buckets for speed only."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, place: Callable[[np.ndarray], np.ndarray], buckets: int):
+        order = np.argsort(place(keys), kind="stable")
+        self.keys, self.place = keys[order], place
+        self.values = np.concatenate([values[:, order], np.zeros((len(values), 1), values.dtype)], axis=1)  # the last place is for absent keys
+        self.starts = np.searchsorted(place(self.keys), np.arange(buckets + 1))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        cell = self.place(keys)
+        at, end = self.starts[cell], self.starts[cell + 1]
+        found = np.full(len(keys), len(self.keys))
+        left = np.nonzero(at < end)[0]
+        while len(left):
+            hit = self.keys[at[left]] == keys[left]
+            found[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return self.values[:, found]

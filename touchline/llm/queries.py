@@ -60,9 +60,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
-    scored = documents.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
-                              toxicity.score(spark, model, F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+    scored = toxicity.with_score(documents.select("doc_id", "text", toxicity.held_out(F.col("doc_id")).alias("held_out")), model, "score")
+    return scored.drop("text").withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
 #: Relative target weights of sources; one that isn't named has weight 1.
