@@ -73,3 +73,17 @@ def test_given_pages(spark):
     for row in got:
         inner = re.search("<article>(.*?)</article>", row.html, re.S)[1]
         assert row.t == " ".join(unescape(re.sub("<[^>]*>", " ", inner)).split())
+
+
+def test_heads_without_end():
+    """An open head ends where a body, or what cannot stand in a head, begins."""
+    def texts(page):
+        return [t for t in parse(page).text if t]
+
+    for start in ("<html><head><title>T</title>", "<head><meta charset=u><title>a < b <i>T</title><link href=x>", "<head><title>T<meta a=b>",
+                  "<head><noscript><img src=x></noscript><script>1<2</script>", "<head><noscript><link href=x>", "<head><template><div>no</div>"):
+        assert texts(f"{start}<body><p>one<p>two") == ["one", "two"], start
+        assert texts(f"{start}</head><body><p>one<p>two") == ["one", "two"], start
+    assert texts("<head><title>T</title><p>one<div>two</div>") == ["one", "two"]
+    assert texts("<head><title>T</title> \n one <b>two</b>") == ["one two"]
+    assert texts("<head><noscript><p>no</p></noscript><template><p>no</p></template></head><p>one") == ["one"]

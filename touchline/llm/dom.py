@@ -16,7 +16,8 @@ SPACES = re.compile(r"\s+")
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
-RAW = frozenset("script style".split())
+RAW = frozenset("script style title".split())
+IN_HEAD = frozenset("base basefont bgsound command head html link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup "
                    "time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
@@ -76,12 +77,21 @@ def parse(html: str) -> Tree:
             run.append(piece)
             links[0] += len(piece) if in_link else 0
 
+    def end_head(name: str, piece: str = "") -> None:
+        """Close an open head at what cannot stand in one: a body, or other tags and text outside a template or noscript."""
+        depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "head"), 0)
+        if depth and (name == "body" or (name not in IN_HEAD or piece.strip()) and all(n not in ("template", "noscript") for n, _ in stack[depth:])):
+            close(depth)
+
     size = len(html)
     while at < size:
         found = TOKEN.search(html, at)
         if not found:
+            end_head("html", html[at:])
             gather(html[at:])
             break
+        if unseen:
+            end_head("html", html[at:found.start()])
         gather(html[at:found.start()])
         at = found.end()
         name = (found[2] or found[5] or "").lower()
@@ -93,6 +103,8 @@ def parse(html: str) -> Tree:
                 close(depth)
             continue
         attributes = found[3] or found[6] or ""
+        if unseen:
+            end_head(name)
         if name in CLOSES_P and any(n == "p" for n, _ in stack):
             close(max(d for d, (n, _) in enumerate(stack) if n == "p"))
         if name in CLOSED_BY_SAME:
@@ -114,6 +126,9 @@ def parse(html: str) -> Tree:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            if name == "title":
+                flush()
+                end = end or re.compile("(?=<)").search(html, at)  # one without an end is taken to end at the next tag
             at = end.end() if end else size
             continue
         flush()
