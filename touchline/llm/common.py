@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,21 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
         pa.default_memory_pool().release_unused()
 
 
+def slices_by_size(batches: Iterator[pa.Array], most: int = 4 << 20, rows: int = 256) -> Iterator[pa.Array]:
+    """Arrow arrays of texts or bytes in slices of at most so many rows and bytes; one longer value is a slice of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+        at = total = 0
+        for i, size in enumerate(sizes):
+            if i > at and (total + size > most or i - at == rows):
+                yield batch[at:i]
+                at, total = i, 0
+            total += int(size)
+        yield batch[at:]
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

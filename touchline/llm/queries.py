@@ -127,3 +127,24 @@ def op4_dom_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = pages.select("page_id", "url", main_text(F.col("html"), fitted(pages)).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, one in ten with a planted period, and the texts without the repeats."""
+    from touchline.llm.periodic_runs import periodic_runs, with_planted_period
+
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", periodic_runs(with_planted_period(F.col("text"), F.col("doc_id"))).alias("f"))
+    best = F.get("f.runs", F.col("f.best"))
+    lines = F.transform("f.runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    return found.select(
+        "doc_id",
+        F.size("f.runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.concat(lines, F.array(F.lit(""))), "\n"), 256).alias("runs_sha256"),
+        F.sha2("f.collapsed", 256).alias("collapsed_sha256"),
+    )
