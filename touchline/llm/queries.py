@@ -148,3 +148,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.concat(lines, F.array(F.lit(""))), "\n"), 256).alias("runs_sha256"),
         F.sha2("f.collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_anchor_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh vector has the next label."""
+    from touchline.llm.anchor_trees import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
