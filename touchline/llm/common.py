@@ -24,11 +24,16 @@ def stored(df: DataFrame) -> DataFrame:
 
     It survives lost executors, and is dealt out anew by the joins that follow, so that Spark can split their large keys.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid4().hex}"
+    path = new_folder(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, stem: str) -> str:
+    """Path of a folder, not there yet, in the folder that the cluster shares."""
+    return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid4().hex}"
+
+
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches in slices of at most so many rows, so that a worker holds the results of few rows at a time."""
     for batch in batches:

@@ -158,3 +158,14 @@ WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
 QUALIFY row_number() OVER w <= 3
 """
 ORACLES["op13_anchor_trees"] = HARD_NEGATIVES
+
+WARC = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM bodies),
+latest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM latest
+"""
+ORACLES["op11_warc"] = WARC

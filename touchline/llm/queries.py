@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import table, text_of
+from touchline.llm.common import new_folder, table, text_of
 
 TOXIC_FROM = 0.3  # score from which a document is predicted to be toxic
 
@@ -158,3 +158,19 @@ def op13_anchor_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives of one gzip stream each, normalised to a member per record, and read back."""
+    from touchline.llm import warc
+
+    pages = table(spark, sf_dir, "pages")
+    folder = new_folder(spark, "warc")
+    warc.write_archives(warc.as_records(pages, "page_id", "url", "html"), f"{folder}/streams")
+    warc.normalise(spark, f"{folder}/streams", f"{folder}/normalised")
+    found = warc.payloads_of(warc.read_archives(spark, f"{folder}/normalised"))
+    kind = dict(pages.dtypes)["page_id"]
+    return found.select(
+        warc.key_of(F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.key_of(F.col("refers_to")).cast(kind).alias("refers_to"))
