@@ -314,9 +314,12 @@ def payloads_of(records: DataFrame) -> DataFrame:
     stated = hex_of(F.substring("payload_digest", 6, 32))
     rows = stored(records.select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"),
                                  F.sha1("payload").alias("read"), stated.alias("stated")))
-    answers = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("answer")).agg(
-        F.first("n").alias("of_n"), F.first("read").alias("of_read"))
-    joined = rows.join(answers, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("answer")), "left")
+    # stored, so that Spark can split a response that very many refer to
+    answers = stored(rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("answer")).agg(
+        F.first("n").alias("of_n"), F.first("read").alias("of_read")))
+    alone = rows.where("record_type <> 'revisit'").select("*", F.lit(None).cast("long").alias("of_n"), F.lit(None).cast("string").alias("of_read"))
+    referring = rows.where("record_type = 'revisit'").join(answers, F.col("refers_to") == F.col("answer"), "left").drop("answer")
+    joined = alone.unionByName(referring)
     digest = F.coalesce("read", "of_read")
     sure = F.when(digest.isNull() | (digest != F.col("stated")), F.raise_error(F.concat(F.lit("digest of "), "record_id"))).otherwise(digest)
     return joined.select("record_id", "record_type", F.coalesce("n", "of_n").alias("payload_bytes"), sure.alias("payload_digest"), "refers_to")
