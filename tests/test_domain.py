@@ -105,6 +105,52 @@ def test_weighted_diagram_against_the_circle(spark):
     a = spatial.owners(same, ["g"], "s", "w", "multiplicative", 40, unit)
     assert a.exceptAll(spatial.owners(same, ["g"], "s", None, "plain", 40, unit)).count() == 0
     assert spatial.rejected_weights(sites.withColumn("w", F.lit(0.0)), "multiplicative", "w").count() == 2
+    for wrong in (0.0, -1.0, None, float("nan")):
+        with pytest.raises(Exception, match="weights must be positive"):
+            spatial.owners(sites.withColumn("w", F.lit(wrong).cast("double")), ["g"], "s", "w").count()
+    with pytest.raises(ValueError):
+        spatial.owners(sites, ["g"], "s", None, "additive")
+
+
+@pytest.mark.parametrize("mode", spatial.MODES)
+@pytest.mark.parametrize("cells", [7, 45])
+def test_diagram_equals_all_sites_against_all_cells(spark, mode, cells):
+    """Pruned tiles against a plain pass: ids of text, a null group, copies of a site, sites outside and on cell centres."""
+    rng = np.random.default_rng(cells)
+    rows = [(g, f"s{i:02d}", float(rng.uniform(-1, 3)), float(rng.uniform(-0.5, 1.5)), float(rng.uniform(0.2, 2)) if mode != "additive" else float(rng.uniform(-0.3, 0.3)))
+            for g in ("a", None, "b") for i in range(rng.integers(1, 25))]
+    rows += [("b", "t1", 1.0, 0.5, 0.5), ("b", "t0", 1.0, 0.5, 0.5), ("c", "only", 0.3, 0.3, 0.2), ("d", "nowhere", None, 0.1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, s string, x double, y double, w double")
+    got = {(r.g, r.cell): r for r in spatial.owners(df, ["g"], "s", "w", mode, cells, ((0.0, 2.0), (0.0, 1.0)), True).collect()}
+    want = {}
+    for g in ("a", None, "b", "c"):
+        for cell in range(cells * cells):
+            cx, cy = (cell % cells + 0.5) * 2 / cells, (cell // cells + 0.5) / cells
+            best = []
+            for h, s, x, y, w in rows:
+                if h == g and x is not None:
+                    d = math.hypot(cx - x, cy - y)
+                    best.append((math.floor((d / w if mode == "multiplicative" else d - w if mode == "additive" else d) * 1e9 + 0.5), s))
+            want[g, cell] = min(best)[1]
+    assert len(got) == len(want)
+    assert all(got[k].s == v for k, v in want.items())
+    for (g, cell), r in got.items():
+        assert r.left == (want[g, cell - 1] if cell % cells else None) and r.lower == want.get((g, cell - cells))
+
+
+def test_weights_scale_and_empty_sites(spark):
+    rng = np.random.default_rng(3)
+    rows = [("g", i, float(rng.random()), float(rng.random()), float(rng.uniform(50, 250))) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, s int, x double, y double, w double")
+    unit = ((0.0, 1.0), (0.0, 1.0))
+    a = spatial.owners(df, ["g"], "s", "w", cells=60, bounds=unit)
+    assert a.exceptAll(spatial.owners(df.withColumn("w", F.col("w") * 37.5), ["g"], "s", "w", cells=60, bounds=unit)).count() == 0
+    assert spatial.areas(df, a, ["g"], "s", 60).agg(F.sum("area")).first()[0] == pytest.approx(1)
+    assert spatial.owners(df.limit(0), ["g"], "s", "w").count() == 0
+
+
+def test_other_mode_is_refused(spark):
+    sites = spark.createDataFrame([("g", 1, 0.45, 0.5, 1.0)], "g string, s int, x double, y double, w double")
     with pytest.raises(ValueError):
         spatial.owners(sites, ["g"], "s", "w", "other")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from touchline.functions.numeric import pearson, ratio
 from touchline.functions.text import clock_minutes, lookup
@@ -29,7 +32,9 @@ LINES = {
                "Secondary Striker"),
 }
 MODES = ("multiplicative", "additive", "plain")
-SITES = Decimal(2**62)  # site ids are whole numbers from 0 up to here
+CELLS = 200  # cells of the raster per side
+TILE_CELLS = 20  # cells of a tile per side
+SITES_AT_ONCE = 256  # sites whose distances to a tile's cells are held at a time
 
 
 def line_of(position: str = "position") -> Column:
@@ -83,6 +88,12 @@ def additive_weights(points: str, groups: list[str], df: DataFrame, reach: float
     return df.join(ends, groups).withColumn("w", w).drop("_lo", "_hi")
 
 
+def fixed_domain(df: DataFrame, league: list[str], x: str, y: str, margin: float = 1.05) -> DataFrame:
+    """Places x, y in the unit square of their league: the same profile lies at the same place in all its seasons."""
+    ends = df.groupBy(*league).agg((F.max(x) * margin).alias("_mx"), (F.max(y) * margin).alias("_my"))
+    return df.join(ends, league).withColumns({"x": ratio(x, "_mx"), "y": ratio(y, "_my")}).drop("_mx", "_my")
+
+
 def rejected_weights(sites: DataFrame, mode: str, weight: str) -> DataFrame:
     """Sites that a mode cannot use (non-positive weights when distances are divided)."""
     if mode not in MODES:
@@ -90,39 +101,114 @@ def rejected_weights(sites: DataFrame, mode: str, weight: str) -> DataFrame:
     return sites.filter(F.col(weight).isNull() | (F.col(weight) <= 0)) if mode == "multiplicative" else sites.limit(0)
 
 
+def _tile_bounds(x: Column, y: Column, box: list[Column], weight: Column | None, mode: str) -> tuple[Column, Column]:
+    """Least and greatest weighted distance from a site to the cell centres of a tile."""
+    x0, x1, y0, y1 = box
+    zero = F.lit(0.0)
+    dx, dy = F.greatest(x0 - x, zero, x - x1), F.greatest(y0 - y, zero, y - y1)
+    ex, ey = F.greatest(F.abs(x - x0), F.abs(x - x1)), F.greatest(F.abs(y - y0), F.abs(y - y1))
+    return tuple(_weighted(F.sqrt(u * u + v * v), weight, mode) for u, v in ((dx, dy), (ex, ey)))
+
+
+def _weighted(distance: Column, weight: Column | None, mode: str) -> Column:
+    return {"multiplicative": lambda: distance / weight, "additive": lambda: distance - weight, "plain": lambda: distance}[mode]()
+
+
 def owners(sites: DataFrame, group: list[str], site: str, weight: str | None, mode: str = "multiplicative",
-           cells: int = 40, bounds=((0.0, LENGTH), (0.0, WIDTH))) -> DataFrame:
+           cells: int = CELLS, bounds=((0.0, LENGTH), (0.0, WIDTH)), neighbours: bool = False) -> DataFrame:
     """Owner of every raster cell of every group: the site with the least weighted distance, lowest site on ties.
 
-    Each site lists the fixed raster; a minimum per (group, cell) combines map-side, so neither a large team nor
-    many groups gather in one task.
+    The raster is cut into square tiles. Each tile gets the sites that can own a cell in it: those whose least weighted
+    distance to the tile is no more than the smallest greatest distance of any site. Bounds combine map-side; rows are
+    exchanged by group and tile while they are sites, and become cells after that. With `neighbours` every cell also has the
+    owners of its left and lower neighbour (null at the edge), found in the same tile.
+
+    Sites without a place own nothing. In the multiplicative mode a weight that is null, not a number or not positive raises
+    an error. Sites at one place with one weight are one, the lowest. Ids may be of any type that has an order.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if weight is None and mode != "plain":
+        raise ValueError(f"mode {mode} needs weights")
     (x0, x1), (y0, y1) = bounds
-    # few sites become many cells: spread them first, a large group included
-    raster = spread(sites, *group, site).select(*group, site, "x", "y", *([weight] if weight else []),
-                          F.explode(F.sequence(F.lit(0), F.lit(cells * cells - 1))).alias("cell"))
-    cx = x0 + (F.col("cell") % cells + 0.5) * (x1 - x0) / cells
-    cy = y0 + (F.floor(F.col("cell") / cells) + 0.5) * (y1 - y0) / cells
-    d = F.sqrt((cx - F.col("x")) ** 2 + (cy - F.col("y")) ** 2)
-    value = {"multiplicative": lambda: d / F.col(weight), "additive": lambda: d - F.col(weight), "plain": lambda: d}[mode]()
-    # Distances are compared to nine places, so that ties do not hang on the last bit. Distance and site go into one
-    # fixed-width number, whose minimum a hash aggregate can keep in place (a struct would force a sort).
-    steps = F.floor(value * 1e9 + 0.5).cast("decimal(19,0)")
-    packed = (steps * F.lit(SITES)).cast("decimal(38,0)") + F.col(site).cast("decimal(19,0)")
-    best = raster.withColumn("_v", packed.cast("decimal(38,0)")).groupBy(*group, "cell").agg(F.min("_v").alias("_b"))
-    kind = sites.schema[site].dataType
-    return best.select(*group, "cell", F.pmod("_b", F.lit(SITES)).cast(kind).alias(site))
-
-
-def areas(sites: DataFrame, owned: DataFrame, group: list[str], site: str, cells: int = 40) -> DataFrame:
+    across, step_x, step_y = -(-cells // TILE_CELLS), (x1 - x0) / cells, (y1 - y0) / cells
+    w = F.col(weight).cast("double") if weight else F.lit(0.0)
+    if mode == "multiplicative":
+        w = F.when(F.coalesce((w > 0) & ~F.isnan(w), F.lit(False)), w).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
+    placed = sites.filter("x IS NOT NULL AND y IS NOT NULL").select(*group, F.col(site).alias("_s"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), w.alias("_w"))
+    placed = placed.filter("_w IS NOT NULL").groupBy(*group, "_x", "_y", "_w").agg(F.min("_s").alias("_s"))
+    tiled = placed.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(across * across - 1))))
+    halo = 1 if neighbours else 0  # neighbours reach one cell to the left and down
+    box = [low + (edge + 0.5) * step for low, step, n in ((x0, step_x, F.col("_t") % across), (y0, step_y, F.floor(F.col("_t") / across))) for edge in
+           (F.greatest(n * TILE_CELLS - halo, F.lit(0)), F.least((n + 1) * TILE_CELLS - 1, F.lit(cells - 1)))]
+    low, high = _tile_bounds(F.col("_x"), F.col("_y"), box, F.col("_w"), mode)
+    # a struct of the keys is never null; a fixed number of partitions keeps few sites from meeting in one task, where they become many cells
+    tiled = spread(tiled.select(F.struct(*group, "_t").alias("_key"), F.struct("_s", "_x", "_y", "_w").alias("_site"), low.alias("_low"), high.alias("_high")), "_key")
+    nearest = tiled.groupBy("_key").agg(F.min("_high").alias("_near"))
+    # what rounding to nine places can tie is kept
+    fit = tiled.join(nearest, "_key").filter(F.col("_low") <= F.col("_near") + 2e-9)
+    tiles = fit.groupBy("_key").agg(F.sort_array(F.collect_list("_site")).alias("_sites"))
+    first = [(n * TILE_CELLS).cast("int") for n in (F.col("_key._t") % across, F.floor(F.col("_key._t") / across))]
+    held = _tile_owners(mode, cells, (x0, y0, step_x, step_y), halo)("_sites._x", "_sites._y", "_sites._w", *first)
+    # owners are found per tile, below the step that makes cells of tiles
+    raster = tiles.select("_key", "_sites._s", held.alias("_o")).select("_key", "_s", F.inline("_o"))
+    names = {"owner": site} | ({"left": "left", "lower": "lower"} if neighbours else {})
+    return raster.select(*[F.col("_key")[g].alias(g) for g in group], "cell", *[F.get("_s", F.col(c)).alias(n) for c, n in names.items()])
+
+
+def _tile_owners(mode: str, cells: int, raster: tuple[float, float, float, float], halo: int):
+    """Per tile its cells with the place of each one's owner among the tile's sites, the first of equal ones, and those of the
+    cells to the left and below; cells times sites of plain arithmetic, in vectors."""
+    x0, y0, step_x, step_y = raster
+    kind = pa.struct([("cell", pa.int32()), ("owner", pa.int32()), ("left", pa.int32()), ("lower", pa.int32())])
+
+    def best_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        cx, cy = x0 + (columns + 0.5) * step_x, y0 + (rows + 0.5) * step_y
+        best, owner = np.full((len(rows), len(columns)), np.inf), np.zeros((len(rows), len(columns)), np.int32)
+        for at in range(0, len(x), SITES_AT_ONCE):
+            part = slice(at, at + SITES_AT_ONCE)
+            u, v = cx[None, :, None] - x[part], cy[:, None, None] - y[part]
+            d = np.sqrt(u * u + v * v)
+            # compared to nine places, so that ties do not hang on the last bit
+            d = np.floor((d / w[part] if mode == "multiplicative" else d - w[part] if mode == "additive" else d) * 1e9 + 0.5)
+            place = d.argmin(axis=2)
+            least = np.take_along_axis(d, place[:, :, None], 2)[:, :, 0]
+            owner = np.where(least < best, place + at, owner)
+            best = np.minimum(best, least)
+        return owner
+
+    @arrow_udf("array<struct<cell: int, owner: int, left: int, lower: int>>")
+    def owned(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for begin in range(0, len(batch[0]), 256):
+                xs, ys, ws, first, lowest = (c[begin:begin + 256] for c in batch)
+                cuts = xs.offsets.to_numpy()
+                cuts = cuts - cuts[0]
+                x, y, w = (v.flatten().to_numpy(zero_copy_only=False) for v in (xs, ys, ws))
+                found = []
+                for n, (i, j) in enumerate(zip(first.to_pylist(), lowest.to_pylist())):
+                    part = slice(cuts[n], cuts[n + 1])
+                    columns, rows = (np.arange(max(e - halo, 0), min(e + TILE_CELLS, cells)) for e in (i, j))
+                    owner = best_of(x[part], y[part], w[part], columns, rows)
+                    padded = np.pad(owner, ((1, 0), (1, 0)), constant_values=-1)  # -1: no such neighbour
+                    inner = np.ix_(np.flatnonzero(rows >= j), np.flatnonzero(columns >= i))
+                    cell = rows[:, None] * cells + columns
+                    found.append([v[inner].ravel() for v in (cell, owner, padded[1:, :-1], padded[:-1, 1:])])
+                ends = np.cumsum([0, *[len(f[0]) for f in found]]).astype(np.int32)
+                fields = [np.concatenate(c).astype(np.int32) for c in zip(*found)]
+                arrays = [pa.array(c, mask=c < 0) for c in fields]
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(arrays, fields=list(kind)))
+
+    return owned
+
+
+def areas(sites: DataFrame, owned: DataFrame, group: list[str], site: str, cells: int = CELLS) -> DataFrame:
     """Share of the raster per site, zero for a site that owns nothing."""
     n = owned.groupBy(*group, site).agg((F.count(F.lit(1)) / float(cells * cells)).alias("area"))
     return sites.join(n, [*group, site], "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
 
 
-def territory(positions: DataFrame, mode: str = "multiplicative", cells: int = 40) -> DataFrame:
+def territory(positions: DataFrame, mode: str = "multiplicative", cells: int = CELLS) -> DataFrame:
     """Share of the pitch each player dominates inside his own team and match; weight is successes, at least one."""
     sites = positions.withColumn("w", F.greatest(F.col("successes"), F.lit(1)).cast("double"))
     owned = owners(sites, ["match_id", "team"], "player_id", "w", mode, cells)
@@ -137,14 +223,10 @@ def team_sites(positions: DataFrame) -> DataFrame:
         "w", F.greatest(F.col("successes"), F.lit(1)).cast("double")).drop("_any")
 
 
-def borders(owned: DataFrame, group: list[str], site: str, cells: int = 40) -> DataFrame:
-    """Cells whose left or lower neighbour belongs to someone else, by joining each cell with its neighbours."""
-    left = owned.filter(F.col("cell") % cells < cells - 1).select(
-        *group, (F.col("cell") + 1).alias("cell"), F.col(site).alias("_l"))
-    down = owned.select(*group, (F.col("cell") + cells).alias("cell"), F.col(site).alias("_d"))
-    out = owned.join(left, [*group, "cell"], "left").join(down, [*group, "cell"], "left")
-    edge = F.coalesce(F.col("_l") != F.col(site), F.lit(False)) | F.coalesce(F.col("_d") != F.col(site), F.lit(False))
-    return out.withColumn("border", edge).drop("_l", "_d")
+def borders(owned: DataFrame, site: str) -> DataFrame:
+    """Cells whose left or lower neighbour belongs to someone else; `owned` has the neighbours' owners."""
+    edge = [F.coalesce(F.col(n) != F.col(site), F.lit(False)) for n in ("left", "lower")]
+    return owned.withColumn("border", edge[0] | edge[1]).drop("left", "lower")
 
 
 def apollonius_circle(ax, ay, aw, bx, by, bw) -> tuple[Column, Column, Column]:

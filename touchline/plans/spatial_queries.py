@@ -12,7 +12,7 @@ from touchline.session import settle
 
 E = ctes("v_events")
 MIN_ACTIONS = 5
-CELLS = 40
+CELLS = spatial.CELLS
 POS = f"""{E},
 pos AS (SELECT match_id, team, player_id, any_value(player) AS player, any_value(block) AS block, bool_or(starter) AS starter, min(position) AS position, count(*) AS actions,
   sum((case type when 'Pass' then pass_outcome is null when 'Carry' then true when 'Dribble' then dribble_outcome = 'Complete' when 'Shot' then shot_outcome IN ('Goal', 'Saved')
@@ -21,7 +21,7 @@ pos AS (SELECT match_id, team, player_id, any_value(player) AS player, any_value
 AREA = f"""{POS},
 rs AS (SELECT p.*, c.cell, round(sqrt(power((c.cell % {CELLS} + 0.5) * 120.0 / {CELLS} - x, 2) + power((c.cell // {CELLS} + 0.5) * 80.0 / {CELLS} - y, 2)) / greatest(successes, 1), 9) AS v
   FROM pos p, (SELECT unnest(range({CELLS * CELLS})) AS cell) c),
-ow AS (SELECT match_id, team, cell, player_id FROM rs QUALIFY row_number() OVER (PARTITION BY match_id, team, cell ORDER BY v, player_id) = 1),
+ow AS (SELECT match_id, team, cell, min({{'v': v, 'p': player_id}}).p AS player_id FROM rs GROUP BY ALL),
 ar AS (SELECT p.*, coalesce(n.area, 0) AS area FROM pos p LEFT JOIN (SELECT match_id, team, player_id, count(*) / {CELLS * CELLS}.0 AS area FROM ow GROUP BY ALL) n USING (match_id, team, player_id))"""
 LINE = ("case when position = 'Goalkeeper' then 'Portero' when position IN ('Right Back', 'Left Back', 'Center Back') then 'Defensa' "
         "when position IN ('Center Midfield', 'Right Midfield', 'Left Midfield') then 'Medio' else 'Ataque' end")
@@ -99,8 +99,8 @@ LEFT JOIN ow l ON l.match_id = o.match_id AND l.team = o.team AND l.cell = o.cel
 SELECT match_id, team, count_if(border) AS border_cells FROM b GROUP BY ALL""")
 def border_cells(spark, sf):
     p = settle(positions(spark, sf)).withColumn("w", F.greatest("successes", F.lit(1)).cast("double"))
-    owned = settle(spatial.owners(p, ["match_id", "team"], "player_id", "w", cells=CELLS))
-    b = spatial.borders(owned, ["match_id", "team"], "player_id", CELLS)
+    owned = spatial.owners(p, ["match_id", "team"], "player_id", "w", cells=CELLS, neighbours=True)
+    b = spatial.borders(owned, "player_id")
     return b.groupBy("match_id", "team").agg(F.count_if("border").alias("border_cells"))
 
 
@@ -213,26 +213,57 @@ def event_windows(spark, sf):
         "type", F.col("w.start").cast("date").cast("string").alias("day"), "actions", "x", "y")
 
 
-_PROFILE_SITES = f"""{E}, pp AS (SELECT player_id, any_value(team_no) AS team_no, sum((type = 'Pass')::int) AS passes, sum((type = 'Shot')::int) AS shots, count(*) AS points FROM v_events GROUP BY player_id),
-tp AS (SELECT *, row_number() OVER (PARTITION BY team_no ORDER BY points DESC, player_id) AS rk FROM pp QUALIFY rk <= 8),
-ap AS (SELECT player_id, team_no, passes / 60.0 AS x, shots / 60.0 AS y, case when max(points) OVER w > min(points) OVER w then 0.15 * (points - min(points) OVER w) / (max(points) OVER w - min(points) OVER w) else 0 end AS w
-  FROM tp WINDOW w AS (PARTITION BY team_no)),
-aw AS (SELECT team_no, cell, player_id FROM (SELECT *, round(sqrt(power((cell % 20 + 0.5) / 20.0 - x, 2) + power((cell // 20 + 0.5) / 20.0 - y, 2)) - w, 9) AS v FROM ap, (SELECT unnest(range(400)) AS cell))
-  QUALIFY row_number() OVER (PARTITION BY team_no, cell ORDER BY v, player_id) = 1)"""
+PROFILE_SITES, PROFILE_CELLS = 20, 300
+_VALUES = {"multiplicative": "d / points", "plain": "d", "additive": "d - w"}
+_PROFILE = f"""{E}, pp AS (SELECT player_id, any_value(team_no // 2) AS season_no, any_value(team_no // 20) AS league_no, sum((type = 'Pass')::int) / 60.0 AS gx, sum((type = 'Shot')::int) / 60.0 AS gy, count(*) AS points FROM v_events GROUP BY player_id),
+tp AS (SELECT * FROM pp QUALIFY row_number() OVER (PARTITION BY season_no ORDER BY points DESC, player_id) <= {PROFILE_SITES}),
+ap AS (SELECT *, gx / (1.05 * max(gx) OVER l) AS x, gy / (1.05 * max(gy) OVER l) AS y,
+  case when max(points) OVER s > min(points) OVER s then 0.15 * (points - min(points) OVER s) / (max(points) OVER s - min(points) OVER s) else 0 end AS w
+  FROM tp WINDOW l AS (PARTITION BY league_no), s AS (PARTITION BY season_no)),
+ac AS (SELECT *, sqrt(power((cell % {PROFILE_CELLS} + 0.5) / {PROFILE_CELLS} - x, 2) + power((cell // {PROFILE_CELLS} + 0.5) / {PROFILE_CELLS} - y, 2)) AS d FROM ap, (SELECT unnest(range({PROFILE_CELLS ** 2})) AS cell)),
+ao AS (SELECT season_no, cell, {', '.join(f"min({{'v': round({v}, 9), 'p': player_id}}).p AS {m}" for m, v in _VALUES.items())} FROM ac GROUP BY ALL),
+an AS ({' UNION ALL '.join(f"SELECT season_no, {m} AS player_id, '{m}' AS mode, count(*) / {PROFILE_CELLS ** 2}.0 AS area FROM ao GROUP BY ALL" for m in _VALUES)}),
+pa AS (SELECT a.season_no, a.player_id, any_value(a.points) AS points, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.w) AS w, {', '.join(f"coalesce(max(case when mode = '{m}' then area end), 0) AS {m}" for m in _VALUES)}
+  FROM ap a LEFT JOIN an USING (season_no, player_id) GROUP BY ALL)"""
 
 
-@query("profile_space_territory", f"""WITH {_PROFILE_SITES} SELECT a.team_no, a.player_id, round(a.w, 6) AS w, round(coalesce(n.c, 0) / 400.0, 6) AS area FROM ap a
-LEFT JOIN (SELECT team_no, player_id, count(*) AS c FROM aw GROUP BY ALL) n USING (team_no, player_id)""")
-def profile_space_territory(spark, sf):
-    """Players as points in a fixed profile space with additive weights from their points."""
+def profile_areas(spark, sf):
+    """Players as points of a profile space with one domain per league, and their areas in each mode, season by season."""
     from touchline.operators.ordered import top_rows
 
     p = view(spark, sf, "v_events").groupBy("player_id").agg(
-        F.max("team_no").alias("team_no"), F.sum((F.col("type") == "Pass").cast("int")).alias("passes"),
-        F.sum((F.col("type") == "Shot").cast("int")).alias("shots"), F.count(F.lit(1)).alias("points"))
-    top = top_rows(p, ["team_no"], [F.desc("points"), F.asc("player_id")], 8).drop("rank")
-    sites = spatial.additive_weights("points", ["team_no"], top.withColumns(
-        {"x": F.col("passes") / 60.0, "y": F.col("shots") / 60.0}))
-    sites = settle(sites)
-    owned = spatial.owners(sites, ["team_no"], "player_id", "w", "additive", 20, ((0.0, 1.0), (0.0, 1.0)))
-    return _round(spatial.areas(sites, owned, ["team_no"], "player_id", 20), ["team_no", "player_id"], ["w", "area"])
+        F.floor(F.max("team_no") / 2).alias("season_no"), F.floor(F.max("team_no") / 20).alias("league_no"),
+        (F.sum((F.col("type") == "Pass").cast("int")) / 60.0).alias("gx"),
+        (F.sum((F.col("type") == "Shot").cast("int")) / 60.0).alias("gy"), F.count(F.lit(1)).alias("points"))
+    top = settle(top_rows(p, ["season_no"], [F.desc("points"), F.asc("player_id")], PROFILE_SITES).drop("rank"))
+    sites = settle(spatial.additive_weights("points", ["season_no"], spatial.fixed_domain(top, ["league_no"], "gx", "gy")))
+    unit = ((0.0, 1.0), (0.0, 1.0))
+    out = sites
+    for mode, weight in (("multiplicative", "points"), ("plain", None), ("additive", "w")):
+        owned = spatial.owners(sites, ["season_no"], "player_id", weight, mode, PROFILE_CELLS, unit)
+        out = spatial.areas(out, owned, ["season_no"], "player_id", PROFILE_CELLS).withColumnRenamed("area", mode)
+    return out
+
+
+@query("profile_space_territory", f"""WITH {_PROFILE} SELECT season_no, player_id, points, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, {', '.join(f'round({m}, 6) AS {m}' for m in _VALUES)}, round(multiplicative - plain, 6) AS gain FROM pa""")
+def profile_space_territory(spark, sf):
+    """The areas of the first players of every season, and what their weight adds to the plain diagram's."""
+    a = profile_areas(spark, sf).withColumn("gain", F.col("multiplicative") - F.col("plain"))
+    return _round(a, ["season_no", "player_id", "points"], ["x", "y", "w", *_VALUES, "gain"])
+
+
+_RANKED = ", ".join(f"rank() OVER (PARTITION BY season_no ORDER BY {c}) + (count(*) OVER (PARTITION BY season_no, {c}) - 1) / 2.0 AS r_{c}"
+                    for c in (*_VALUES, "gain", "points"))
+
+
+@query("profile_gain_rank", f"""WITH {_PROFILE}, pg AS (SELECT season_no, points, {', '.join(f'round({m}, 6) AS {m}' for m in _VALUES)}, round(multiplicative - plain, 6) AS gain FROM pa),
+rk AS (SELECT season_no, {_RANKED} FROM pg), rc AS (SELECT season_no, {', '.join(f"{_corr(f'r_{c}', 'r_points')} AS {c}" for c in (*_VALUES, 'gain'))} FROM rk GROUP BY season_no)
+SELECT count(*) AS seasons, {', '.join(f'round(quantile_cont({c}, 0.5), 6) AS {c}' for c in (*_VALUES, 'gain'))} FROM rc""")
+def profile_gain_rank(spark, sf):
+    """Median over seasons of the rank correlation with points: of each mode's area, and of the gain over the plain diagram."""
+    a = settle(profile_space_territory(spark, sf))
+    out = None
+    for c in (*_VALUES, "gain"):
+        rho = ranking.rank_correlation(a, ["season_no"], c, "points").select("season_no", F.col("rho").alias(c))
+        out = rho if out is None else out.join(rho, "season_no")
+    return out.agg(F.count(F.lit(1)).alias("seasons"), *[r6(F.percentile(c, F.lit(0.5))).alias(c) for c in (*_VALUES, "gain")])
