@@ -8,13 +8,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.numeric import ratio
 from touchline.functions.probability import ln_gamma
 from touchline.operators import scoreline
 from touchline.operators.ranking import union_all
@@ -174,25 +176,114 @@ def poisson_fit_quality(df: DataFrame, label: str, mean: str) -> DataFrame:
         "pseudo_r2", 1 - F.col("log_likelihood") / F.col("null_log_likelihood"))
 
 
-def nested_models(df: DataFrame, label: str, blocks: dict[str, list[str]]) -> DataFrame:
-    """Poisson fits with the same data and growing sets of columns: AIC, pseudo R2 and likelihood-ratio p against the first."""
+def sparse_row(numeric: list[str], factors: list[str]) -> Column:
+    """A row of a design matrix by name: 1 for `const`, the numeric columns, and 1 for each factor's level, as `column=level`."""
+    named = [F.struct(F.lit("const").alias("j"), F.lit(1.0).alias("x"))]
+    named += [F.struct(F.lit(c).alias("j"), F.col(c).cast("double").alias("x")) for c in numeric]
+    named += [F.struct(F.concat(F.lit(f"{c}="), F.col(c).cast("string")).alias("j"), F.lit(1.0).alias("x")) for c in factors]
+    return F.array(*named)
+
+
+def design_rows(df: DataFrame, keys: list[str], label: str, designs: dict[str, tuple[list[str], list[str]]], keep: list[str] | None = None) -> DataFrame:
+    """Every row once per model: keys, model, _y and the model's sparse row _f. Rows that lack any model's column are left out."""
+    used = sorted({c for numeric, factors in designs.values() for c in (*numeric, *factors)})
+    full = df.dropna(subset=[*keys, label, *used])
+    models = F.array(*[F.struct(F.lit(name).alias("model"), sparse_row(*d).alias("_f")) for name, d in designs.items()])
+    return full.select(*keys, *(keep or []), F.col(label).cast("double").alias("_y"), F.explode(models).alias("_m")).select(
+        *keys, *(keep or []), "_m.model", "_y", "_m._f")
+
+
+def sparse_mean(rows: DataFrame, fits: DataFrame, keys: list[str], out: str = "_mu") -> DataFrame:
+    """Expected value of every sparse row by the fit of its keys; a level the fit has not seen counts as the reference."""
+    eta = F.aggregate("_f", F.lit(0.0), lambda s, f: s + f["x"] * F.coalesce(F.col("beta")[f["j"]], F.lit(0.0)))
+    return rows.join(fits.select(*keys, "beta"), keys).withColumn(out, F.exp(F.least(eta, F.lit(300.0)))).drop("beta")
+
+
+def fit_sparse_poisson(rows: DataFrame, keys: list[str], steps: int = 40, tol: float = 1e-6) -> DataFrame:
+    """Poisson regressions with log link of sparse rows (_y, _f), one for every value of the keys: (keys, beta, rank, left).
+
+    All fits advance together by Newton steps. A step is one aggregate: a row gives the products of its own few entries only,
+    which are added up per pair of names before they move; then each fit's small system is solved in a task of its own, by
+    least norm, so that factors need no level left out and `rank` is the number of free parameters. A fit has as many names
+    as its factors have levels, the square of which one task holds. Steps end when no fit can gain more than `tol` in
+    log-likelihood (`left` is what is left), or raise an error after `steps`.
+    """
+    rows = settle(rows)
+    start = rows.groupBy(*keys).agg(F.avg("_y").alias("_m"))
+    fits = settle(start.select(*keys, F.create_map(F.lit("const"), F.ln(F.greatest("_m", F.lit(1e-6)))).alias("beta")))
+    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", beta map<string, double>, rank int, left double"
+
+    def solve(sums: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
+        beta = dict(fit["beta"].iloc[0]) if len(fit) else {}
+        slope = sums[sums["i"] == ""].set_index("j")["v"]
+        at = {name: n for n, name in enumerate(sorted(slope.index))}
+        pairs = sums[sums["i"] != ""]
+        curve = np.zeros((len(at), len(at)))
+        i, j = pairs["i"].map(at).to_numpy(), pairs["j"].map(at).to_numpy()
+        curve[i, j] = curve[j, i] = pairs["v"].to_numpy()
+        g = slope.sort_index().to_numpy()
+        scale = 1 / np.sqrt(np.maximum(np.diag(curve), 1e-12))  # numbers of unlike size share one cut for the rank
+        values, vectors = np.linalg.eigh(curve * scale[:, None] * scale)
+        free = values > 1e-9 * values.max(initial=0)
+        inner = vectors[:, free].T @ (g * scale)
+        step = scale * (vectors[:, free] @ (inner / values[free]))
+        step *= min(1.0, 3.0 / max(np.abs(step).max(initial=0), 1e-12))  # a start far off must not overshoot
+        new = {name: beta.get(name, 0.0) + float(step[n]) for name, n in at.items()}
+        key = {k: [sums[k].iloc[0]] for k in keys}
+        return pd.DataFrame(key | {"beta": [new], "rank": [int(free.sum())], "left": [float((inner**2 / values[free]).sum())]})
+
+    for _ in range(steps):
+        now = sparse_mean(rows, fits, keys)
+        mu, y = F.col("_mu"), F.col("_y")
+        slopes = F.transform("_f", lambda a: F.struct(F.lit("").alias("i"), a["j"].alias("j"), (a["x"] * (y - mu)).alias("v")))
+        curves = F.flatten(F.transform("_f", lambda a: F.transform(
+            F.filter("_f", lambda b: b["j"] >= a["j"]), lambda b: F.struct(a["j"].alias("i"), b["j"].alias("j"), (mu * a["x"] * b["x"]).alias("v")))))
+        sums = now.select(*keys, F.inline(F.concat(slopes, curves))).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+        old = fits.select(*[F.col(k).alias(f"_old_{k}") for k in keys], "beta").groupBy(*[f"_old_{k}" for k in keys])
+        fits = settle(sums.groupBy(*keys).cogroup(old).applyInPandas(solve, schema))
+        left = fits.agg(F.max("left")).first()[0]
+        if left is None or left < tol:
+            return fits
+    raise RuntimeError(f"a fit can still gain {left} in log-likelihood after {steps} steps")
+
+
+def fit_table(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
+    """Per fit: rows, free parameters, log-likelihood, AIC, and pseudo R2 (McFadden) against the plain mean."""
+    mean = rows.groupBy(*keys).agg(F.avg("_y").alias("_base"))
+    y, m = F.col("_y"), F.col("_mu")
+    ll = F.sum(y * F.ln(m) - m - ln_gamma(y + 1))
+    null = F.sum(F.when(F.col("_base") > 0, y * F.ln("_base") - F.col("_base") - ln_gamma(y + 1)).otherwise(0.0))
+    out = sparse_mean(rows, fits, keys).join(mean, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), ll.alias("log_likelihood"), null.alias("_null"))
+    return out.join(fits.select(*keys, F.col("rank").alias("parameters")), keys).withColumns({
+        "aic": 2 * F.col("parameters") - 2 * F.col("log_likelihood"), "pseudo_r2": 1 - ratio("log_likelihood", "_null")}).drop("_null")
+
+
+def likelihood_ratio_tests(table: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Named comparisons of a small model with one that holds it: statistic, degrees of freedom and p."""
     from touchline.operators.inference import chi_square_tail
 
-    every = sorted({c for cols in blocks.values() for c in cols})
-    data = settle(df.select(label, *every).dropna())
-    out = []
-    for name, cols in blocks.items():
-        fitted = linear_mean(data, fit_poisson(data, cols, label), cols, "_mean")
-        out.append(poisson_fit_quality(fitted, label, "_mean").withColumns(
-            {"model": F.lit(name), "parameters": F.lit(len(cols) + 1)}))
-    table = union_all(out)
-    first = next(iter(blocks))
-    ll0 = table.filter(F.col("model") == first).agg(F.max("log_likelihood")).scalar()
-    k0 = len(blocks[first]) + 1
-    table = table.withColumn("lr", 2 * (F.col("log_likelihood") - ll0)).withColumn(
-        "aic", 2 * F.col("parameters") - 2 * F.col("log_likelihood"))
-    p = F.when(F.col("parameters") > k0, chi_square_tail(F.greatest("lr", F.lit(0.0)), F.col("parameters") - k0))
-    return table.withColumn("p_value", p)
+    wanted = F.explode(F.array(*[F.struct(F.lit(a).alias("small"), F.lit(b).alias("large")) for a, b in pairs])).alias("_p")
+    asked = table.select(*keys, wanted).distinct().select(*keys, "_p.*")
+    one = table.select(*keys, F.col("model").alias("small"), F.col("log_likelihood").alias("_l0"), F.col("parameters").alias("_k0"))
+    two = table.select(*keys, F.col("model").alias("large"), F.col("log_likelihood").alias("_l1"), F.col("parameters").alias("_k1"))
+    both = asked.join(one, [*keys, "small"]).join(two, [*keys, "large"]).withColumns(
+        {"lr": F.greatest(2 * (F.col("_l1") - F.col("_l0")), F.lit(0.0)), "dof": F.col("_k1") - F.col("_k0")})
+    p = F.when(F.col("dof") > 0, chi_square_tail("lr", "dof"))
+    return both.select(*keys, "small", "large", "lr", "dof", p.alias("p_value"))
+
+
+def score_sums(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
+    """Observed and expected total behind every name of every fit; at the fit they are equal."""
+    each = sparse_mean(rows, fits, keys).select(*keys, "_y", "_mu", F.inline("_f"))
+    return each.groupBy(*keys, F.col("j").alias("name")).agg(
+        F.sum(F.col("_y") * F.col("x")).alias("observed"), F.sum(F.col("_mu") * F.col("x")).alias("expected"))
+
+
+def later_seasons(rows: DataFrame, seasons: list, period: str = "season") -> DataFrame:
+    """Training rows for every later season: `fitted_for` names the season whose forecasts a row helps to fit."""
+    ahead = F.explode(F.filter(F.array(*[F.lit(s) for s in seasons]), lambda s: s > F.col(period)))
+    return rows.withColumn("fitted_for", ahead)
 
 
 def team_effects(df: DataFrame, value: str, keys: list[str], context: str, rounds: int = 8) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.functions.numeric import r6
+from touchline.functions.probability import ln_gamma
 from touchline.operators import evaluate, inference, models, profiles, ranking, scouting
 from touchline.plans.match_queries import evaluated, matches
 from touchline.plans.panel_queries import SCORED, scored
@@ -79,15 +80,80 @@ def negative_binomial(spark, sf):
     return rows.withColumns({n: r6(F.lit(b)) for n, b in zip(["intercept", *cols], beta)})
 
 
+#: Cards explained by nothing, fouls, fouls and teams, fouls and the referee, or all three.
+CARD_MODELS = {
+    "null": ([], []), "fouls": (["fouls"], []), "teams": (["fouls"], ["home", "away"]), "referee": (["fouls"], ["referee"]),
+    "all": (["fouls"], ["home", "away", "referee"])}
+CARD_TESTS = [("null", "fouls"), ("fouls", "teams"), ("fouls", "referee"), ("referee", "all")]
+
+
+def nested_cards(spark, sf):
+    """Rows and fits of the five models of cards, league by league."""
+    cards = view(spark, sf, "v_match").filter("played").selectExpr(
+        "league", "home", "away", "referee", "hf + af AS fouls", "hy + hr + ay + ar AS cards")
+    rows = settle(models.design_rows(cards, ["league"], "cards", CARD_MODELS))
+    return rows, models.fit_sparse_poisson(rows, ["league", "model"])
+
+
 @query("nested_card_models")
 def nested_card_models(spark, sf):
-    """Cards explained by teams, by the referee, or both."""
-    ref = profiles.referee_strictness_as_of(matches(spark, sf), 100).select("match_id", "strictness")
-    t = trained(spark, sf).join(ref, "match_id").withColumn("total_cards", F.expr("hy + hr + ay + ar"))
-    out = models.nested_models(t, "total_cards", {"teams": ["home_cards", "away_cards"],
-                                                  "referee": ["strictness"],
-                                                  "both": ["home_cards", "away_cards", "strictness"]})
-    return out.select("model", "n", "parameters", *[r6(c).alias(c) for c in ("log_likelihood", "pseudo_r2", "aic", "p_value")])
+    """Five nested models of a league's cards by AIC and pseudo R2."""
+    out = models.fit_table(*nested_cards(spark, sf), ["league", "model"])
+    return out.select("league", "model", "n", "parameters", *[r6(c).alias(c) for c in ("log_likelihood", "aic", "pseudo_r2")])
+
+
+@query("nested_card_tests")
+def nested_card_tests(spark, sf):
+    """Likelihood-ratio tests between them."""
+    table_ = settle(models.fit_table(*nested_cards(spark, sf), ["league", "model"]))
+    out = models.likelihood_ratio_tests(table_, ["league"], CARD_TESTS)
+    return out.select("league", "small", "large", "dof", r6("lr").alias("lr"), r6("p_value").alias("p_value"))
+
+
+_CARD_NAMES = {"const": "1", "fouls": "fouls", "home": "home", "away": "away", "referee": "referee"}
+_CARD_SCORES = " UNION ALL ".join(
+    f"SELECT league, '{m}' AS model, {f"'{n}'" if n in ('const', 'fouls') else f"'{n}=' || {n}"} AS name, sum(cards * {'fouls' if n == 'fouls' else 1}) AS total FROM c GROUP BY ALL"
+    for m, (numeric, factors) in CARD_MODELS.items() for n in ("const", *numeric, *factors))
+
+
+@query("nested_card_scores", f"""WITH {ctes('v_match')}, c AS (SELECT league, home, away, referee, hf + af AS fouls, hy + hr + ay + ar AS cards FROM v_match WHERE played), s AS ({_CARD_SCORES})
+SELECT league, model, name, round(total::double, 4) AS observed, round(total::double, 4) AS expected FROM s""")
+def nested_card_scores(spark, sf):
+    """The score equations of all these fits: what each team, referee and foul count explains adds up to what was observed."""
+    out = models.score_sums(*nested_cards(spark, sf), ["league", "model"])
+    return out.select("league", "model", "name", F.round("observed", 4).alias("observed"), F.round("expected", 4).alias("expected"))
+
+
+#: A match's cards before it is played: the teams' averages, the referee's, or both.
+CARD_FORECASTS = {"teams": (["home_cards", "away_cards"], []), "referee": (["strictness"], []),
+                  "both": (["home_cards", "away_cards", "strictness"], [])}
+
+
+def card_forecasts(spark, sf):
+    """(training rows, fits, forecast rows) of each league, season and model; a fit saw earlier seasons only."""
+    strict = profiles.referee_strictness_as_of(matches(spark, sf), 100).select("match_id", "strictness")
+    t = trained(spark, sf).join(strict, "match_id").withColumn("total_cards", F.expr("hy + hr + ay + ar"))
+    rows = settle(models.design_rows(t, ["league", "season"], "total_cards", CARD_FORECASTS, ["match_id"]))
+    seasons = sorted(r.season for r in rows.select("season").distinct().collect())
+    keys = ["league", "fitted_for", "model"]
+    past = models.later_seasons(rows, seasons)
+    enough = past.groupBy(*keys).agg(F.count(F.lit(1)).alias("training")).filter(F.col("training") >= MIN_CARD_TRAINING)
+    past = settle(past.join(enough, keys, "left_semi"))
+    return past, models.fit_sparse_poisson(past, keys), rows.withColumn("fitted_for", F.col("season"))
+
+
+MIN_CARD_TRAINING = 50  # matches of a league before its cards are forecast
+
+
+@query("card_forecast_ablation")
+def card_forecast_ablation(spark, sf):
+    """Out of sample, per season: log-loss of the cards forecast from teams, the referee or both, on the same matches."""
+    past, fits, ahead = card_forecasts(spark, sf)
+    out = models.sparse_mean(ahead, fits, ["league", "fitted_for", "model"])
+    y, m = F.col("_y"), F.col("_mu")
+    return out.groupBy("season", "model").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(m)).alias("expected"), r6(F.avg(y)).alias("observed"),
+        r6(F.avg(m - y * F.ln(m) + ln_gamma(y + 1))).alias("logloss"), r6(F.avg(F.abs(y - m))).alias("mean_error"))
 
 
 def _effects_sql(rounds: int = 8) -> str:
