@@ -1,6 +1,7 @@
 """Score probabilities, evaluation, resampling and fitted models."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -176,3 +177,26 @@ def test_fits_satisfy_their_score_equations(spark):
     assert abs(s.a) < 1e-3 and abs(s.b) < 1e-3
     beta = models.fit_negative_binomial(df, ["x"], "nb")
     assert beta == pytest.approx([0.2, 0.4], abs=0.12)
+
+
+def test_profile_grid_equals_a_profile_per_window(spark, monkeypatch):
+    """One pass for many windows against one pass for each, over chunks that are short and long."""
+    from touchline.operators import ordered, profiles
+
+    r = random.Random(8)
+    rows = [(i, f"20{r.randint(10, 30)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", "L", f"t{r.randint(0, 2)}", f"t{r.randint(3, 5)}",
+             *[None if r.random() < 0.1 else r.randint(0, 5) for _ in range(10)]) for i in range(300)]
+    kinds = "match_id int, match_date string, league string, home string, away string, hg int, ag int, hc int, ac int, hy int, ay int, hr int, ar int, hst int, ast int"
+    m = spark.createDataFrame(rows, kinds).withColumn("match_date", F.col("match_date").cast("date"))
+    for chunk in (7, 5000):
+        for module in (ordered, profiles):
+            monkeypatch.setattr(module, "ROLLING_CHUNK", chunk)
+        grid = profiles.profile_grid(m, [0, 3, 12], 2).collect()
+        assert len(grid) == 900
+        got = {(x.window, x.match_id): x for x in grid}
+        for window in (0, 3, 12):
+            for x in profiles.match_profiles(m, window or None, 2).collect():
+                for side in ("home", "away"):
+                    for c in profiles.METRICS:
+                        a, b = x[f"{side}_{c}"], got[window, x.match_id][f"{side}_{c}"]
+                        assert (a is None and b is None) or abs(a - b) < 1e-9

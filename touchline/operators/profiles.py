@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.numeric import ratio
-from touchline.operators.ordered import (expanding_before, number_rows, rolling_before,
+from touchline.operators.ordered import (ROLLING_CHUNK, _with_halo, expanding_before, number_rows, rolling_before,
                                          totals_before_day)
 from touchline.operators.reshape import team_rows
 
@@ -43,6 +43,47 @@ def match_profiles(matches: DataFrame, window: int | None, min_prev: int, max_ga
     return matches.join(back, "match_id")
 
 
+def profile_grid(matches: DataFrame, windows: list[int], min_prev: int, metrics: dict | None = None) -> DataFrame:
+    """Profiles for many window lengths from one pass over the team rows: one row per match and window, 0 for all earlier matches.
+
+    Every chunk of a team's rows carries one array of running sums and counts; a window's sum is the array minus the same
+    array so many rows before. What lies before the chunk is added from totals per chunk.
+    """
+    metrics = metrics or METRICS
+    names, lengths = list(metrics), sorted(n for n in windows if n)
+    keys = ["league", "team", "side"]
+    long = team_rows(with_cards(matches), ["match_id", "match_date", "league"], metrics).drop("rival")
+    seq = number_rows(long, keys, "match_date", "match_id", "seq")
+    reach = max([*lengths, 1])
+    rows = _with_halo(seq, "seq", reach, max(ROLLING_CHUNK, reach))
+    own = F.col("_home") == F.col("_chunk")
+    totals = rows.filter(own).groupBy(*keys, "_chunk").agg(F.array(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in names], *[F.count(c).cast("double") for c in names]).alias("_t"))
+    carried = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_chunk", F.array(*[F.coalesce(F.sum(F.col("_t")[k]).over(carried), F.lit(0.0)) for k in range(2 * len(names))]).alias("_t"))
+    order = Window.partitionBy(*keys, "_chunk").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(kept) -> Column:
+        values = [F.when(kept, F.col(c)) for c in names]
+        return F.array(*[F.coalesce(F.sum(v).over(before), F.lit(0)).cast("double") for v in values],
+                       *[F.count(v).over(before).cast("double") for v in values])
+
+    rows = rows.withColumns({"_run": running(F.lit(True)), "_own": running(own)})
+    rows = rows.withColumns({f"_run{n}": F.lag("_run", n).over(order) for n in lengths}).filter(own).join(totals, [*keys, "_chunk"])
+
+    def means(window: int, total) -> Column:
+        known = {c: total(len(names) + k) for k, c in enumerate(names)}
+        return F.struct(F.lit(window).alias("window"), *[F.when(known[c] >= min_prev, total(k) / known[c]).alias(c) for k, c in enumerate(names)])
+
+    asked = [means(n, lambda k, n=n: F.col("_run")[k] - F.coalesce(F.col(f"_run{n}")[k], F.lit(0.0))) for n in lengths]
+    if 0 in windows:
+        asked.append(means(0, lambda k: F.col("_own")[k] + F.col("_t")[k]))
+    each = rows.select("match_id", "side", F.inline(F.array(*asked)))
+    return each.groupBy("match_id", "window").agg(*[
+        F.max(F.when(F.col("side") == s, F.col(m))).alias(f"{label}_{m}") for s, label in (("H", "home"), ("A", "away")) for m in names])
+
+
 def profiles_as_of(matches: DataFrame, min_league_matches: int, metrics: dict | None = None) -> DataFrame:
     """Averages over all strictly earlier dates, once the league has enough history; one pass, no loop over dates."""
     metrics = metrics or METRICS

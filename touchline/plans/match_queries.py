@@ -341,6 +341,45 @@ def forecast_rps_by_season(spark, sf):
     return _rounded(out, ["season", "n"], [*means, "rps_difference"])
 
 
+_ALL = "UNBOUNDED"
+#: Windows of the grid (0: all earlier matches), and how much of each side's expected goals comes from its shots on target.
+GRID_WINDOWS, GRID_SETS, GOALS_PER_SHOT = [0, 20, 10, 5], {"goals": 0.0, "goals_and_shots": 0.5}, 0.3
+
+
+def _grid_mean(own: str, other: str, weight: float) -> str:
+    goals = f"({own}_goals_for + {other}_goals_against) / 2"
+    shots = f"{GOALS_PER_SHOT} * ({own}_on_target_for + {other}_on_target_against) / 2"
+    return f"greatest({1 - weight} * {goals} + {weight} * {shots}, 0.05)"
+
+
+_GRID_PROFILES = " UNION ALL ".join(
+    f"SELECT {n} AS \"window\", * FROM ({_profile_sql(f'ROWS BETWEEN {n or _ALL} PRECEDING AND 1 PRECEDING', 'match_date, match_id', MIN_PREV).format(src='lng')})"
+    for n in GRID_WINDOWS)
+_GRID = f"""{LNG}, gp AS ({_GRID_PROFILES}),
+gm AS (SELECT match_id, "window", {', '.join(f"max(case when side = '{s}' then {m} end) AS {lb}_{m}" for s, lb in (("H", "home"), ("A", "away")) for m in METRIC_SQL)} FROM gp GROUP BY ALL),
+gx AS ({' UNION ALL '.join(f"SELECT match_id, \"window\", '{name}' AS features, {_grid_mean('home', 'away', w)} AS lam, {_grid_mean('away', 'home', w)} AS mu FROM gm WHERE home_goals_for + away_goals_against + away_goals_for + home_goals_against + home_on_target_for IS NOT NULL" for name, w in GRID_SETS.items())}),
+gc AS (SELECT match_id, "window", features, i, j, greatest(exp(-lam + i * ln(lam) - lgamma(i + 1)) * exp(-mu + j * ln(mu) - lgamma(j + 1))
+    * case when i = 0 and j = 0 then 1 - lam * mu * ({RHO}) when i = 0 and j = 1 then 1 + lam * ({RHO}) when i = 1 and j = 0 then 1 + mu * ({RHO}) when i = 1 and j = 1 then 1 - ({RHO}) else 1 end, 1e-12) AS p
+  FROM gx, (SELECT unnest(range(11)) AS i), (SELECT unnest(range(11)) AS j)),
+gr AS (SELECT match_id, "window", features, sum(case when i = j then p else 0 end) / sum(p) AS p_draw, sum(case when i > j then p else 0 end) / sum(p) AS p_home, sum(case when i < j then p else 0 end) / sum(p) AS p_away FROM gc GROUP BY ALL),
+ga AS (SELECT gr.*, case when hg > ag then 'H' when hg < ag then 'A' else 'D' end AS actual FROM gr JOIN mm USING (match_id) WHERE hg IS NOT NULL)"""
+
+
+@query("feature_window_grid", f"""WITH {_GRID} SELECT "window", features, count(*) AS n, round(avg({_S['rps']}), 6) AS rps, round(avg({_S['logloss']}), 6) AS logloss FROM ga GROUP BY ALL""")
+def feature_window_grid(spark, sf):
+    """Every window length with every set of features: RPS and log-loss of its forecasts, profiles from one pass."""
+    m = matches(spark, sf)
+    grid = profiles.profile_grid(m, GRID_WINDOWS, MIN_PREV)
+    grid = grid.filter("home_goals_for + away_goals_against + away_goals_for + home_goals_against + home_on_target_for IS NOT NULL")
+    sets = F.array(*[F.struct(F.lit(name).alias("features"), F.expr(_grid_mean("home", "away", w)).alias("lam"),
+                              F.expr(_grid_mean("away", "home", w)).alias("mu")) for name, w in GRID_SETS.items()])
+    means = grid.select("match_id", "window", F.inline(sets)).join(
+        m.filter("hg IS NOT NULL").select("match_id", "hg", "ag"), "match_id")
+    p = scoreline.outcome_probabilities(means, "lam", "mu", F.lit(RHO)).withColumn("actual", evaluate.outcome())
+    return evaluate.with_scores(p, "p").groupBy("window", "features").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("rps")).alias("rps"), r6(F.avg("logloss")).alias("logloss"))
+
+
 _STACK = f"""{FORECAST}, st AS (SELECT match_id, league, season, actual, 'market' AS model, m_draw AS q_draw, m_home AS q_home, m_away AS q_away FROM ev
 UNION ALL SELECT match_id, league, season, actual, 'model', p_draw, p_home, p_away FROM ev),
 sr AS (SELECT *, greatest(q_draw, q_home, q_away) - least(q_draw, q_home, q_away) <= 0.125 AS ev_, (actual = 'D')::int AS dr,
