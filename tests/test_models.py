@@ -109,3 +109,36 @@ def test_training_rows_of_later_seasons(spark):
     got = models.later_seasons(rows, [2000, 2001, 2002]).orderBy("season", "fitted_for").collect()
     assert [(r.season, r.fitted_for) for r in got] == [(2000, 2001), (2000, 2002), (2001, 2002)]
     assert models.later_seasons(rows, [2000]).filter(F.col("season") >= F.col("fitted_for")).count() == 0
+
+
+def miscalibrated(seed=4, n=1500):
+    """Forecasts far too sure of themselves, in three seasons, the last of which nothing may learn from."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        eta = np.array([0.0, r.normal(0.3, 0.6), r.normal(0, 0.6)])
+        p = np.exp(eta) / np.exp(eta).sum()
+        q = np.exp(2.5 * eta + np.array([0.5, 0, 0]))
+        q /= q.sum()
+        rows.append((i, 2000 + i % 3, "DHA"[r.choice(3, p=p)], *map(float, q)))
+    return rows
+
+
+def test_recalibration_sees_the_past_only(spark):
+    from touchline.operators import evaluate
+
+    kinds = "match_id int, season int, actual string, p_draw double, p_home double, p_away double"
+    df = spark.createDataFrame(miscalibrated(), kinds)
+    fits = models.fit_platt(models.platt_rows(df, "p"))
+    theta = {r.fitted_for: r.theta for r in fits.collect()}
+    assert set(theta) == {2001, 2002}
+    changed = df.withColumn("actual", F.when(F.col("season") == 2002, "D").otherwise(F.col("actual")))
+    again = {r.fitted_for: r.theta for r in models.fit_platt(models.platt_rows(changed, "p")).collect()}
+    assert all(np.allclose(again[k], theta[k]) for k in theta)
+    out = evaluate.with_scores(evaluate.with_scores(models.recalibrated(df, fits, "p"), "p"), "r", suffix="_r")
+    scored = {r.season: r for r in out.groupBy("season").agg(F.avg("logloss").alias("a"), F.avg("logloss_r").alias("b"), F.count("match_id").alias("n")).collect()}
+    assert set(scored) == {2001, 2002} and all(r.n == 500 and r.b < r.a - 0.02 for r in scored.values())
+    sums = models.platt_probabilities(models.platt_rows(df, "p"), fits).groupBy("fitted_for").agg(
+        F.sum(F.col("ph") - (F.col("y") == "H").cast("int")).alias("h"), F.sum(F.col("lh") * (F.col("pa") - (F.col("y") == "A").cast("int"))).alias("a")).collect()
+    assert all(abs(r.h) < 1e-3 and abs(r.a) < 1e-3 for r in sums)
+    assert models.fit_platt(models.platt_rows(df, "p"), min_training=10_000).count() == 0

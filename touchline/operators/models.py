@@ -143,6 +143,75 @@ def log_ratios(df: DataFrame, prefix: str) -> DataFrame:
                            f"{prefix}_la": F.ln(F.greatest(F.col(f"{prefix}_away"), floor) / d)})
 
 
+CLASSES = {"H": 0, "A": 3}  # place of each class's three parameters; the draw is the reference
+
+
+def platt_rows(df: DataFrame, prefix: str, actual: str = "actual", period: str = "season") -> DataFrame:
+    """Log ratios of one set of probabilities with the outcome, once for every later season: the rows a recalibration may see."""
+    known = log_ratios(df, prefix).filter(F.col(actual).isNotNull() & F.col(f"{prefix}_lh").isNotNull() & F.col(f"{prefix}_la").isNotNull())
+    known = known.select(period, F.col(actual).alias("y"), F.col(f"{prefix}_lh").alias("lh"), F.col(f"{prefix}_la").alias("la"))
+    seasons = sorted(r[0] for r in known.select(period).distinct().collect())
+    return later_seasons(known, seasons, period)
+
+
+def platt_probabilities(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """Recalibrated probabilities ph and pa (and pd) of the rows by the fit of their `fitted_for`."""
+    t = F.col("theta")
+    eta = {c: t[k] + t[k + 1] * F.col("lh") + t[k + 2] * F.col("la") for c, k in CLASSES.items()}
+    top = F.greatest(F.lit(0.0), eta["H"], eta["A"])
+    e = {c: F.exp(v - top) for c, v in (*eta.items(), ("D", F.lit(0.0)))}
+    total = e["H"] + e["A"] + e["D"]
+    return rows.join(fits, "fitted_for").withColumns({"ph": e["H"] / total, "pa": e["A"] / total, "pd": e["D"] / total}).drop("theta")
+
+
+def fit_platt(rows: DataFrame, min_training: int = MIN_TRAINING, steps: int = 50, tol: float = 1e-9) -> DataFrame:
+    """Multinomial recalibration (fitted_for, theta): a logit of the outcome on both log ratios, one fit per season.
+
+    All seasons advance together, each step is one aggregate of 24 sums per season; the fit starts at the forecasts as they are.
+    Seasons with fewer than `min_training` earlier matches, or earlier matches of fewer than three outcomes, have none.
+    """
+    spark = rows.sparkSession
+    rows = settle(rows)
+    ready = rows.groupBy("fitted_for").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("k")).collect()
+    theta = {r.fitted_for: np.array([0, 1, 0, 0, 0, 1.0]) for r in ready if r.n >= min_training and r.k == 3}
+    kind = dict(rows.dtypes)["fitted_for"]
+
+    def table() -> DataFrame:
+        return spark.createDataFrame([(k, v.tolist()) for k, v in theta.items()], f"fitted_for {kind}, theta array<double>")
+
+    x = [F.lit(1.0), F.col("lh"), F.col("la")]
+    p = {"H": F.col("ph"), "A": F.col("pa")}
+    open_ = set(theta)
+    for _ in range(steps):
+        if not open_:
+            return table()
+        sums = [F.sum(x[k] * ((F.col("y") == c).cast("double") - p[c])).alias(f"g{at + k}") for c, at in CLASSES.items() for k in range(3)]
+        for c, at in CLASSES.items():
+            for d, to in CLASSES.items():
+                if to >= at:
+                    w = p[c] * ((1.0 if c == d else 0.0) - p[d])
+                    sums += [F.sum(w * x[k] * x[j]).alias(f"h{at + k}_{to + j}") for k in range(3) for j in range(k, 3)]
+        for r in platt_probabilities(rows, table()).groupBy("fitted_for").agg(*sums).collect():
+            g, h = np.array([r[f"g{k}"] for k in range(6)]), np.zeros((6, 6))
+            for at, to in ((0, 0), (0, 3), (3, 3)):
+                for k in range(3):
+                    for j in range(k, 3):
+                        v = r[f"h{at + k}_{to + j}"]
+                        h[at + k, to + j] = h[at + j, to + k] = h[to + j, at + k] = h[to + k, at + j] = v
+            step = np.linalg.lstsq(h, g, rcond=1e-12)[0]
+            theta[r.fitted_for] = theta[r.fitted_for] + step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-12))
+            if g @ step < tol:
+                open_.discard(r.fitted_for)
+    raise RuntimeError(f"recalibration did not settle in {steps} steps")
+
+
+def recalibrated(df: DataFrame, fits: DataFrame, prefix: str, out: str = "r", period: str = "season") -> DataFrame:
+    """The rows of seasons that have a fit, with probabilities corrected by it; it saw earlier seasons only."""
+    rows = log_ratios(df, prefix).withColumnsRenamed({f"{prefix}_lh": "lh", f"{prefix}_la": "la"}).withColumn("fitted_for", F.col(period))
+    names = {"ph": f"{out}_home", "pa": f"{out}_away", "pd": f"{out}_draw"}
+    return platt_probabilities(rows, fits).withColumnsRenamed(names).drop("lh", "la", "fitted_for")
+
+
 def stacking(evaluated: DataFrame, min_training: int = MIN_TRAINING) -> DataFrame:
     """Does the model add to the market? Walk-forward logits on market log-ratios alone and with the model's."""
     y = F.when(F.col("actual") == "D", 0).when(F.col("actual") == "H", 1).otherwise(2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numeric import r6
 from touchline.functions.probability import ln_gamma
 from touchline.operators import evaluate, inference, models, profiles, ranking, scouting
-from touchline.plans.match_queries import evaluated, matches
+from touchline.plans.match_queries import FORECAST, evaluated, matches
 from touchline.plans.panel_queries import SCORED, scored
 from touchline.plans.registry import query
 from touchline.plans.views import ctes, table, view
@@ -60,6 +60,34 @@ def stacking(spark, sf):
         F.count(F.lit(1)).alias("n"), *[r6(F.avg(c)).alias(c) for c in ("ll_market", "ll_alone", "ll_both")])
 
 
+_RATIOS = {"H": "ln(greatest(p_home, 1e-12) / greatest(p_draw, 1e-12))", "A": "ln(greatest(p_away, 1e-12) / greatest(p_draw, 1e-12))"}
+
+
+@query("recalibration_by_season")
+def recalibration_by_season(spark, sf):
+    """Each season's forecasts as they are and recalibrated by what earlier seasons showed: log-loss and RPS."""
+    e = settle(evaluated(spark, sf))
+    fits = models.fit_platt(models.platt_rows(e, "p"))
+    s = evaluate.with_scores(evaluate.with_scores(models.recalibrated(e, fits, "p"), "p"), "r", suffix="_recalibrated")
+    return s.groupBy("season").agg(F.count(F.lit(1)).alias("n"), *[
+        r6(F.avg(f"{k}{w}")).alias(f"{k}{w}") for k in ("logloss", "rps") for w in ("", "_recalibrated")])
+
+
+@query("recalibration_scores", f"""WITH {FORECAST}, x AS (SELECT season, actual, 1.0::double AS one, {_RATIOS['H']} AS lh, {_RATIOS['A']} AS la FROM ev),
+r AS (SELECT f.season AS fitted_for, x.* FROM x JOIN (SELECT DISTINCT season FROM x) f ON f.season > x.season),
+k AS (SELECT fitted_for FROM r GROUP BY fitted_for HAVING count(*) >= {models.MIN_TRAINING}),
+s AS ({' UNION ALL '.join(f"SELECT fitted_for, '{c}' AS outcome, '{n}' AS name, sum(case when actual = '{c}' then {n} else 0 end) AS total FROM r WHERE fitted_for IN (SELECT fitted_for FROM k) GROUP BY ALL" for c in ('H', 'A') for n in ('one', 'lh', 'la'))})
+SELECT fitted_for, outcome, name, round(total, 3) AS observed, round(total, 3) AS expected FROM s""")
+def recalibration_scores(spark, sf):
+    """The score equations of every season's recalibration: observed and expected sums of each class and term."""
+    rows = settle(models.platt_rows(settle(evaluated(spark, sf)), "p").withColumn("one", F.lit(1.0)))
+    p = models.platt_probabilities(rows, models.fit_platt(rows))
+    terms = F.array(*[F.struct(F.lit(c).alias("outcome"), F.lit(n).alias("name"), F.when(F.col("y") == c, F.col(n)).otherwise(0.0).alias("o"),
+                               (F.col(q) * F.col(n)).alias("e")) for c, q in (("H", "ph"), ("A", "pa")) for n in ("one", "lh", "la")])
+    return p.select("fitted_for", F.inline(terms)).groupBy("fitted_for", "outcome", "name").agg(
+        F.round(F.sum("o"), 3).alias("observed"), F.round(F.sum("e"), 3).alias("expected"))
+
+
 @query("multinomial_logit")
 def multinomial_logit(spark, sf):
     y = F.expr("case when hg = ag then 0 when hg > ag then 1 else 2 end")
