@@ -94,3 +94,27 @@ def test_spearman_and_auc(skewed):
 def test_concentration(spark, minutes, want):
     df = spark.createDataFrame([("t", float(m)) for m in minutes], "t string, m double")
     assert ranking.concentration(df, ["t"], "m").first()["needed"] == want
+
+
+@pytest.mark.parametrize("plain", [10, 20_000])
+def test_ranks_of_heavy_tails(spark, monkeypatch, plain):
+    """Ranges cut at quantiles hold like numbers of values however they are spread, and ranks don't depend on them."""
+    from touchline.operators import ranking
+
+    monkeypatch.setattr(ranking, "PLAIN", plain)
+    rng = np.random.default_rng(5)
+    tail = np.exp(4 * rng.normal(size=20_000))
+    rows = [("a", float(v)) for v in tail] + [("b", float(v)) for v in rng.integers(0, 9, 500)] + [("c", 7.0)] * 40 + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    counts = df.filter("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = ranking.value_ranges(counts, ["g"], "v", 64).filter("g = 'a'").groupBy("_b").count().collect()
+    if plain == 10:
+        assert len(sizes) == 64 and max(r["count"] for r in sizes) < 2 * 20_000 / 64
+    else:
+        assert len(sizes) == 1
+    got = {(r.g, r.v): r.rank for r in ranking.with_average_rank(df, ["g"], "v", "rank").distinct().collect()}
+    p = pd.DataFrame(rows, columns=["g", "v"])
+    p["rank"] = p.groupby("g")["v"].rank(method="average")
+    for g, v, rank in p.dropna().drop_duplicates().itertuples(index=False):
+        assert got[g, v] == rank
+    assert got["d", None] is None

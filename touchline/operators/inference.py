@@ -130,7 +130,8 @@ def fisher_exact(tables: DataFrame, keys: list[str], a: str, b: str, c: str, d:
         return (ln_choose("_col", k) + ln_choose(F.col("_n") - F.col("_col"), F.col("_row") - k)
                 - ln_choose("_n", "_row"))
 
-    listed = t.withColumn("_k", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+    # the observed cell is always listed, however far out it lies
+    listed = t.withColumn("_k", F.explode(F.array_distinct(F.concat(F.array(A), F.sequence(low.cast("bigint"), high.cast("bigint"))))))
     lk, la = log_p(F.col("_k")), log_p(F.col("_a"))
     return listed.groupBy(*keys, a, b, c, d).agg(
         F.least(F.lit(1.0), F.sum(F.when(lk <= la + 1e-7, F.exp(lk)).otherwise(0.0))).alias("p_value"))

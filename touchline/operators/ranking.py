@@ -13,7 +13,22 @@ from pyspark.sql import functions as F
 
 from touchline.functions.numeric import pearson, ratio
 
-RANGES = 512
+RANGES = 128
+PLAIN = 20_000  # different values of a group up to which they are one range
+
+
+def value_ranges(counts: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
+    """Add `_n` rows in the group and `_b`, a value range of one row per value: 0 in groups of few values, else cut at quantiles.
+
+    The quantiles come from a sketch of the group's values, so that ranges hold like numbers of them however they are spread.
+    """
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    counts = counts.join(sizes, keys)
+    edges = counts.filter(F.col("_d") > PLAIN).groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), [k / ranges for k in range(1, ranges)], 20 * ranges).alias("_e"))
+    v = F.col(value).cast("double")
+    place = F.when(F.col("_e").isNull(), 0).otherwise(F.size(F.filter("_e", lambda e: e < v)))
+    return counts.join(edges, keys, "left").withColumn("_b", place.cast("int")).drop("_d", "_e")
 
 
 def value_counts_ranked(df: DataFrame, groups: list[str], value: str, measures: dict | None = None,
@@ -26,14 +41,7 @@ def value_counts_ranked(df: DataFrame, groups: list[str], value: str, measures:
         base = base.withColumn("_all", F.lit(0))
     counts = base.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_c"), *[e.alias(n) for n, e in measures.items()])
-    spread = counts.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"),
-        F.sum("_c").alias("_n"))
-    counts = counts.join(spread, keys)
-    where = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges
-    counts = counts.withColumn("_b", F.when(F.col("_hi") > F.col("_lo"),
-                                            F.least(F.floor(where), F.lit(ranges - 1)))
-                               .otherwise(F.lit(0)).cast("int")).drop("_lo", "_hi")
+    counts = value_ranges(counts, keys, value, ranges)
     below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ladder = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"))
     ladder = ladder.withColumn("_below", F.coalesce(F.sum("_m").over(below), F.lit(0))).drop("_m")
