@@ -13,12 +13,11 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tests.llm.helpers import smallest
 from tests.llm.test_native import plain_windows
+from tests.llm.test_shingle_links import brute
 from touchline.llm import toxicity
 from touchline.llm.poisson_mixing import SEED
 from touchline.llm.queries import TARGET_WEIGHTS, TOXIC_FROM
-from touchline.llm.simhash_links import fingerprint_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,10 +56,10 @@ def test_line_dedup(stages):
     assert all(x.n_chars == len(x.text) for x in after)
 
 
-def test_simhash(stages):
+def test_near_duplicates(stages):
+    """Five-word shingles with a similarity of 0.8 or more, by brute force over all pairs."""
     _, before, after, *_ = stages[2]
-    prints = {x.doc_id: fingerprint_of(x.text, 4) for x in before}
-    low = smallest(prints, lambda a, b: bin((prints[a] ^ prints[b]) % 2**64).count("1") <= 4)
+    low = brute({x.doc_id: x.text for x in before})
     assert sorted(x.doc_id for x in after) == sorted(set(low.values()))
 
 
