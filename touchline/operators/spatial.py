@@ -245,6 +245,44 @@ def team_concentration(areas_: DataFrame) -> DataFrame:
     return gini(d, ["match_id", "team"], "area").join(big, ["match_id", "team"])
 
 
+def formations(lineups: DataFrame) -> DataFrame:
+    """(match_id, team, formation): starters in defence, midfield and attack, as `4-3-3`, from their position labels."""
+    lines = lineups.filter("starter").withColumn("line", line_of())
+    counts = [F.count_if(F.col("line") == line) for line in ("Defensa", "Medio", "Ataque")]
+    return lines.groupBy("match_id", "team").agg(F.concat_ws("-", *[c.cast("string") for c in counts]).alias("formation"))
+
+
+def match_points(goals: DataFrame) -> DataFrame:
+    """(match_id, team, points) from the goals of the two teams of a match; a match without two teams gives none."""
+    both = goals.groupBy("match_id").agg(F.sum("goals").alias("_all"), F.count(F.lit(1)).alias("_teams")).filter("_teams = 2")
+    gap = 2 * F.col("goals") - F.col("_all")
+    return goals.join(both, "match_id").select("match_id", "team", F.when(gap > 0, 3).when(gap == 0, 1).otherwise(0).alias("points"))
+
+
+def points_by_quartile(teams: DataFrame, value: str = "gini", points: str = "points") -> DataFrame:
+    """Team-matches and mean points per quartile of `value`; 1 is the lowest, an edge belongs to the lower quartile.
+
+    Edges are linear quantiles of the values to six places, so that what Spark counts for them is bounded.
+    """
+    known = teams.filter(F.col(value).isNotNull()).withColumn("_v", F.round(value, 6))
+    edges = known.agg(F.percentile("_v", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("_e"))
+    above = F.aggregate("_e", F.lit(1), lambda k, e: k + F.when(F.col("_v") > F.round(e, 9), 1).otherwise(0))
+    placed = known.join(F.broadcast(edges)).withColumn("quartile", above)  # one row of three edges
+    return placed.groupBy("quartile").agg(F.count(F.lit(1)).alias("matches"), F.avg(points).alias("points"), F.avg("_v").alias(value))
+
+
+def concentration_by_formation(teams: DataFrame, min_matches: int = 100) -> DataFrame:
+    """Mean concentration and largest cell of each formation with at least so many team-matches."""
+    return teams.groupBy("formation").agg(F.count(F.lit(1)).alias("matches"), F.avg("gini").alias("gini"),
+                                          F.avg("largest").alias("largest")).filter(F.col("matches") >= min_matches)
+
+
+def concentration_of_teams(teams: DataFrame, keys: list[str], min_matches: int = 30) -> DataFrame:
+    """Mean concentration and points per match of every team with at least so many matches."""
+    return teams.groupBy(*keys).agg(F.count(F.lit(1)).alias("matches"), F.avg("gini").alias("gini"),
+                                    F.avg("points").alias("points")).filter(F.col("matches") >= min_matches)
+
+
 def role_change(areas_: DataFrame, order: str, min_pairs: int = 10) -> DataFrame:
     """Correlation of territory between consecutive starts by how much the role changed, per line and in total."""
     d = areas_.filter("starter").withColumn("line", line_of())

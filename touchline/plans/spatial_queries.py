@@ -57,6 +57,35 @@ def territory_gini(spark, sf):
     return _round(spatial.team_concentration(settle(areas(spark, sf))), ["match_id", "team", "members"], ["gini", "largest"])
 
 
+_CONCENTRATION = f"""{AREA}, gr AS (SELECT match_id, team, area AS v, count(*) OVER (PARTITION BY match_id, team) AS n, row_number() OVER (PARTITION BY match_id, team ORDER BY area) AS k FROM ar WHERE starter),
+gt AS (SELECT match_id, team, round(case when sum(v) > 0 then sum((2 * k - n - 1) * v) / (max(n) * sum(v)) end, 6) AS gini, max(v) AS largest FROM gr GROUP BY ALL),
+fo AS (SELECT match_id, team, concat_ws('-', count_if({LINE} = 'Defensa'), count_if({LINE} = 'Medio'), count_if({LINE} = 'Ataque')) AS formation FROM pos WHERE starter GROUP BY ALL),
+go AS (SELECT match_id, team, count_if(shot_outcome = 'Goal') AS goals FROM v_events GROUP BY ALL),
+gp AS (SELECT a.match_id, a.team, case when a.goals > b.goals then 3 when a.goals = b.goals then 1 else 0 end AS points FROM go a JOIN go b ON a.match_id = b.match_id AND a.team <> b.team),
+co AS (SELECT * FROM gt JOIN fo USING (match_id, team) JOIN gp USING (match_id, team))"""
+
+
+def concentration(spark, sf):
+    """One row per team and match: Gini and largest cell of its starters' territory, formation and points."""
+    p = settle(positions(spark, sf))
+    events = view(spark, sf, "v_events")
+    goals = events.groupBy("match_id", "team").agg(F.count_if(F.col("shot_outcome") == "Goal").alias("goals"))
+    teams = spatial.team_concentration(settle(spatial.territory(p, "multiplicative", CELLS))).withColumn("gini", r6("gini"))
+    key = ["match_id", "team"]
+    return teams.join(spatial.formations(p), key).join(spatial.match_points(goals), key)
+
+
+@query("concentration_quartiles", f"""WITH {_CONCENTRATION}, ed AS (SELECT round(quantile_cont(gini, 0.25), 9) AS a, round(quantile_cont(gini, 0.5), 9) AS b, round(quantile_cont(gini, 0.75), 9) AS c FROM co)
+SELECT 1 + (gini > a)::int + (gini > b)::int + (gini > c)::int AS quartile, count(*) AS matches, round(avg(points), 6) AS points, round(avg(gini), 6) AS gini FROM co, ed WHERE gini IS NOT NULL GROUP BY ALL""")
+def concentration_quartiles(spark, sf):
+    return _round(spatial.points_by_quartile(settle(concentration(spark, sf))), ["quartile", "matches"], ["points", "gini"])
+
+
+@query("concentration_formations", f"""WITH {_CONCENTRATION} SELECT formation, count(*) AS matches, round(avg(gini), 6) AS gini, round(avg(largest), 6) AS largest FROM co GROUP BY formation HAVING count(*) >= 3""")
+def concentration_formations(spark, sf):
+    return _round(spatial.concentration_by_formation(concentration(spark, sf), 3), ["formation", "matches"], ["gini", "largest"])
+
+
 def _corr(x, y, cond="true", n=2):
     f = f"FILTER (WHERE {cond} AND {x} IS NOT NULL AND {y} IS NOT NULL)"
     return f"case when count(*) {f} >= {n} then covar_pop({x}, {y}) {f} / nullif(stddev_pop({x}) {f} * stddev_pop({y}) {f}, 0) end"
@@ -206,6 +235,16 @@ def area_points_rank(spark, sf):
         F.count(F.lit(1)).alias("blocks"), r6(F.percentile("rho", F.lit(0.5))).alias("median_rho"))
 
 
+@query("concentration_points_rank", f"""WITH {_CONCENTRATION}, tm AS (SELECT team, round(avg(gini), 9) AS g, round(avg(points), 9) AS p FROM co GROUP BY team HAVING count(*) >= 3),
+r AS (SELECT rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM tm)
+SELECT count(*) AS teams, round({_corr('rg', 'rp')}, 6) AS rho FROM r""")
+def concentration_points_rank(spark, sf):
+    """Rank correlation over teams of mean concentration with points per match."""
+    t = spatial.concentration_of_teams(concentration(spark, sf), ["team"], 3)
+    t = settle(t.select(F.round("gini", 9).alias("gini"), F.round("points", 9).alias("points")))
+    return ranking.rank_correlation(t, [], "gini", "points").select(F.col("pairs").alias("teams"), r6("rho").alias("rho"))
+
+
 @query("event_windows", f"""WITH {E} SELECT type, cast(cast(time_bucket(interval 1 day, ts) as date) as string) AS day, count(*) AS actions, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM v_events GROUP BY ALL""")
 def event_windows(spark, sf):
     return view(spark, sf, "v_events").groupBy("type", F.window("ts", "1 day").alias("w")).agg(
