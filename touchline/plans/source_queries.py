@@ -201,12 +201,14 @@ def fixtures_by_priority(spark, sf):
 
 @query("register_append", f"WITH {V} SELECT match_id, home, case when match_id % 2 = 0 then hg else hg + 100 end AS hg FROM v_match")
 def register_append(spark, sf):
-    """Half the keys stored first; the second write changes their values but must not touch them."""
+    """Half the keys stored first; the second write brings two later readings of each, and only the first of a new key is kept."""
     place = new_place(spark, "register")
-    m = _m(spark, sf).select("match_id", "home", "hg")
-    m.filter("match_id % 2 = 0").write.parquet(place)
-    sinks.append_unseen(m.withColumn("hg", F.col("hg") + 100), spark.read.parquet(place), place, ["match_id"])
-    return spark.read.parquet(place)
+    m = _m(spark, sf).select("season", "match_id", "home", "hg")
+    m.filter("match_id % 2 = 0").hint("rebalance", "season").write.partitionBy("season").parquet(place)
+    again = m.withColumn("reading", F.explode(F.array(F.lit(2), F.lit(1)))).withColumn("hg", F.col("hg") + 150 - 50 * F.col("reading"))
+    register = spark.read.schema(m.schema).parquet(place)
+    sinks.append_unseen(again, register, place, ["season", "match_id"], "reading", by="season")
+    return spark.read.schema(m.schema).parquet(place).drop("season")
 
 
 @query("partition_replace", f"WITH {V} SELECT match_id, case when season = 1999 then hg + 100 else hg end AS hg, season FROM v_match")

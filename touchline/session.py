@@ -49,8 +49,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions that keep all cores busy."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even out a small frame whose rows each become many, so that all cores share the work."""
-    spark = df.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(width, *keys)
+    return df.repartition(width(df.sparkSession), *keys)
