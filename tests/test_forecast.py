@@ -107,6 +107,22 @@ def test_copies_average_to_one(spark):
     assert copies.mean() == pytest.approx(1, abs=0.03) and copies.var() == pytest.approx(1, abs=0.06)
 
 
+def test_draws_use_all_of_an_id(spark):
+    from duckdb import sql
+
+    from touchline.plans.sql_text import uniform_from
+
+    far = 2**31 - 1
+    ids = [5, 5 + far, 5 + 2 * far, -5, far - 5, -2**63 + 1, 2**63 - 1]
+    df = spark.createDataFrame([(i, r) for i in ids for r in range(3)], "id bigint, r int")
+    got = with_uniform(df, "u", 3, "id", "r").toPandas()
+    assert np.array_equal(got["u"], uniforms(3, got["id"].to_numpy(), got["r"].to_numpy(np.int64)))
+    assert got["u"].between(0, 1, inclusive="left").all() and got["u"].nunique() == len(got)
+    rows = ", ".join(f"({i}, {r})" for i, r in zip(got["id"], got["r"]))
+    there = sql(f"SELECT u FROM {uniform_from(f'(SELECT * FROM (VALUES {rows}) AS t(id, r))', 'u', 3, 'id', 'r')}").fetchall()
+    assert np.allclose(sorted(x[0] for x in there), sorted(got["u"]), rtol=0, atol=1e-12)
+
+
 def test_chi_square_tails(spark):
     known = [(3.841458820694124, 1, 0.05), (10.827566170662733, 1, 0.001), (0.0, 1, 1.0), (5.991464547107979, 2, 0.05),
              (7.814727903251179, 3, 0.05), (18.307038053275146, 10, 0.05), (24.995790139728616, 15, 0.05), (0.0, 4, 1.0)]

@@ -67,6 +67,7 @@ def blank_probability(nineties, goals) -> Column:
 
 
 PRIME = 2147483647
+UPPER = 1103515245  # weight of an integer's multiples of PRIME; numbers from 0 to PRIME - 1 are taken as they are
 
 
 def with_uniform(df: DataFrame, out: str, seed: int, *parts: str) -> DataFrame:
@@ -77,7 +78,10 @@ def with_uniform(df: DataFrame, out: str, seed: int, *parts: str) -> DataFrame:
     df = df.withColumn("_x", F.lit(seed).cast("bigint"))
     x = F.col("_x")
     for part in parts:
-        df = df.withColumn("_x", (x * 31 + F.col(part).cast("bigint") % PRIME) % PRIME * 1597334677 % PRIME)
+        p = F.col(part).cast("bigint")
+        times = F.expr(f"cast(`{part}` as bigint) div {PRIME}") - F.when(p % PRIME < 0, 1).otherwise(0)
+        upper = F.pmod(times, F.lit(PRIME)) * UPPER % PRIME
+        df = df.withColumn("_x", (x * 31 + F.pmod(p, F.lit(PRIME)) + upper) % PRIME * 1597334677 % PRIME)
         df = df.withColumn("_x", x.bitwiseXOR(F.shiftright(x, 15)) * 747796405 % PRIME)
         df = df.withColumn("_x", x.bitwiseXOR(F.shiftright(x, 13)) * 1274126177 % PRIME)
     return df.withColumn(out, x / float(PRIME)).drop("_x")
@@ -91,7 +95,8 @@ def uniforms(seed: int, *parts: np.ndarray) -> np.ndarray:
     """The draws of `with_uniform` for arrays of integers, which broadcast against each other."""
     x = np.int64(seed)
     for part in parts:
-        x = (x * 31 + np.fmod(part, PRIME)) % PRIME * 1597334677 % PRIME
+        upper = part // PRIME % PRIME * UPPER % PRIME
+        x = (x * 31 + part % PRIME + upper) % PRIME * 1597334677 % PRIME
         x = (x ^ (x >> 15)) * 747796405 % PRIME
         x = (x ^ (x >> 13)) * 1274126177 % PRIME
     return x / float(PRIME)
