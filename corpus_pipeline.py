@@ -34,7 +34,7 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
+    """One document of every group of near-duplicates: SimHash candidates whose five-word shingles have a similarity of 0.8 or more."""
     return one_of_each_similar(docs, words=5, similar=0.8)
 
 
@@ -53,7 +53,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 
 
-STAGES = [("toxicity", not_toxic), ("line dedup", new_lines), ("shingle near-dedup", one_near_duplicate),
+STAGES = [("toxicity", not_toxic), ("line dedup", new_lines), ("SimHash near-dedup", one_near_duplicate),
           ("mixing to target weights", target_mix), ("byte-level BPE", token_ids)]
 
 #: Fitted models and ids are beyond SQL; tests hold the stages against brute force.

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from touchline.llm import shingle_links
+from touchline.llm import shingle_links, simhash_links
 from tests.llm.helpers import prose, smallest
 
 
@@ -52,3 +53,31 @@ def test_rows_without_keys_repeated_rows_and_empty(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((x.doc_id or -1, x.text) for x in corpus_pipeline.one_near_duplicate(spark, df, "").collect())
     assert got == ([(-1, "q r s t u v"), (3, "a b c d e f")] if rows else [])
+
+
+def test_candidates_come_from_simhash(spark, monkeypatch):
+    """Without links of fingerprints nothing but equal sets is joined: no other index stands beside them."""
+    texts = {1: "a b c d e f g h i j", 2: "a b c d e f g h i j k", 3: "A b c d e f g h i j"}
+    assert kept(spark, texts) == [1]
+    monkeypatch.setattr(simhash_links, "near_sets", lambda prints: spark.createDataFrame([], "a long, b long"))
+    assert kept(spark, texts) == [1, 2]
+
+
+def test_wide_fingerprints_meet():
+    """Bits are majorities; sets at a similarity of 0.8 share a one-wildcard segment and are near enough in the words checked."""
+    r = np.random.default_rng(5)
+    draw = lambda n: r.integers(0, 2**64, n, np.uint64)
+    one = draw(1)
+    several = np.concatenate([one, draw(300)])
+    bits = [np.unpackbits(simhash_links.wide_fingerprint_of(several[i:i + 1]).view(np.uint8)) for i in range(301)]
+    assert (np.unpackbits(simhash_links.wide_fingerprint_of(several).view(np.uint8)) == (2 * np.sum(bits, axis=0, dtype=int) > 301)).all()
+    missed = 0
+    for shared, x, y in [(8, 1, 1), (12, 0, 3), (80, 10, 10), (400, 0, 100)]:
+        for _ in range(200):
+            c = draw(shared)
+            pair = np.stack([simhash_links.wide_fingerprint_of(np.concatenate([c, draw(n)])) for n in (x, y)])
+            half, beside = simhash_links.halves_of(pair)
+            rows = pair[np.repeat([0, 1], half.shape[1]), :simhash_links.CHECKED]
+            a, b = simhash_links.half_links(half.ravel(), beside.ravel(), rows)
+            missed += not (a // half.shape[1] != b // half.shape[1]).any()
+    assert missed <= 1

@@ -1,12 +1,14 @@
 """Near-duplicates by the similarity of their word shingles: shared ones over all different ones.
 
-Texts with equal sets of shingles collapse first. Different sets are candidates if all of ROWS minima of seeded hashes agree in
-one of BANDS bands; sets of similarity s do so with chance 1 - (1 - s^ROWS)^BANDS, 0.99994 at 0.8 and more above. Candidates
-are linked to the smallest set of their band only, never pair by pair; what these links join is a block. Every text of a block
-of at most BLOCK_SETS sets moves once, to one task, where sets are compared exactly: a member reached is compared with those not
-reached yet. In a larger block no task sees more than a tile: every set is first compared with the smallest set of each of its
-bands; then, in bands that still hold sets not joined, tiles of about TILE sets are compared with each other, tiles of one joined
-component never with themselves. Both ways compare exactly all that share a band and are not joined already.
+Texts with equal sets of shingles collapse first. Different sets are candidates if their SimHash fingerprints share a one-wildcard
+segment (`simhash_links.near_sets`); sets of a similarity of 0.8 do so with chance 0.99999, more alike ones above. What the links of
+candidates join is a block. Every text of a block of at most BLOCK_SETS sets moves once, to one task, where sets are compared
+exactly: a member reached is compared with those not reached yet.
+
+In a larger block no task sees more than a tile. Its sets are dealt out by BANDS bands of ROWS minima of seeded hashes, which sets
+of similarity s share with chance 1 - (1 - s^ROWS)^BANDS, 0.99994 at 0.8: every set is first compared with the smallest set of each
+of its bands; then, in bands that still hold sets not joined, tiles of about TILE sets are compared with each other, tiles of one
+joined component never with themselves. Both ways compare exactly all that share a band and are not joined already.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from touchline.llm import simhash_links
 from touchline.llm.common import components, slices, slices_by_size, stored
-from touchline.llm.simhash_links import SEED, kept_rows
+from touchline.llm.simhash_links import SEED, kept_rows, wide_fingerprint_of
 
 ROWS, BANDS = 6, 32
 BLOCK = 4096  # shingle hashes whose minima are taken at a time
@@ -47,15 +50,15 @@ def bands_of(shingles: np.ndarray) -> list[int]:
 
 
 def sketch(text: Column, words: int) -> Column:
-    """struct<f long, bands array<long>>: hash of a text's set of shingles, and its bands."""
+    """struct<f long, print array<long>>: hash of a text's set of shingles, and its wide fingerprint."""
 
-    @arrow_udf("f long, bands array<long>")
+    @arrow_udf("f long, print array<long>")
     def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in slices(batches):
             sets = [shingles_of(t.as_py(), words) for t in texts]
             f = [int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True) for s in sets]
-            yield pa.StructArray.from_arrays([pa.array(f, pa.int64()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))],
-                                             ["f", "bands"])
+            prints = [wide_fingerprint_of(s).view(np.int64) for s in sets]
+            yield pa.StructArray.from_arrays([pa.array(f, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["f", "print"])
 
     return sketches(text)
 
@@ -87,16 +90,13 @@ def near(one: np.ndarray, other: np.ndarray, similar: float) -> bool:
     return shared >= similar * (small + large - shared)
 
 
-def linked_sets(bands: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similar: float) -> DataFrame:
-    """(node, component): the smallest linked set of every set that has a link, from a frame (f, bands) of different sets.
+def linked_sets(prints: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similar: float) -> DataFrame:
+    """(node, component): the smallest linked set of every set that has a link, from a frame (f, print) of different sets.
 
     `texts` adds `t`, a text of every set, to a frame with the sets' `f`.
     """
-    width = _width(bands)
-    each = bands.select("f", F.explode("bands").alias("band"))
-    least = each.groupBy("band").agg(F.min("f").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = each.join(least, "band").where("f <> m").select(F.col("f").alias("a"), F.col("m").alias("b")).distinct()
-    blocks = components(edges)
+    width = _width(prints)
+    blocks = components(simhash_links.near_sets(prints))
     blocks = blocks.select("component", F.col("node").alias("f"))
     blocks = stored(blocks.union(blocks.select("component", "component")).distinct())
     sized = blocks.join(blocks.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
@@ -119,7 +119,7 @@ def linked_sets(bands: DataFrame, texts: Callable[[DataFrame], DataFrame], words
     links = stored(moved.mapInArrow(link, "a long, b long"))
     large = stored(sized.where(F.col("n") > BLOCK_SETS).select("f"))
     if not large.isEmpty():
-        links = links.union(_large_block_links(each, large, texts, words, similar))
+        links = links.union(_large_block_links(large, texts, words, similar))
     return components(links)
 
 
@@ -128,16 +128,21 @@ def _width(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def _large_block_links(each: DataFrame, large: DataFrame, texts: Callable, words: int, similar: float) -> DataFrame:
-    """Links (a, b) of the sets `f` in `large`, whose bands are in `each` (f, band): to the bands' smallest, then by tiles."""
+def _large_block_links(large: DataFrame, texts: Callable, words: int, similar: float) -> DataFrame:
+    """Links (a, b) of the sets `f` in `large`: to the smallest of their bands, then by tiles."""
 
     @arrow_udf("array<long>")
     def numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in slices_by_size(batches):
             yield pa.array([shingles_of(t.as_py(), words).view(np.int64) for t in part], pa.list_(pa.int64()))
 
+    @arrow_udf("array<long>")
+    def bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in slices(batches):
+            yield pa.array([bands_of(s.values.to_numpy(zero_copy_only=False).view(np.uint64)) for s in part], pa.list_(pa.int64()))
+
     sets = stored(texts(large).select("f", numbers("t").alias("s")))
-    each = stored(each.join(large, "f", "left_semi"))
+    each = stored(sets.select("f", F.explode(bands("s")).alias("band")))
     least = each.groupBy("band").agg(F.min("f").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = stored(each.join(least, "band").where("f <> m").select("f", "m").distinct())
     parts = stars.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
@@ -204,8 +209,8 @@ def one_of_each_similar(df: DataFrame, text: str = "text", key: str = "doc_id",
     """
 
     def links(firsts: DataFrame, slim: DataFrame) -> DataFrame:
-        bands = slim.groupBy("f").agg(F.first("bands").alias("bands"))
-        return linked_sets(stored(bands), texts_of(firsts), words, similar)
+        prints = slim.groupBy("f").agg(F.first("print").alias("print"))
+        return linked_sets(stored(prints), texts_of(firsts), words, similar)
 
     def texts_of(firsts: DataFrame) -> Callable[[DataFrame], DataFrame]:
         def texts(blocks: DataFrame) -> DataFrame:
@@ -217,4 +222,4 @@ def one_of_each_similar(df: DataFrame, text: str = "text", key: str = "doc_id",
         return texts
 
     made = sketch(F.col(text), words)
-    return kept_rows(df, text, key, [made["f"].alias("f"), made["bands"].alias("bands")], links)
+    return kept_rows(df, text, key, [made["f"].alias("f"), made["print"].alias("print")], links)
