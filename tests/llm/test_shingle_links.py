@@ -81,3 +81,31 @@ def test_wide_fingerprints_meet():
             a, b = simhash_links.half_links(half.ravel(), beside.ravel(), rows)
             missed += not (a // half.shape[1] != b // half.shape[1]).any()
     assert missed <= 1
+
+
+def test_candidate_links_grow_with_a_group(spark):
+    """A group of near copies that nearly all meet each other: links grow with its size, not with its pairs, and join the same."""
+    r = np.random.default_rng(6)
+    count, shared = 400, r.integers(0, 2**64, 90, np.uint64)
+    sets = [np.concatenate([r.permutation(shared)[:85], r.integers(0, 2**64, 5, np.uint64)]) for _ in range(count)]
+    sets += [r.integers(0, 2**64, 90, np.uint64) for _ in range(20)]
+    prints = [(i, simhash_links.wide_fingerprint_of(s).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    links = simhash_links.near_sets(spark.createDataFrame([*prints, (-1, [])], "f long, print array<long>")).collect()
+    assert len(links) <= 2 * simhash_links.FIRST * count + count
+    a, b = (np.array([x[i] for x in links]) for i in (0, 1))
+    assert (simhash_links.smallest_joined(a, b, len(sets)) == [*[0] * count, *range(count, len(sets))]).all()
+
+
+def test_known_joins_change_no_group():
+    """Rows joined already are not compared, in buckets compared pair by pair and in searched ones; what is joined is the same."""
+    r = np.random.default_rng(7)
+    keys = np.sort(r.integers(0, 12, 600))
+    prints = r.integers(0, 2**64, (40, 3), np.uint64)[r.integers(0, 40, 600)] ^ (np.uint64(1) << r.integers(0, 64, (600, 3)).astype(np.uint64))
+    own = np.arange(600)
+    for neighbours in (8, 20, 512):
+        a, b = simhash_links.bucket_pairs(keys, prints, 6, neighbours)
+        whole = simhash_links.smallest_joined(a, b, 600)
+        some = simhash_links.smallest_joined(a[::3], b[::3], 600)
+        x, y = simhash_links.bucket_pairs(keys, prints, 6, neighbours, some)
+        assert (simhash_links.smallest_joined(np.concatenate([x, own]), np.concatenate([y, some]), 600) == whole).all()
+        assert len(np.unique(whole)) < 600 and (whole != some).any()

@@ -151,7 +151,7 @@ def _large_block_links(large: DataFrame, texts: Callable, words: int, similar: f
     first = _tile_links(pivots.union(dealt.select("g", F.lit(1), "f", "f")), sets, similar)
 
     joined = components(first).withColumnRenamed("node", "f")
-    rest = each.join(joined, "f", "left").select("band", "f", F.coalesce("component", "f").alias("c"))
+    rest = stored(each.join(joined, "f", "left").select("band", "f", F.coalesce("component", "f").alias("c")))
     still = rest.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
     rest = stored(rest.join(still, "band", "left_semi"))
     counts = rest.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
@@ -168,7 +168,7 @@ def _large_block_links(large: DataFrame, texts: Callable, words: int, similar: f
     held = pairs.withColumn("tile", F.col("u")).join(placed, ["band", "tile"]).select("g", F.lit(0).alias("side"), "f", "c")
     passing = pairs.withColumn("tile", F.col("v")).join(placed, ["band", "tile"]).select(
         "g", F.when(F.col("u") == F.col("v"), 2).otherwise(1).alias("side"), "f", "c")
-    return first.union(_tile_links(held.union(passing), sets, similar))
+    return joined.select(F.col("f").alias("a"), F.col("component").alias("b")).union(_tile_links(held.union(passing), sets, similar))
 
 
 def _tile_links(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:

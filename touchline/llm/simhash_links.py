@@ -11,7 +11,9 @@ they join, at most one per member of a large bucket.
 Sets of shingles that are similar rather than almost equal differ in far more bits: by a similarity of 0.8, in 15 of 100. For
 them `near_sets` has the same index over fingerprints of WIDE words: SEGMENTS segments of twice HALF bits, one bit blanked. As
 a segment with at most one differing bit has an equal half, a fingerprint moves to both halves of every segment, and the task of
-a half blanks the bits of the other one. Candidates are verified over CHECKED words.
+a half blanks the bits of the other one. Candidates are verified over CHECKED words. The first FIRST segments are read by
+themselves; what their links join is one to all others, and nothing in it is compared again. A task joins what it links and gives
+on one row for each member but the smallest, so that a group's rows grow with its size, not with its pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BLOCK = 65_536  # shingle hashes expanded to bits at a time
 NEIGHBOURS = 8  # buckets larger than this and one are searched instead of compared pair by pair
 WIDE = 16  # words of a wide fingerprint
 SEGMENTS, HALF = 56, 9  # sets at 0.8 share a one-wildcard segment but for a chance of 0.000001, 4 shingles of 5 but for 0.0007
+FIRST = 4  # segments whose links are followed before the others are read
+HOPS = 2  # steps they are followed for
 CHECKED, APART = 3, 56  # words of it that verify a candidate, and the bits that may differ in them
 WIDE_NEIGHBOURS = 512
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,12 +114,15 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.nd
     return prints[left], prints[right]
 
 
-def bucket_pairs(keys: np.ndarray, prints: np.ndarray, bits: int, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(keys: np.ndarray, prints: np.ndarray, bits: int, neighbours: int = NEIGHBOURS,
+                 own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the links that join what a bucket's fingerprints (of one word, or a row of words) join.
 
     Buckets of at most `neighbours` + 1 are compared at every distance in the order, all at once. A larger one is searched:
     each member reached is compared with those not reached yet, so one dense group costs little more than its size.
+    Equal `own` are joined already and not compared.
     """
+    own = np.arange(len(keys)) if own is None else own
     starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
     sizes = np.diff(starts)
     left, right = [], []
@@ -124,12 +131,13 @@ def bucket_pairs(keys: np.ndarray, prints: np.ndarray, bits: int, neighbours: in
     met = np.zeros(len(keys), bool)
     if few.max(initial=1) > NEIGHBOURS + 1:  # members linked to the first of their bucket need not be compared with each other
         first = np.repeat(starts[:-1], sizes)
-        met = small & (_differing(prints, prints[first]) <= bits)
+        met = small & ((own == own[first]) | (_differing(prints, prints[first]) <= bits))
         others = np.nonzero(met & (first != np.arange(len(keys))))[0]
         left.append(first[others])
         right.append(others)
     for shift in range(1, few.max(initial=1)):
-        same = np.nonzero((keys[shift:] == keys[:-shift]) & small[shift:] & ~(met[shift:] & met[:-shift]))[0]
+        same = np.nonzero((keys[shift:] == keys[:-shift]) & small[shift:] & (own[shift:] != own[:-shift])
+                          & ~(met[shift:] & met[:-shift]))[0]
         same = same[_differing(prints[same], prints[same + shift]) <= bits]
         left.append(same)
         right.append(same + shift)
@@ -142,7 +150,7 @@ def bucket_pairs(keys: np.ndarray, prints: np.ndarray, bits: int, neighbours: in
             else:
                 block, waiting = waiting[:1], waiting[1:]
             for x in block:
-                near = _differing(prints[waiting], prints[x]) <= bits
+                near = (own[waiting] == own[x]) | (_differing(prints[waiting], prints[x]) <= bits)
                 if near.any():
                     found, waiting = waiting[near], waiting[~near]
                     left.append(found)
@@ -188,40 +196,76 @@ def halves_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.arange(2 * SEGMENTS) << HALF) + values, beside
 
 
-def half_links(half: np.ndarray, beside: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the links of rows with equal halves whose other halves differ in at most one bit, verified."""
+def smallest_joined(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """The smallest of the numbers below `count` that links (a, b) join each of them with."""
+    least = np.arange(count)
+    while len(a):
+        x, y = least[a], least[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least[least] != least).any():
+            least = least[least]
+    return least
+
+
+def half_links(half: np.ndarray, beside: np.ndarray, prints: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that join what rows join with equal halves whose other halves differ in at most one bit, verified.
+
+    Rows of equal `own`, numbers from 0, are joined already.
+    """
+    own = np.arange(len(half)) if own is None else own
     left, right = [], []
     for blank in range(HALF):
         keys = half << HALF | beside & ~(1 << blank)
         order = np.argsort(keys, kind="stable")
-        a, b = bucket_pairs(keys[order], prints[order], APART, WIDE_NEIGHBOURS)
+        a, b = bucket_pairs(keys[order], prints[order], APART, WIDE_NEIGHBOURS, own[order])
         left.append(order[a])
         right.append(order[b])
+        own = smallest_joined(own[left[-1]], own[right[-1]], int(own.max(initial=-1)) + 1)[own]
     return np.concatenate(left), np.concatenate(right)
 
 
 def near_sets(prints: DataFrame) -> DataFrame:
     """Links (a, b) that join all candidates, from a frame (f, print) of different sets and their wide fingerprints."""
+    prints = prints.where(F.size("print") > 0)
+    first = _segment_links(prints.select("f", "print", F.col("f").alias("c")), 0, FIRST)
+    least = first.groupBy("a").agg(F.min("b").alias("c"))
+    for _ in range(HOPS):  # the smallest neighbour's smallest neighbour, and so on
+        least = stored(least.join(least.select(F.col("a").alias("c"), F.col("c").alias("next")), "c", "left").select(
+            "a", F.coalesce("next", "c").alias("c")))
+    named = prints.join(least, F.col("f") == F.col("a"), "left").select("f", "print", F.coalesce("c", "f").alias("c"))
+    return first.union(_segment_links(named, FIRST, SEGMENTS))
+
+
+def _segment_links(prints: DataFrame, start: int, end: int) -> DataFrame:
+    """Links (a, b) between different `c` that join what candidates by segments `start` to `end` do, from a frame (f, print, c).
+
+    Equal `c` are joined already. No task gives a `c` more than one link for every half it reads of it.
+    """
     spark = prints.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     checks = [f"p{i}" for i in range(CHECKED)]
+    copies = 2 * (end - start)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             wide = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
-            half, beside = halves_of(wide)
-            columns = [half.ravel().astype(np.int32), beside.ravel().astype(np.int32), np.repeat(batch.column(0).to_numpy(), 2 * SEGMENTS),
-                       *(np.repeat(wide[:, i].view(np.int64), 2 * SEGMENTS) for i in range(CHECKED))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["half", "beside", "f", *checks])
+            half, beside = (x[:, 2 * start:2 * end].ravel().astype(np.int32) for x in halves_of(wide))
+            columns = [half, beside, np.repeat(batch.column(2).to_numpy(), copies),
+                       *(np.repeat(wide[:, i].view(np.int64), copies) for i in range(CHECKED))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["half", "beside", "c", *checks])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def found() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
-            half, beside, f, *words = (rows.column(i).to_numpy() for i in range(3 + CHECKED))
-            a, b = half_links(half.astype(np.int64), beside.astype(np.int64), np.stack(words, axis=1).view(np.uint64))
-            return _edges(f[a], f[b])
+            half, beside, c, *words = (rows.column(i).to_numpy() for i in range(3 + CHECKED))
+            names, own = np.unique(c, return_inverse=True)
+            a, b = half_links(half.astype(np.int64), beside.astype(np.int64), np.stack(words, axis=1).view(np.uint64), own)
+            least = smallest_joined(own[a], own[b], len(names))
+            return _edges(*(x[least != np.arange(len(names))] for x in (names, names[least])))
 
         for batch in batches:
             half = batch.column(0).to_numpy()
@@ -235,8 +279,8 @@ def near_sets(prints: DataFrame) -> DataFrame:
         if held:
             yield found()
 
-    types = "half int, beside int, f long, " + ", ".join(f"{c} long" for c in checks)
-    rows = prints.where(F.size("print") > 0).select("f", "print").repartition(width, "f").mapInArrow(dealt, types)
+    types = "half int, beside int, c long, " + ", ".join(f"{c} long" for c in checks)
+    rows = prints.select("f", "print", "c").repartition(width, "f").mapInArrow(dealt, types)
     rows = rows.repartition(width, "half").sortWithinPartitions("half")
     return stored(rows.mapInArrow(link, "a long, b long").distinct())
 
