@@ -142,3 +142,49 @@ def test_recalibration_sees_the_past_only(spark):
         F.sum(F.col("ph") - (F.col("y") == "H").cast("int")).alias("h"), F.sum(F.col("lh") * (F.col("pa") - (F.col("y") == "A").cast("int"))).alias("a")).collect()
     assert all(abs(r.h) < 1e-3 and abs(r.a) < 1e-3 for r in sums)
     assert models.fit_platt(models.platt_rows(df, "p"), min_training=10_000).count() == 0
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    out = work()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_steps_of_small_fits_cost_no_jobs(spark, fitted):
+    rows, keys = fitted[0], ["league", "model"]
+    rough, few = jobs_of(spark, "rough", lambda: models.fit_sparse_poisson(rows, keys, tol=50.0))
+    fine, many = jobs_of(spark, "fine", lambda: models.fit_sparse_poisson(rows, keys, tol=1e-9))
+    assert fine.agg(F.max("left")).first()[0] < 1e-9 < rough.agg(F.max("left")).first()[0]
+    assert few == many
+
+
+def test_large_fits_spread_over_tasks_are_the_same(spark, fitted, monkeypatch):
+    rows, keys = fitted[0], ["league", "model"]
+    want = {(r.league, r.model): r for r in models.fit_table(*fitted, keys).collect()}
+    monkeypatch.setattr(models, "WHOLE_FIT", 150)  # the second league has 100 rows
+    monkeypatch.setattr(models, "FIT_BATCH", 50)
+    got = {(r.league, r.model): r for r in models.fit_table(rows, models.fit_sparse_poisson(rows, keys), keys).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for k, r in got.items():
+        assert r.parameters == want[k].parameters and r.log_likelihood == pytest.approx(want[k].log_likelihood, abs=1e-5)
+
+
+@pytest.mark.parametrize("whole", [200_000, 200])
+def test_rows_listed_for_seasons_fit_like_a_row_for_each(spark, monkeypatch, whole):
+    """And seasons with fewer than `least` rows have no fit."""
+    monkeypatch.setattr(models, "WHOLE_FIT", whole)
+    monkeypatch.setattr(models, "FIT_BATCH", 60)
+    r = np.random.default_rng(2)
+    data = [(lg, 2000 + int(i % 4), float(r.normal()), int(r.poisson(2))) for lg in "abc" for i in range(40 if lg == "c" else 120)]
+    df = spark.createDataFrame(data, "league string, season long, v double, cards int")
+    rows = models.design_rows(df, ["league", "season"], "cards", {"v": (["v"], []), "null": ([], [])})
+    keys = ["league", "fitted_for", "model"]
+    seasons = [2000, 2001, 2002, 2003]
+    got = {tuple(f[:3]): f.beta for f in models.fit_sparse_poisson(models.later_seasons(rows, seasons, listed=True), keys, least=25).collect()}
+    each = models.later_seasons(rows, seasons)
+    want = {tuple(f[:3]): f.beta for f in models.fit_sparse_poisson(each, keys).collect()}
+    sizes = {tuple(s[:3]): s.n for s in each.groupBy(*keys).agg(F.count("_y").alias("n")).collect()}
+    assert set(got) == {k for k, n in sizes.items() if n >= 25} and len(got) == 14
+    for k, beta in got.items():
+        assert beta == pytest.approx(want[k], abs=1e-6)

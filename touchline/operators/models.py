@@ -6,9 +6,12 @@ Every fit is a few aggregates over the data: the driver sees one row of sums per
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -268,19 +271,189 @@ def sparse_mean(rows: DataFrame, fits: DataFrame, keys: list[str], out: str = "_
     return rows.join(fits.select(*keys, "beta"), keys).withColumn(out, F.exp(F.least(eta, F.lit(300.0)))).drop("beta")
 
 
-def fit_sparse_poisson(rows: DataFrame, keys: list[str], steps: int = 40, tol: float = 1e-6) -> DataFrame:
+WHOLE_FIT = 200_000  # rows (once for each value of a list) of fits that one task works out from the first step to the last
+FIT_BATCH = 40_000  # rows whose fits a task advances together
+
+
+def fit_sparse_poisson(rows: DataFrame, keys: list[str], steps: int = 40, tol: float = 1e-6, least: int = 1) -> DataFrame:
     """Poisson regressions with log link of sparse rows (_y, _f), one for every value of the keys: (keys, beta, rank, left).
 
-    All fits advance together by Newton steps. A step is one aggregate: a row gives the products of its own few entries only,
-    which are added up per pair of names before they move; then each fit's small system is solved in a task of its own, by
-    least norm, so that factors need no level left out and `rank` is the number of free parameters. A fit has as many names
-    as its factors have levels, the square of which one task holds. Steps end when no fit can gain more than `tol` in
-    log-likelihood (`left` is what is left), or raise an error after `steps`.
+    Newton steps, each solved by least norm, so that factors need no level left out and `rank` is the number of free
+    parameters. A fit has as many names as its factors have levels, the square of which one task holds. A key may be a list
+    (see `later_seasons`): its row counts for the fit of each value. Keys with fewer than `least` rows have no fit. Steps end
+    when no fit can gain more than `tol` in log-likelihood (`left` is what is left), or raise an error after `steps`.
+
+    Rows move once, to tasks that hold all rows of the keys that are no lists: there many fits advance together in vectors.
+    Where such keys have more than `WHOLE_FIT` rows, a step is an aggregate over all tasks instead (`_fit_spread`).
     """
+    lists = [k for k in keys if dict(rows.dtypes)[k].startswith("array")]
+    if len(lists) > 1:
+        raise ValueError("one key may be a list")
+    plain = [k for k in keys if k not in lists]
+    rows = rows.dropna(subset=keys)
+    if lists:
+        rows = rows.filter(F.size(lists[0]) > 0)
+    kinds = {k: kind.removeprefix("array<").removesuffix(">") if k in lists else kind for k, kind in rows.dtypes if k in keys}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", beta map<string, double>, rank int, left double"
+    weight = F.size(lists[0]) if lists else F.lit(1)
+    large = settle(rows.groupBy(*plain).agg(F.sum(weight).alias("_n")).filter(F.col("_n") > WHOLE_FIT).drop("_n"))
+    some = large.count()
+    near = rows.join(large, plain, "left_anti") if some else rows
+    near = near.select(*keys, "_y", F.col("_f.j").alias("_j"), F.col("_f.x").alias("_x")).repartition(*plain).sortWithinPartitions(*plain)
+    fits = settle(near.mapInArrow(_whole_fits(keys, plain, lists, steps, tol, least), schema))
+    left = fits.agg(F.max("left")).first()[0]
+    if left is not None and left >= tol:
+        raise RuntimeError(f"a fit can still gain {left} in log-likelihood after {steps} steps")
+    if not some:
+        return fits
+    far = rows.join(large, plain, "left_semi")
+    for k in lists:
+        far = far.withColumn(k, F.explode(k))
+    far = settle(far.select(*keys, "_y", "_f"))
+    enough = far.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    return fits.unionByName(_fit_spread(far.join(enough, keys, "left_semi"), keys, schema, steps, tol))
+
+
+def _whole_fits(keys: list[str], plain: list[str], lists: list[str], steps: int, tol: float, least: int):
+    """For mapInArrow over rows that are in order of the plain keys: the fits of batches of whole keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += len(batch.column("_j")) if not lists else pc.sum(pc.list_value_length(batch.column(lists[0]))).as_py()
+            if size >= FIT_BATCH:
+                rows = pa.Table.from_batches(held)
+                starts = _first_rows(rows, plain)
+                if starts[-1]:
+                    yield from _fit_batch(rows.slice(0, starts[-1]), starts[:-1])
+                    rows = rows.slice(starts[-1])
+                held = rows.combine_chunks().to_batches()
+                size = 0
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from _fit_batch(rows, _first_rows(rows, plain))
+
+    def _fit_batch(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cluster = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        if lists:
+            column = rows.column(lists[0]).combine_chunks()
+            row = np.repeat(np.arange(len(rows)), column.value_lengths().to_numpy(zero_copy_only=False))
+            values = column.flatten().dictionary_encode()
+            code = cluster[row] * len(values.dictionary) + values.indices.to_numpy(zero_copy_only=False)
+        else:
+            row, code = np.arange(len(rows)), cluster
+        codes, fit, counts = np.unique(code, return_inverse=True, return_counts=True)
+        if counts.min() < least:
+            kept = counts >= least
+            row = row[kept[fit]]
+            fit = (np.cumsum(kept) - 1)[fit[kept[fit]]]
+            codes = codes[kept]
+        if not len(codes):
+            return
+        j, x = (rows.column(c).combine_chunks() for c in ("_j", "_x"))
+        names = j.flatten().dictionary_encode()
+        lengths = j.value_lengths().to_numpy(zero_copy_only=False)
+        found = newton_fits(rows.column("_y").to_numpy(), np.cumsum(lengths) - lengths, lengths, names.indices.to_numpy(zero_copy_only=False),
+                            x.flatten().to_numpy(zero_copy_only=False), row, fit, names.dictionary.to_pylist(), steps, tol)
+        at, name, beta, rank, left = found
+        home = codes // len(values.dictionary) if lists else codes
+        out = {k: rows.column(k).take(pa.array(starts[home])).combine_chunks() for k in plain}
+        if lists:
+            out[lists[0]] = values.dictionary.take(pa.array(codes % len(values.dictionary)))
+        out["beta"] = pa.MapArray.from_arrays(pa.array(at, pa.int32()), names.dictionary.take(pa.array(name)), pa.array(beta))
+        out["rank"], out["left"] = pa.array(rank, pa.int32()), pa.array(left)
+        order = [*keys, "beta", "rank", "left"]
+        yield pa.RecordBatch.from_arrays([out[c] for c in order], order)
+
+    return run
+
+
+def _first_rows(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places where another value of the keys begins, in rows ordered by them."""
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in keys:
+        code = rows.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def newton_fits(y: np.ndarray, first: np.ndarray, lengths: np.ndarray, j: np.ndarray, x: np.ndarray, row: np.ndarray, fit: np.ndarray,
+                names: list[str], steps: int, tol: float):
+    """Poisson fits that advance together: (start of each fit's names, names, coefficients, rank, what is left to gain).
+
+    A row's entries are j, x from `first` on, `lengths` of them; an observation is a row in a fit. All names of all fits lie in
+    one vector, all systems in another, and a step adds up into both.
+    """
+    fits, obs = int(fit.max()) + 1, np.arange(len(row))
+    y, count = y[row].astype(float), lengths[row]
+    of = np.repeat(obs, count)  # observation of each entry
+    entry = np.repeat(first[row] - (np.cumsum(count) - count), count) + np.arange(len(of))
+    x = x[entry].astype(float)
+    key = fit[of].astype(np.int64) * len(names) + j[entry]
+    if fits * len(names) <= 8 * len(key) + 1000:
+        seen = np.zeros(fits * len(names), bool)
+        seen[key] = True
+        cols, col = np.flatnonzero(seen), (np.cumsum(seen) - 1)[key]
+    else:
+        cols, col = np.unique(key, return_inverse=True)
+    name, home = cols % len(names), cols // len(names)
+    p = np.bincount(home, minlength=fits)
+    at = np.append(0, np.cumsum(p))
+    cell = np.append(0, np.cumsum(p * p))
+    place, weight, who = [], [], []  # products of two entries of an observation: their cell, their product, the observation
+    begin = np.cumsum(count) - count
+    for k in np.unique(count):
+        mine = obs[count == k]
+        f = fit[mine]
+        c = [col[begin[mine] + a] for a in range(k)]
+        v = [x[begin[mine] + a] for a in range(k)]
+        for a in range(k):
+            for b in range(a, k):
+                low, high = np.minimum(c[a], c[b]) - at[f], np.maximum(c[a], c[b]) - at[f]
+                place.append(cell[f] + low * p[f] + high)
+                weight.append(v[a] * v[b] * (2.0 if a < b else 1.0) ** (low == high))
+                who.append(mine)
+    place, weight, who = (np.concatenate(z) for z in (place, weight, who))
+    beta = np.zeros(len(cols))
+    if "const" in names:
+        mean = np.bincount(fit, y, fits) / np.maximum(np.bincount(fit, minlength=fits), 1)
+        const = name == names.index("const")
+        beta[const] = np.log(np.maximum(mean[home[const]], 1e-6))
+    rank, left = np.zeros(fits, int), np.zeros(fits)
+    for _ in range(steps):
+        mu = np.exp(np.minimum(np.bincount(of, x * beta[col], len(obs)), 300.0))
+        slope = np.bincount(col, x * (y - mu)[of], len(cols))
+        curve = np.bincount(place, weight * mu[who], cell[-1])
+        for size in np.unique(p):
+            f = np.flatnonzero(p == size)
+            h = curve[cell[f][:, None] + np.arange(size * size)].reshape(-1, size, size)
+            diagonal = h[:, np.arange(size), np.arange(size)]
+            h = h + h.transpose(0, 2, 1)
+            h[:, np.arange(size), np.arange(size)] = diagonal
+            mine = at[f][:, None] + np.arange(size)
+            scale = 1 / np.sqrt(np.maximum(diagonal, 1e-12))  # numbers of unlike size share one cut for the rank
+            values, vectors = np.linalg.eigh(h * scale[:, :, None] * scale[:, None, :])
+            free = values > 1e-9 * np.maximum(values.max(axis=1, keepdims=True), 0)
+            inner = np.einsum("fij,fi->fj", vectors, slope[mine] * scale)
+            part = np.where(free, inner / np.where(free, values, 1.0), 0.0)
+            step = scale * np.einsum("fij,fj->fi", vectors, part)
+            step *= np.minimum(1.0, 3.0 / np.maximum(np.abs(step).max(axis=1), 1e-12))[:, None]  # a start far off must not overshoot
+            beta[mine] += step
+            rank[f], left[f] = free.sum(axis=1), (inner * part).sum(axis=1)
+        if left.max() < tol:
+            break
+    return at, name, beta, rank, left
+
+
+def _fit_spread(rows: DataFrame, keys: list[str], schema: str, steps: int, tol: float) -> DataFrame:
+    """The fits of many rows each, which all advance together. A step is one aggregate: a row gives the products of its own few
+    entries only, which are added up per pair of names before they move; then each fit's small system is solved in a task."""
     rows = settle(rows)
     start = rows.groupBy(*keys).agg(F.avg("_y").alias("_m"))
     fits = settle(start.select(*keys, F.create_map(F.lit("const"), F.ln(F.greatest("_m", F.lit(1e-6)))).alias("beta")))
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", beta map<string, double>, rank int, left double"
 
     def solve(sums: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
         beta = dict(fit["beta"].iloc[0]) if len(fit) else {}
@@ -349,10 +522,13 @@ def score_sums(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.col("_y") * F.col("x")).alias("observed"), F.sum(F.col("_mu") * F.col("x")).alias("expected"))
 
 
-def later_seasons(rows: DataFrame, seasons: list, period: str = "season") -> DataFrame:
-    """Training rows for every later season: `fitted_for` names the season whose forecasts a row helps to fit."""
-    ahead = F.explode(F.filter(F.array(*[F.lit(s) for s in seasons]), lambda s: s > F.col(period)))
-    return rows.withColumn("fitted_for", ahead)
+def later_seasons(rows: DataFrame, seasons: list, period: str = "season", listed: bool = False) -> DataFrame:
+    """Training rows for every later season: `fitted_for` names the season whose forecasts a row helps to fit.
+
+    With `listed` a row stays one row and has the list of these seasons, for `fit_sparse_poisson`.
+    """
+    ahead = F.filter(F.array(*[F.lit(s) for s in seasons]), lambda s: s > F.col(period))
+    return rows.withColumn("fitted_for", ahead if listed else F.explode(ahead))
 
 
 def team_effects(df: DataFrame, value: str, keys: list[str], context: str, rounds: int = 8) -> DataFrame:

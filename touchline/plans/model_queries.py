@@ -18,8 +18,12 @@ def features(spark, sf):
     return profiles.match_profiles(matches(spark, sf), 10, 3)
 
 
+def known(spark, sf):
+    return features(spark, sf).filter("played").dropna(subset=models.GOAL_COLUMNS)
+
+
 def trained(spark, sf):
-    return settle(features(spark, sf).filter("played").dropna(subset=models.GOAL_COLUMNS))
+    return settle(known(spark, sf))
 
 
 @query("poisson_glm")
@@ -158,16 +162,18 @@ CARD_FORECASTS = {"teams": (["home_cards", "away_cards"], []), "referee": (["str
 
 
 def card_forecasts(spark, sf):
-    """(training rows, fits, forecast rows) of each league, season and model; a fit saw earlier seasons only."""
+    """(training rows, fits, forecast rows) of each league, season and model; a fit saw earlier seasons only.
+
+    Matches are written once with their few columns; the rows of models, and of the seasons they help to fit, are made where they are read.
+    """
     strict = profiles.referee_strictness_as_of(matches(spark, sf), 100).select("match_id", "strictness")
-    t = trained(spark, sf).join(strict, "match_id").withColumn("total_cards", F.expr("hy + hr + ay + ar"))
-    rows = settle(models.design_rows(t, ["league", "season"], "total_cards", CARD_FORECASTS, ["match_id"]))
-    seasons = sorted(r.season for r in rows.select("season").distinct().collect())
-    keys = ["league", "fitted_for", "model"]
-    past = models.later_seasons(rows, seasons)
-    enough = past.groupBy(*keys).agg(F.count(F.lit(1)).alias("training")).filter(F.col("training") >= MIN_CARD_TRAINING)
-    past = settle(past.join(enough, keys, "left_semi"))
-    return past, models.fit_sparse_poisson(past, keys), rows.withColumn("fitted_for", F.col("season"))
+    cards = known(spark, sf).select("match_id", "league", "season", "home_cards", "away_cards", F.expr("hy + hr + ay + ar").alias("total_cards"))
+    t = settle(cards.join(strict, "match_id"))
+    rows = models.design_rows(t, ["league", "season"], "total_cards", CARD_FORECASTS, ["match_id"])
+    seasons = sorted(r.season for r in t.select("season").distinct().collect())
+    past = models.later_seasons(rows, seasons, listed=True)
+    fits = models.fit_sparse_poisson(past, ["league", "fitted_for", "model"], least=MIN_CARD_TRAINING)
+    return past, fits, rows.withColumn("fitted_for", F.col("season"))
 
 
 MIN_CARD_TRAINING = 50  # matches of a league before its cards are forecast
