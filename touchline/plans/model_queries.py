@@ -120,10 +120,10 @@ CARD_TESTS = [("null", "fouls"), ("fouls", "teams"), ("fouls", "referee"), ("ref
 
 
 def nested_cards(spark, sf):
-    """Rows and fits of the five models of cards, league by league."""
+    """Rows and fits of the five models of cards, league by league. The rows, five for a match, are made again where they are read."""
     cards = view(spark, sf, "v_match").filter("played").selectExpr(
         "league", "home", "away", "referee", "hf + af AS fouls", "hy + hr + ay + ar AS cards")
-    rows = settle(models.design_rows(cards, ["league"], "cards", CARD_MODELS))
+    rows = models.design_rows(cards, ["league"], "cards", CARD_MODELS)
     return rows, models.fit_sparse_poisson(rows, ["league", "model"])
 
 
