@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import text
 from touchline.functions.numeric import per90, ratio, season_start, weighted_mean
 from touchline.operators.reshape import first_of_content
-from touchline.session import settle
+from touchline.session import stored
 
 COUNTS = ["games", "games_starts", "minutes", "goals", "assists", "pens_made", "pens_att", "cards_yellow",
           "cards_red"]
@@ -55,7 +55,7 @@ def league_norms(df: DataFrame) -> DataFrame:
 
 def clean(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """One row per player-team-season with repaired counts and working columns."""
-    df = settle(first_of_content(typed(raw), NOT_CONTENT, "ranker"))  # read for its rows, its ids and its league norms
+    df = stored(first_of_content(typed(raw), NOT_CONTENT, "ranker"))  # read for its rows, its ids and its league norms
     rebuilt = F.round(F.coalesce(F.col("minutes_90s"), F.lit(0.0)) * 90)
     df = df.withColumn("minutes", F.coalesce("minutes", rebuilt))
     df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in COUNTS})
@@ -65,7 +65,7 @@ def clean(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
         "provisional_id": ~text.is_hex_id("player_key"), "country": text.last_word("nationality"),
         "main_position": text.first_listed("position"), "season_start": season_start("season"),
         "age": text.age_years("age")})
-    return df.join(league_norms(df), ["league", "season"])
+    return df.join(stored(league_norms(df)), ["league", "season"])  # a table whose size Spark knows: few rows are broadcast
 
 
 def with_extras(cleaned: DataFrame, playingtime: DataFrame, keepers: DataFrame) -> DataFrame:

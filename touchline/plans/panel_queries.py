@@ -10,7 +10,7 @@ from touchline.operators import fantasy, league, panel
 from touchline.operators.ranking import gini
 from touchline.plans.registry import query
 from touchline.plans.views import RAW_PANEL_SQL, ctes, raw_panel, view
-from touchline.session import settle
+from touchline.session import stored
 
 ALIASES = {"00000033": "00000032"}
 NAMESAKES = ["jugador-100|1980|N4"]
@@ -21,34 +21,52 @@ MIN_MINUTES = 600.0
 
 
 def counted(spark, sf) -> dict[str, DataFrame]:
-    """Player-team-season counts, far fewer rows than the lines they come from: scanned and written once for all panel views."""
-    return {"p1": settle(view(spark, sf, "p1"))}
+    """Player-team-season counts, fewer rows than the lines they come from: scanned and written once for all panel views."""
+    return {"p1": stored(view(spark, sf, "p1"))}
+
+
+def shared(spark, sf) -> dict[str, DataFrame]:
+    """The counts and the clean panel, for queries that read the panel in several ways."""
+    known = counted(spark, sf)
+    return known | {"clean": cleaned(spark, sf, known)}
 
 
 def cleaned(spark, sf, known=None) -> DataFrame:
     return panel.clean(raw_panel(spark, sf, known or counted(spark, sf)), ALIASES)
 
 
-def full_rows(spark, sf) -> DataFrame:
-    known = counted(spark, sf)
-    return panel.with_extras(cleaned(spark, sf, known), *[view(spark, sf, v, known=known) for v in ("v_playingtime", "v_keepers")])
+def full_rows(spark, sf, known=None) -> DataFrame:
+    known = known or shared(spark, sf)
+    return panel.with_extras(known["clean"], *[view(spark, sf, v, known=known) for v in ("v_playingtime", "v_keepers")])
 
 
-def seasons(spark, sf) -> DataFrame:
-    return panel.by_season(full_rows(spark, sf))
+def seasons(spark, sf, known=None) -> DataFrame:
+    return panel.by_season(full_rows(spark, sf, known))
 
 
-def scored(spark, sf) -> DataFrame:
-    return fantasy.defensive_points(fantasy.offensive_points(seasons(spark, sf)))
+def scored(spark, sf, known=None) -> DataFrame:
+    return fantasy.defensive_points(fantasy.offensive_points(seasons(spark, sf, known)))
 
 
-def ranked(spark, sf) -> DataFrame:
+#: What the ranking reads; what moves and squads read besides.
+_RANKING = [*fantasy.PEERS, "minutes", "complete", "pts_complete_per_matchday"]
+_OF_PLAYER = ["player_key", "season_start", "main_team_id"]
+
+
+def ranked(spark, sf, columns: list[str] | None = None, known=None) -> DataFrame:
+    """Points with percentiles; `columns` names those asked for besides the ranking's own, all others are not worked out at all."""
     # points are read several times by the ranking: written once to the shared folder
-    return fantasy.complete_percentile(settle(scored(spark, sf)), min_minutes=MIN_MINUTES)
+    points = scored(spark, sf, known)
+    points = points if columns is None else points.select(*_RANKING, *columns)
+    return fantasy.complete_percentile(stored(points), min_minutes=MIN_MINUTES)
+
+
+def teams(spark, sf, known=None) -> DataFrame:
+    return league.team_summary(full_rows(spark, sf, known), LOCALS)
 
 
-def teams(spark, sf) -> DataFrame:
-    return league.team_summary(full_rows(spark, sf), LOCALS)
+def moves(spark, sf) -> DataFrame:
+    return league.ladder_moves(ranked(spark, sf, _OF_PLAYER), LEAGUES, MIN_MINUTES)
 
 
 def _round(df: DataFrame, keep: list[str], numbers: list[str]) -> DataFrame:
@@ -455,25 +473,25 @@ mv AS (SELECT player_key, season_start, league, league_next, pct_complete, pct_c
 
 @query("league_ladder_moves", f"WITH {_MOVES} SELECT player_key, season_start, league, league_next, {_r(['pct_complete', 'pct_complete_next', 'expected', 'residual'])} FROM mv")
 def league_ladder_moves(spark, sf):
-    out = league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES)
+    out = moves(spark, sf)
     return _round(out, ["player_key", "season_start", "league", "league_next"],
                   ["pct_complete", "pct_complete_next", "expected", "residual"])
 
 
 @query("league_ladder_cells", f"WITH {_MOVES} SELECT league, league_next, count(*) AS n, round(sum(residual), 6) AS total, round(sum(residual * residual), 4) AS squares FROM mv GROUP BY ALL")
 def league_ladder_cells(spark, sf):
-    out = league.ladder_cells(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES))
+    out = league.ladder_cells(moves(spark, sf))
     return out.withColumns({"total": r6("total"), "squares": F.round("squares", 4)})
 
 
 @query("league_ladder_fit")
 def league_ladder_fit(spark, sf):
-    return league.ladder(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES), LEAGUES)
+    return league.ladder(moves(spark, sf), LEAGUES)
 
 
 @query("league_ladder_bootstrap")
 def league_ladder_bootstrap(spark, sf):
-    return league.ladder_bootstrap(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES), LEAGUES)
+    return league.ladder_bootstrap(moves(spark, sf), LEAGUES)
 
 
 @query("league_ladder_differences")
