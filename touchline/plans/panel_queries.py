@@ -496,7 +496,7 @@ def league_ladder_bootstrap(spark, sf):
 
 @query("league_ladder_differences")
 def league_ladder_differences(spark, sf):
-    return league.ladder_differences(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES), LEAGUES)
+    return league.ladder_differences(moves(spark, sf), LEAGUES)
 
 
 @query("regression_curve", f"""WITH {_MOVES} SELECT cast(ceil(pct_complete / 20) - 1 as bigint) AS band, round(avg(pct_complete), 6) AS "before", round(avg(pct_complete_next), 6) AS "after", count(*) AS n FROM mv GROUP BY band""")
