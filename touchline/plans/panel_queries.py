@@ -501,7 +501,7 @@ def league_ladder_differences(spark, sf):
 
 @query("regression_curve", f"""WITH {_MOVES} SELECT cast(ceil(pct_complete / 20) - 1 as bigint) AS band, round(avg(pct_complete), 6) AS "before", round(avg(pct_complete_next), 6) AS "after", count(*) AS n FROM mv GROUP BY band""")
 def regression_curve(spark, sf):
-    out = league.regression_curve(league.ladder_moves(ranked(spark, sf), LEAGUES, MIN_MINUTES), [0, 20, 40, 60, 80, 100])
+    out = league.regression_curve(moves(spark, sf), [0, 20, 40, 60, 80, 100])
     return _round(out, ["band", "n"], ["before", "after"])
 
 
