@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numeric import pearson, per90, ratio, share, weighted_mean, zero_if_null
 from touchline.operators.ordered import top_rows
 from touchline.operators.ranking import concentration, rank_correlation
-from touchline.session import settle
+from touchline.session import settle, stored
 
 
 def team_summary(rows: DataFrame, locals_by_league: dict[str, list[str]], keep_partial: bool = False) -> DataFrame:
@@ -121,7 +121,10 @@ def best_fantasy_per_team(scored: DataFrame) -> DataFrame:
 
 def league_comparison(teams: DataFrame, seasons: DataFrame, min_minutes: float) -> DataFrame:
     """One row per league: panel size, rank correlations with points per match and stabilities."""
-    teams, seasons = settle(teams), settle(seasons)
+    teams = stored(teams.select("league", "season", "team_id", "ppm", "players_80", "dependence", "goals"))
+    seasons = stored(seasons.select(
+        "league", "season", "season_start", "player_key", "main_team_id", "n_teams", "main_position", "minutes", "points_per_game",
+        "plus_minus_wowy", "goals_pens_per90", "gk_games", "gk_minutes", "gk_save_pct", "gk_clean_sheets_pct"))
     j = with_team_points(seasons, teams)
     size = seasons.groupBy("league").agg(F.count_distinct("season").alias("seasons"),
                                          F.count_distinct("player_key").alias("players"))

@@ -462,7 +462,8 @@ def position_comparison(spark, sf):
 @query("league_comparison")
 def league_comparison(spark, sf):
     """Rank correlations with points and five stabilities per league (each is checked on its own elsewhere)."""
-    return league.league_comparison(teams(spark, sf), seasons(spark, sf), MIN_MINUTES)
+    known = shared(spark, sf)
+    return league.league_comparison(teams(spark, sf, known), seasons(spark, sf, known), MIN_MINUTES)
 
 
 _MOVES = f"""{RANKED}, pr AS ({_pairs_sql('rj', 'player_key', ['league', 'main_team_id', 'pct_complete'], 'minutes', 'pct_complete is not null')}),
