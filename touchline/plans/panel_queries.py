@@ -439,7 +439,8 @@ m AS (SELECT ts.league, round(ts.ppm, 9) AS ppm, squad_pct, top_fifth FROM ts JO
 SELECT a.league, a.pairs AS team_seasons, rho_squad, rho_top_fifth FROM {_spearman_sql('m', 'squad_pct', 'ppm', 'rho_squad')} a
 JOIN {_spearman_sql('m', 'top_fifth', 'ppm', 'rho_top_fifth')} b USING (league)""")
 def squad_vs_points(spark, sf):
-    out = league.squad_vs_points(teams(spark, sf), ranked(spark, sf))
+    known = shared(spark, sf)
+    out = league.squad_vs_points(teams(spark, sf, known), ranked(spark, sf, _OF_PLAYER, known))
     return _round(out, ["league", "team_seasons"], ["rho_squad", "rho_top_fifth"])
 
 
