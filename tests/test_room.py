@@ -15,7 +15,8 @@ def written(folder) -> int:
     return sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
 
 
-@pytest.mark.parametrize("name", ["league_ladder_fit", "league_ladder_differences", "regression_curve", "league_comparison", "squad_vs_points"])
+@pytest.mark.parametrize("name", ["league_ladder_fit", "league_ladder_differences", "regression_curve", "league_comparison", "squad_vs_points",
+                                  "level_clusters"])
 def test_panel_queries_write_little_more_than_they_read(spark, name):
     folder = shared_folder(spark).removeprefix("file:")
     before = written(folder)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from touchline.functions.numeric import ratio
 from touchline.operators.ordered import top_rows
 from touchline.operators.ranking import union_all
-from touchline.session import settle
+from touchline.session import stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,7 +55,7 @@ def level_groups(df: DataFrame, columns: list[str], output: str, k: int = 3, see
 
     The best of `starts` fits; Spark's parallel seeding spreads the centres already, so few are needed.
     """
-    data = settle(_features(df, columns))
+    data = _features(stored(df), columns)
     models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=30).fit(data) for i in range(starts)]
     fitted = min(models, key=lambda m: m.summary.trainingCost).transform(data)
     means = fitted.groupBy("cluster").agg(F.avg(output).alias("_m"))
@@ -77,7 +77,7 @@ def silhouette_by_k(df: DataFrame, group: str, values: list[str], columns: list[
     score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     rows = []
     for value in values:
-        data = settle(_features(df.filter(F.col(group) == value), columns))
+        data = _features(stored(df.filter(F.col(group) == value).select(*columns)), columns)
         rows += [(value, k, float(score.evaluate(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=20)
                                                  .fit(data).transform(data)))) for k in ks]
     return df.sparkSession.createDataFrame(rows, f"{group} string, k int, silhouette double")

@@ -11,7 +11,7 @@ from touchline.plans.match_queries import FORECAST, evaluated, matches
 from touchline.plans.panel_queries import SCORED, scored
 from touchline.plans.registry import query
 from touchline.plans.views import ctes, table, view
-from touchline.session import settle
+from touchline.session import settle, stored
 
 
 def features(spark, sf):
@@ -269,22 +269,29 @@ def similar_players(spark, sf):
         "main_position", "target", F.round("similarity", 5).alias("similarity"), "rank")
 
 
-def _levels(spark, sf, seed=42):
-    d = scored(spark, sf).filter("minutes >= 600 AND goals_pens_per90 IS NOT NULL").withColumn(
-        "goals_assists_per90", 90 * (F.col("goals") + F.col("assists")) / F.col("minutes"))
-    z = scouting.standardised(d, ["main_position"], _SIM)
+def _profiles(spark, sf, *keep: str):
+    """The compared rates of players with enough minutes, standardised by position: written once with the columns asked for."""
+    d = scored(spark, sf).filter("minutes >= 600 AND goals_pens_per90 IS NOT NULL")
+    return scouting.standardised(stored(d.selectExpr("main_position", *_SIM, *keep)), ["main_position"], _SIM).drop(*_SIM)
+
+
+_OUTPUT = "90 * (goals + assists) / minutes AS goals_assists_per90"
+
+
+def _levels(z, seed=42):
     return scouting.level_groups_by(z, "main_position", OUTFIELD, [f"z_{c}" for c in _SIM], "goals_assists_per90", 3, seed)
 
 
 @query("level_clusters")
 def level_clusters(spark, sf):
-    return scouting.level_mix(_levels(spark, sf), "league")
+    return scouting.level_mix(_levels(_profiles(spark, sf, "league", _OUTPUT)), "league")
 
 
 @query("level_drift")
 def level_drift(spark, sf):
-    key = F.concat_ws("|", "player_key", "league", "season").alias("id")
-    return scouting.label_drift(_levels(spark, sf).select(key, "level"), _levels(spark, sf, 7).select(key, "level"), "id")
+    keep = ("concat_ws('|', player_key, league, season) AS id", _OUTPUT)
+    a, b = _levels(_profiles(spark, sf, *keep)), _levels(_profiles(spark, sf, *keep), 7)
+    return scouting.label_drift(a.select("id", "level"), b.select("id", "level"), "id")
 
 
 @query("silhouette")
