@@ -296,8 +296,7 @@ def level_drift(spark, sf):
 
 @query("silhouette")
 def silhouette(spark, sf):
-    d = scouting.standardised(scored(spark, sf).filter("minutes >= 600 AND goals_pens_per90 IS NOT NULL"), ["main_position"], _SIM)
-    return scouting.silhouette_by_k(d, "main_position", OUTFIELD, [f"z_{c}" for c in _SIM], [2, 3, 4, 5, 6])
+    return scouting.silhouette_by_k(_profiles(spark, sf), "main_position", OUTFIELD, [f"z_{c}" for c in _SIM], [2, 3, 4, 5, 6])
 
 
 @query("pca_loadings")
