@@ -16,7 +16,7 @@ def written(folder) -> int:
 
 
 @pytest.mark.parametrize("name", ["league_ladder_fit", "league_ladder_differences", "regression_curve", "league_comparison", "squad_vs_points",
-                                  "level_clusters", "silhouette"])
+                                  "level_clusters", "silhouette", "level_drift"])
 def test_panel_queries_write_little_more_than_they_read(spark, name):
     folder = shared_folder(spark).removeprefix("file:")
     before = written(folder)

@@ -289,9 +289,8 @@ def level_clusters(spark, sf):
 
 @query("level_drift")
 def level_drift(spark, sf):
-    keep = ("concat_ws('|', player_key, league, season) AS id", _OUTPUT)
-    a, b = _levels(_profiles(spark, sf, *keep)), _levels(_profiles(spark, sf, *keep), 7)
-    return scouting.label_drift(a.select("id", "level"), b.select("id", "level"), "id")
+    z = _profiles(spark, sf, "concat_ws('|', player_key, league, season) AS id", _OUTPUT)
+    return scouting.label_drift(_levels(z).select("id", "level"), _levels(z, 7).select("id", "level"), "id")
 
 
 @query("silhouette")
