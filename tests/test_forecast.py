@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions.numeric import ratio
 from touchline.functions.probability import (expected_floor, ln_gamma, normal_cdf, normal_quantile, poisson_cdf, poisson_pmf,
                                              resample_copies, uniforms, with_uniform)
 from touchline.operators import evaluate, inference, models, profiles, scoreline
@@ -216,3 +217,25 @@ def test_profile_grid_equals_a_profile_per_window(spark, monkeypatch):
                     for c in profiles.METRICS:
                         a, b = x[f"{side}_{c}"], got[window, x.match_id][f"{side}_{c}"]
                         assert (a is None and b is None) or abs(a - b) < 1e-9
+
+
+def test_grouped_bootstrap_draws_a_group_in_one_task(spark, monkeypatch):
+    """Its replicates never move; large groups, whose replicates do, and groups in many tasks have the same intervals."""
+    rng = np.random.default_rng(8)
+    rows = [(g, u, float(rng.normal()) if u % 7 else None, 0 if g == 3 else 1) for g, n in ((1, 5), (2, 400), (3, 30), (4, 1300)) for u in range(n)]
+    df = spark.createDataFrame(rows, "g long, id long, x double, n int")
+    ask = lambda: inference.bootstrap(df, "id", ["x", "n"], {"m": ratio("x", "n")}, 300, 5, ["g"])
+    whole = ask()
+    assert "replicate" not in whole._jdf.queryExecution().executedPlan().toString()
+    got = {r.g: r for r in whole.collect()}
+    monkeypatch.setattr(inference, "WHOLE_GROUP", 350)
+    monkeypatch.setattr(inference, "UNITS_KEPT", 600)
+    split = {r.g: r for r in ask().collect()}
+    monkeypatch.setattr(inference, "WHOLE_GROUP", 0)
+    spread = {r.g: r for r in ask().collect()}
+    assert set(got) == set(split) == set(spread) == {1, 2, 3, 4} and got[3].m_low is None and spread[3].m_low is None
+    for g in (1, 2, 4):
+        for other in (split, spread):
+            assert (got[g].units, got[g].m_value) == (other[g].units, pytest.approx(other[g].m_value))
+            assert (got[g].m_low, got[g].m_high) == (pytest.approx(other[g].m_low), pytest.approx(other[g].m_high))
+    assert got[1].m_low < got[1].m_value < got[1].m_high
