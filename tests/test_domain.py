@@ -248,3 +248,15 @@ def test_levels_and_silhouettes_per_position(spark):
     assert got.count() == 240 and got.filter("level <> truth").count() == 0
     best = scouting.silhouette_by_k(df, "pos", ["DF", "FW"], ["x", "y"], [2, 3, 4]).toPandas()
     assert (best.loc[best.groupby("pos")["silhouette"].idxmax(), "k"] == 3).all()
+
+
+def test_folders_of_documents_are_listed_a_group_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FOLDERS", 10)
+    df = spark.range(300).selectExpr("concat('L', id % 60, '|', id % 2) AS key", "id AS i")
+    groups = sinks.write_documents(sinks.documents(df, "key", ["i"], ["i"]), "key", f"{tmp_path}/d")
+    folders = {n: len(list((tmp_path / "d" / f"group={n}").iterdir())) for n in groups}
+    assert len(groups) > 3 and sum(folders.values()) == 60 and max(folders.values()) < 25
+    back = sinks.read_documents(spark, f"{tmp_path}/d", groups, "i bigint, key string")
+    assert sorted((r.key, r.i) for r in back.collect()) == sorted((r.key, r.i) for r in df.collect())
+    empty = sinks.write_documents(sinks.documents(df.limit(0), "key", ["i"], ["i"]), "key", f"{tmp_path}/e")
+    assert empty == [] and sinks.read_documents(spark, f"{tmp_path}/e", empty, "i bigint, key string").count() == 0
