@@ -1,4 +1,4 @@
-"""What panel queries write to the shared folder, against the size of the table they read."""
+"""What queries write to the shared folder, against the size of the lines table."""
 
 import os
 from pathlib import Path
@@ -16,8 +16,9 @@ def written(folder) -> int:
 
 
 @pytest.mark.parametrize("name", ["league_ladder_fit", "league_ladder_differences", "regression_curve", "league_comparison", "squad_vs_points",
-                                  "level_clusters", "silhouette", "level_drift"])
-def test_panel_queries_write_little_more_than_they_read(spark, name):
+                                  "level_clusters", "silhouette", "level_drift", "nested_card_tests", "nested_card_models",
+                                  "nested_card_scores"])
+def test_queries_write_little_more_than_they_read(spark, name):
     folder = shared_folder(spark).removeprefix("file:")
     before = written(folder)
     assert entry.queries()[name](spark, SF).count() > 0
